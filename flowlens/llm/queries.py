@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, embed_dedup, pii, toxicity, warc
+from flowlens.llm import ann, embed_dedup, jaccard, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -34,7 +38,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_toxicity, op4_pii, op9_embedding_dedup, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_toxicity, op4_pii, op7_ngram_jaccard, op9_embedding_dedup, op10_nearest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -46,4 +50,17 @@ ORACLES: dict[str, str] = {
                case when first <> page_id then first end as refers_to
         from d left join f using (h)
     """,
+    "op7_ngram_jaccard": r"""
+        with recursive
+             w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+                   from documents where doc_id is not null),
+             s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                                                       else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g from w),
+             n as (select doc_id, count(*) as n from s group by doc_id),
+             both_ as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+             link as (select a, b from both_ join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+             reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a)
+        select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) as component_id
+        from w left join n using (doc_id) left join reach on reach.a = w.doc_id group by w.doc_id
+    """,
 }
