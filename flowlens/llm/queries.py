@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, embed_dedup, jaccard, pii, suffix_dedup, token_files, toxicity, warc
+from flowlens.llm import ann, embed_dedup, jaccard, pieces, pii, suffix_dedup, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.token_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
