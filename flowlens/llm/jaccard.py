@@ -7,12 +7,13 @@ Two documents link when 100 * |intersection| >= percent * |union| of their sets
    (a table of fixed size), which order shingles from rare to frequent. Any common order is correct; a better
    one is faster.
 2. Documents with equal sets are one class. Each task sends the prefix shingles of a set once.
-3. Prefixes meet by shingle. First each document is verified against one neighbour in size, the one it met most
-   often. That settles most members of a group of copies with one pair each.
+3. Prefixes meet by shingle. First each document is verified against two others: of its neighbours in size and of the
+   most famous members of its meetings, the ones it met most often. That settles most members of a group of copies
+   with a pair or two each.
 4. Then all pairs that met in a prefix and whose members are in different components so far are taken: by
    the length and positional filters, then by the suffix filter (the histograms bound the intersection), and
    each remaining pair is verified once, on the whole sets. So no link between components is lost, and a group
-   of n copies doesn't cost n * n pairs.
+   of n copies of one document doesn't cost n * n pairs.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import binary_column, over_groups, small_enough, text_buffer, texts_of, whole_groups, written
+from flowlens.llm.common import binary_column, freed, over_groups, small_enough, text_buffer, texts_of, whole_groups, written
 from flowlens.llm.components import components
 from flowlens.llm.shingles import chunks, mixed, shingle_sets
 
 WIDTH = 5
 PERCENT = 75
 COUNTERS = 1 << 18
-RANGES = 64
+RANGES = 512
+#: a histogram's largest count, which stands for any larger one
+FULL = 255
 #: ids that may be broadcast (16 MB); more are joined by shuffling
 SMALL = 2_000_000
 
@@ -59,9 +62,8 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
                     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     d1[of[starts]] = np.add.reduceat(mixed(h + np.uint64(1)), starts)
                     d2[of[starts]] = np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                cells = np.bincount(of * RANGES + (h >> np.uint64(64 - 6)).astype(np.int64), minlength=m * RANGES).reshape(m, RANGES)
-                ranges = np.minimum(cells, 65535).astype("<u2")
-                flat = binary_column(ranges.view(np.uint8).ravel(), np.arange(m + 1) * 2 * RANGES)
+                cells = np.bincount(of * RANGES + (h >> np.uint64(64 - 9)).astype(np.int64), minlength=m * RANGES)
+                flat = binary_column(np.minimum(cells, FULL).astype(np.uint8), np.arange(m + 1) * RANGES)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, m), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), flat, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], schema=kind)
         part = 4096
         rows = COUNTERS // part
@@ -116,7 +118,7 @@ def may_link(n1: np.ndarray, n2: np.ndarray, p1: np.ndarray, p2: np.ndarray, per
 
 
 def meetings(prefix: DataFrame, percent: int) -> DataFrame:
-    """The prefix rows of shingles that several documents share; prev is the next smaller member, where the pair may link."""
+    """The prefix rows of shingles that several documents share: size is their number, prev the next smaller member, where the pair may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["h"], 200_000):
@@ -124,28 +126,68 @@ def meetings(prefix: DataFrame, percent: int) -> DataFrame:
             same = np.r_[False, h[1:] == h[:-1]]
             several = same | np.r_[same[1:], False]
             prev = np.r_[0, ids[:-1]]
+            starts = np.flatnonzero(~same)
+            size = np.repeat(np.diff(np.r_[starts, len(h)]), np.diff(np.r_[starts, len(h)]))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             good = same & (prev != ids) & may_link(n, np.r_[1, n[:-1]], pos, np.r_[0, pos[:-1]], percent)
             if several.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[several]), pa.array(ids[several]), pa.array(n[several].astype(np.int32)), pa.array(pos[several].astype(np.int32)), pa.array(prev[several], mask=~good[several])],
-                    ["h", "doc_id", "n", "pos", "prev"],
+                    [pa.array(h[several]), pa.array(ids[several]), pa.array(n[several].astype(np.int32)), pa.array(pos[several].astype(np.int32)), pa.array(prev[several], mask=~good[several]), pa.array(size[several].astype(np.int32))],
+                    ["h", "doc_id", "n", "pos", "prev", "size"],
                 )
 
-    return prefix.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(run, "h long, doc_id long, n int, pos int, prev long")
+    return prefix.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(run, "h long, doc_id long, n int, pos int, prev long, size int")
+
+
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, prev): for each row of (h, doc_id, n, pos, fame) the most famous member of its group, where the pair may link.
+
+    Fame is how many meetings a document's prefix brings. A document that others were copied from keeps all the
+    shingles that its copies share, so that it is the most famous among them.
+    """
+
+    def f(table: pa.Table) -> pa.RecordBatch | None:
+        h, ids, n, pos, fame = (table[c].to_numpy() for c in ("h", "doc_id", "n", "pos", "fame"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        order = np.lexsort((ids, -fame, group))
+        hub = order[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])][group]
+        keep = (ids[hub] != ids) & may_link(n, n[hub], pos, pos[hub], percent)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[hub][keep])], ["doc_id", "prev"])
+
+    return over_groups(rows, ["h"], f, "doc_id long, prev long", rows=200_000)
+
+
+def mixed_groups(rows: DataFrame) -> DataFrame:
+    """The rows of (h, doc_id, n, pos, label) whose h occurs under several labels."""
+
+    def f(table: pa.Table) -> pa.RecordBatch | None:
+        h, label = table["h"].to_numpy(), table["label"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        differs = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        out = table.filter(pa.array(np.repeat(differs, np.diff(np.r_[starts, len(h)])))).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else None
+
+    return over_groups(rows.select("h", "doc_id", "n", "pos", "label"), ["h"], f, "h long, doc_id long, n int, pos int, label long", rows=200_000)
+
+
+def room(r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+    """The suffix filter's bound: how large an intersection two sets' histograms allow."""
+    bound = np.minimum(r1, r2).sum(1, dtype=np.int64)
+    bound[((r1 == FULL) & (r2 == FULL)).any(1)] = np.iinfo(np.int64).max
+    return bound
 
 
 def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of (h, doc_id, n, pos, label) that share h, differ in label and pass the length and positional filters."""
+    """(a, b), a < b: pairs of (h, doc_id, n, pos, label, ranges) that share h, differ in label and pass all the filters."""
 
     def f(table: pa.Table) -> pa.RecordBatch | None:
         h, ids, n, pos, label = (table[c].to_numpy() for c in ("h", "doc_id", "n", "pos", "label"))
+        ranges = text_buffer(pa.concat_arrays(table["ranges"].chunks))[0].reshape(-1, RANGES)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        ends = np.r_[starts[1:], len(h)]
-        differs = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        out_a, out_b = [], []
-        for s, e in zip(starts[differs], ends[differs], strict=True):
+        out = []
+        for s, e in zip(starts, np.r_[starts[1:], len(h)], strict=True):
             o = s + np.argsort(n[s:e], kind="stable")
             # by size: the partners of a row end where they grow too long for it
             reach = np.searchsorted(n[o], n[o] * 100 // percent, "right")
@@ -155,14 +197,17 @@ def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 a, b = np.nonzero((label[i][:, None] != label[j][None]) & (np.arange(len(i))[:, None] < np.arange(len(j))[None]))
                 a, b = i[a], j[b]
                 ok = may_link(n[a], n[b], pos[a], pos[b], percent) & (ids[a] != ids[b])
-                out_a.append(np.minimum(ids[a], ids[b])[ok])
-                out_b.append(np.maximum(ids[a], ids[b])[ok])
-        if not out_a:
+                a, b = a[ok], b[ok]
+                for k in range(0, len(a), 20_000):
+                    x, y = a[k : k + 20_000], b[k : k + 20_000]
+                    fits = room(ranges[x], ranges[y]) >= needed(n[x], n[y], percent)
+                    out.append(np.stack([np.minimum(ids[x], ids[y])[fits], np.maximum(ids[x], ids[y])[fits]], 1))
+        if not out:
             return None
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return over_groups(rows, ["h"], f, "a long, b long").distinct()
+    return over_groups(rows, ["h"], f, "a long, b long", rows=20_000).distinct()
 
 
 def after_suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -172,8 +217,8 @@ def after_suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
-            r = [text_buffer(batch.column(f"r_{x}"))[0].view("<u2").reshape(-1, RANGES).astype(np.int64) for x in "ab"]
-            keep = (np.minimum(*r).sum(1) >= needed(*n, percent)) | (np.maximum(*r).max(1) == 65535) if batch.num_rows else np.zeros(0, bool)
+            r = [text_buffer(batch.column(f"r_{x}"))[0].reshape(-1, RANGES) for x in "ab"]
+            keep = room(*r) >= needed(*n, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
@@ -227,11 +272,16 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     of_class = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     met = written(meetings(prefixes(documents, frequency, width, percent), percent), "meetings")
-    often = met.where("prev is not null").groupBy("doc_id", "prev").count()
-    best = often.groupBy("doc_id").agg(F.max_by("prev", F.struct("count", F.negative("prev"))).alias("prev"))
-    first = written(best.select(F.least("doc_id", "prev").alias("a"), F.greatest("doc_id", "prev").alias("b")).distinct(), "first-pairs")
+    freed(spark)
     ranges = sizes.select("doc_id", "n", "ranges").dropDuplicates(["doc_id"])
+    most = lambda df: df.groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", F.negative("prev"))).alias("prev"))
+    fame = written(met.groupBy("doc_id").agg(F.sum("size").alias("fame")), "fame")
+    few = small_enough(fame, SMALL)
+    famous = met.select("h", "doc_id", "n", "pos").join(F.broadcast(fame) if few else fame, "doc_id")
+    partners = most(met.where("prev is not null").select("doc_id", "prev")).union(most(hub_pairs(famous, percent)))
+    first = written(partners.select(F.least("doc_id", "prev").alias("a"), F.greatest("doc_id", "prev").alias("b")).distinct(), "first-pairs")
     linked = written(verified(after_suffix_filter(first, ranges, percent), documents, width, percent), "links")
+    freed(spark)
 
     def by_class(pairs: DataFrame) -> DataFrame:
         out = pairs.join(of_class.select(F.col("doc_id").alias("a"), F.col("rep").alias("u")), "a").join(of_class.select(F.col("doc_id").alias("b"), F.col("rep").alias("v")), "b")
@@ -239,9 +289,11 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     so_far = components(by_class(linked))
     label = written(met.select("doc_id").distinct().join(of_class, "doc_id").join(so_far, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "rep").alias("label")), "labels")
-    rest = met.select("h", "doc_id", "n", "pos").join(F.broadcast(label) if small_enough(label, SMALL) else label, "doc_id")
-    second = written(crossing_pairs(rest, percent).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = written(verified(written(after_suffix_filter(second, ranges, percent), "candidates"), documents, width, percent), "links")
+    rest = met.select("h", "doc_id", "n", "pos").join(F.broadcast(label) if few else label, "doc_id")
+    mixed_rows = written(mixed_groups(rest), "mixed-groups")
+    second = written(crossing_pairs(mixed_rows.join(ranges.select("doc_id", "ranges"), "doc_id"), percent), "second-pairs")
+    freed(spark)
+    more = written(verified(second.join(first, ["a", "b"], "left_anti"), documents, width, percent), "links")
     found = so_far if more.isEmpty() else components(by_class(linked.union(more)))
     out = members.join(found, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))

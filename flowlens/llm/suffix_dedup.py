@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import binary_column, over_groups, ranges, text_buffer, texts_of, written
+from flowlens.llm.common import binary_column, freed, over_groups, ranges, text_buffer, texts_of, written
 from flowlens.llm.shingles import chunks, mixed
 
 LENGTH = 100
@@ -326,14 +326,19 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
 
 def spans(documents: DataFrame, often: int = OFTEN) -> DataFrame:
     """(doc_id, s, e): stretches of bytes of (doc_id, text) that are repeats; they may overlap."""
+    spark = documents.sparkSession
+    digest = documents.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")).where(F.col("n") >= LENGTH)
+    source = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
+    copies = written(digest.join(source, "digest").where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("s"), F.col("n").alias("e")), "copies")
     repeated = written(repeated_anchors(anchor_rows(documents, often)), "anchors")
-    found = written(over_groups(contexts(documents, repeated), ["h", "salt"], repeats, "doc_id long, s long, e long, w1 long, w2 long", rows=60_000), "repeats")
+    freed(spark)
+    # a copy has no string that doesn't start earlier in its source
+    sources = documents.join(copies.select("doc_id"), "doc_id", "left_anti")
+    found = written(over_groups(contexts(sources, repeated), ["h", "salt"], repeats, "doc_id long, s long, e long, w1 long, w2 long", rows=60_000), "repeats")
+    freed(spark)
     firsts = found.where("w1 is not null")
     least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "s")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "least")
     late = firsts.join(least, ["w1", "w2"]).where(F.struct("doc_id", "s") != F.col("least"))
-    digest = documents.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")).where(F.col("n") >= LENGTH)
-    source = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
-    copies = digest.join(source, "digest").where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     return found.where("w1 is null").select("doc_id", "s", "e").unionByName(late.select("doc_id", "s", "e")).unionByName(copies)
 
 
