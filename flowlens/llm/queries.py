@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, embed_dedup, jaccard, pieces, pii, suffix_dedup, token_files, toxicity, warc
+from flowlens.llm import ann, embed_dedup, jaccard, mixing, pieces, pii, suffix_dedup, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")), {"good": 0.7, "poor": 0.2, "toxic": 0.1}).drop("mark")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +58,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op5_mixing, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """

@@ -33,12 +33,12 @@ from flowlens.llm.common import new_path, ranges, texts_of, written
 MAGIC = b"FLTOK001"
 BLOCK_IDS = 4096
 #: blocks coded side by side and held in memory
-LANES = 2048
+LANES = 1024
 SLOTS = 256
 ORDER1, ORDER2 = 1024, 2048
 END = 2
 #: distinct pieces of text whose ids a worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: logistic scale: probabilities of 12 bits, their log odds in steps of 1/256 within +-2047
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
@@ -164,30 +164,31 @@ def encode_blocks(ids: np.ndarray, width: int) -> bytes:
     sizes = np.full(count, BLOCK_IDS)
     if count:
         sizes[-1] = n - BLOCK_IDS * (count - 1)
-    whole = np.zeros(count * BLOCK_IDS, np.int64)
-    whole[:n] = ids.astype(np.int64) + 1
+    whole = np.zeros(count * BLOCK_IDS, np.uint32 if width == 2 else np.int64)
+    whole[:n] = ids
+    whole[:n] += 1
     grid = np.ascontiguousarray(whole.reshape(count, BLOCK_IDS).T)
     models, coder = Models(count), Coder(count)
-    held = np.zeros((BLOCK_IDS, count), np.int8)
+    held, slot_of = np.zeros((BLOCK_IDS, count), np.int8), np.zeros((BLOCK_IDS, count), np.uint8)
     for k in range(int(sizes[0]) if count else 0):
-        now = grid[k]
+        now = grid[k].astype(np.int64)
         live = np.flatnonzero(sizes > k) if sizes[-1] <= k else models.lane
         favoured, p = models.predict()
         hit = favoured == now
         coder.encode(live, hit[live], p[live])
         models.learn_hit(hit)
         miss = live[~hit[live]]
-        known = models.slots[models.slot(now)] == now
+        slot = models.slot(now)
+        known, slot_of[k] = models.slots[slot] == now, slot & SLOTS - 1
         coder.encode(miss, known[miss], np.clip(models.hit0[miss], 32, 65503).astype(np.int64))
         models.hit0[miss] += (known[miss].astype(np.int32) * 65535 - models.hit0[miss]) >> 5
         held[k] = np.where(hit, 0, np.where(known, 1, 2))
         models.learn(now)
     streams = coder.finish() if count else []
-    slot_of = (grid * 0x9E3779B1 >> 11 & SLOTS - 1).astype(np.uint8)
     out = []
     for i in range(count):
         m = int(sizes[i])
-        kind, block = held[:m, i], grid[:m, i]
+        kind, block = held[:m, i], grid[:m, i].astype(np.int64)
         slots, literal = slot_of[:m, i][kind == 1].tobytes(), (block[kind == 2] - 1).astype(f"<u{width}").tobytes()
         crc = zlib.crc32((block - 1).astype("<u4").tobytes())
         out.append(struct.pack("<IIIII", m, len(streams[i]), len(slots), len(literal), crc) + streams[i] + slots + literal)
@@ -209,7 +210,7 @@ def decode_blocks(data: bytes, width: int) -> np.ndarray:
     coder, models = Coder(count, raw, h[:, 5]), Models(count)
     slot_at, literal_at = h[:, 5] + h[:, 1], h[:, 5] + h[:, 1] + h[:, 2]
     raw = np.r_[raw, np.zeros(8, np.uint8)]
-    out = np.zeros((int(sizes.max()), count), np.int64)
+    out = np.zeros((int(sizes.max()), count), np.uint32 if width == 2 else np.int64)
     for k in range(len(out)):
         live = np.flatnonzero(sizes > k) if sizes.min() <= k else models.lane
         favoured, p = models.predict()
@@ -232,7 +233,7 @@ def decode_blocks(data: bytes, width: int) -> np.ndarray:
         models.learn(now)
     blocks = []
     for i in range(count):
-        block = (out[: sizes[i], i] - 1).astype("<u4")
+        block = (out[: sizes[i], i].astype(np.int64) - 1).astype("<u4")
         if zlib.crc32(block.tobytes()) != h[i, 4]:
             raise ValueError("a block doesn't match its checksum")
         blocks.append(block)
