@@ -32,7 +32,7 @@ from flowlens.llm.shingles import chunks, mixed, shingle_sets
 WIDTH = 5
 PERCENT = 75
 COUNTERS = 1 << 18
-RANGES = 512
+RANGES = 256
 #: a histogram's largest count, which stands for any larger one
 FULL = 255
 #: ids that may be broadcast (16 MB); more are joined by shuffling
@@ -62,7 +62,7 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
                     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     d1[of[starts]] = np.add.reduceat(mixed(h + np.uint64(1)), starts)
                     d2[of[starts]] = np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                cells = np.bincount(of * RANGES + (h >> np.uint64(64 - 9)).astype(np.int64), minlength=m * RANGES)
+                cells = np.bincount(of * RANGES + (h >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=m * RANGES)
                 flat = binary_column(np.minimum(cells, FULL).astype(np.uint8), np.arange(m + 1) * RANGES)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, m), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), flat, pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], schema=kind)
         part = 4096
@@ -158,14 +158,19 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return over_groups(rows, ["h"], f, "doc_id long, prev long", rows=200_000)
 
 
-def mixed_groups(rows: DataFrame) -> DataFrame:
-    """The rows of (h, doc_id, n, pos, label) whose h occurs under several labels."""
+def mixed_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of (h, doc_id, n, pos, label) whose h occurs under several labels, but for pairs that can't link."""
 
     def f(table: pa.Table) -> pa.RecordBatch | None:
         h, label = table["h"].to_numpy(), table["label"].to_numpy()
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sizes = np.diff(np.r_[starts, len(h)])
         differs = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        out = table.filter(pa.array(np.repeat(differs, np.diff(np.r_[starts, len(h)])))).combine_chunks()
+        two = np.flatnonzero(sizes == 2)
+        n, pos = table["n"].to_numpy().astype(np.int64), table["pos"].to_numpy().astype(np.int64)
+        x, y = starts[two], starts[two] + 1
+        differs[two] &= may_link(n[x], n[y], pos[x], pos[y], percent)
+        out = table.filter(pa.array(np.repeat(differs, sizes))).combine_chunks()
         return out.to_batches()[0] if out.num_rows else None
 
     return over_groups(rows.select("h", "doc_id", "n", "pos", "label"), ["h"], f, "h long, doc_id long, n int, pos int, label long", rows=200_000)
@@ -290,7 +295,7 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     so_far = components(by_class(linked))
     label = written(met.select("doc_id").distinct().join(of_class, "doc_id").join(so_far, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "rep").alias("label")), "labels")
     rest = met.select("h", "doc_id", "n", "pos").join(F.broadcast(label) if few else label, "doc_id")
-    mixed_rows = written(mixed_groups(rest), "mixed-groups")
+    mixed_rows = written(mixed_groups(rest, percent), "mixed-groups")
     second = written(crossing_pairs(mixed_rows.join(ranges.select("doc_id", "ranges"), "doc_id"), percent), "second-pairs")
     freed(spark)
     more = written(verified(second.join(first, ["a", "b"], "left_anti"), documents, width, percent), "links")
