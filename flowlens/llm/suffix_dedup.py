@@ -33,7 +33,7 @@ ANCHOR = 32
 #: places of an anchor in a string
 PLACES = LENGTH - ANCHOR + 1
 #: occurrences within one block of anchors from which an anchor gets a salt
-OFTEN = 32
+OFTEN = 256
 SALTS = 1 << 16
 BLOCK = 1_000_000
 SHALLOW = {"right": 6, "left": 3}

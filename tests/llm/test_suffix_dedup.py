@@ -55,7 +55,7 @@ def test_whole_table(spark, sf):
     assert result(df) == want and sum(w[1] for w in want.values())
 
 
-@pytest.mark.parametrize("often", [2, 32])
+@pytest.mark.parametrize("often", [2, 32, 256])
 def test_repeats(spark, often):
     rng = random.Random(often)
     line = "".join(rng.choice("abcdeé ") for _ in range(150))
