@@ -67,7 +67,7 @@ def rates(rows: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: i
     """rows (n_tokens, p) with the column rate, and the expected tokens of each domain under it.
 
     Minimises the sum over d of (expected_d - target_d)^2 over rates of at least ``floor``, starting from 1, by projected
-    gradient steps scaled with the curvature of the rates that are off the floor. A step needs sums over all documents, of
+    gradient steps scaled with the curvature of the rates that can move. A step needs sums over all documents, of
     which there are as many as pairs of domains; the steps so far are a small array of numbers, from which each document
     works out its rate, so that nothing is written between rounds. It ends when every miss is within ``close`` of the
     targets' sum, when it gains nothing more (targets out of reach), or after ``rounds``.
@@ -77,19 +77,29 @@ def rates(rows: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: i
     scale = float(goal.sum())
     n, p = F.col("n_tokens").cast("double"), [F.get(F.col("p"), d) for d in range(size)]
     steps: list[list[float]] = []
-    expected, before = np.zeros(size), np.inf
+    expected, least, halved = np.zeros(size), np.inf, 0
     while True:
-        free = F.when(F.col("r") > floor, n).otherwise(0.0)
-        sums = rows.select("n_tokens", "p", rate_column(steps, size, floor).alias("r")).agg(*[F.sum(n * x * F.col("r")) for x in p], *[F.sum(free * x * y) for x in p for y in p]).first()
+        now = rows.select("n_tokens", "p", rate_column(steps, size, floor).alias("r"))
+        sums = now.agg(*[F.sum(n * x * F.col("r")) for x in p]).first()
         if sums[0] is None or not scale:
             break
-        expected = np.array(sums[:size], float)
-        miss = (expected - goal) / scale
-        error = float(np.abs(miss).max())
-        if error <= close or error > before * 0.999 or len(steps) == rounds:
+        miss = (np.array(sums, float) - goal) / scale
+        error = float((miss * miss).sum())
+        if error >= least * 0.9999:
+            # no gain: a shorter step, and in the end none
+            halved += 1
+            steps[-1] = [v / 2 for v in steps[-1]]
+            if halved > 4:
+                steps.pop()
+                break
+            continue
+        expected, least, halved = np.array(sums, float), error, 0
+        if np.abs(miss).max() <= close or len(steps) == rounds:
             break
-        before = error
-        curve = np.array(sums[size:], float).reshape(size, size) / scale
+        # rates at the floor count where the slope raises them
+        rises = sum((x * float(m) for x, m in zip(p, miss, strict=True)), F.lit(0.0)) < 0
+        free = F.when((F.col("r") > floor) | rises, n).otherwise(0.0)
+        curve = np.array(now.agg(*[F.sum(free * x * y) for x in p for y in p]).first(), float).reshape(size, size) / scale
         steps.append(np.linalg.solve(curve + ridge * np.eye(size), miss).tolist())
     return rows.withColumn("rate", rate_column(steps, size, floor)), expected
 
