@@ -32,8 +32,8 @@ LENGTH = 100
 ANCHOR = 32
 #: places of an anchor in a string
 PLACES = LENGTH - ANCHOR + 1
-#: occurrences within one block of anchors from which an anchor gets a salt
-OFTEN = 256
+#: occurrences within one block of anchors from which an anchor gets a salt, and the share of the block that they are at least
+OFTEN, SHARE = 256, 1 / 2000
 SALTS = 1 << 16
 BLOCK = 1_000_000
 SHALLOW = {"right": 6, "left": 3}
@@ -52,10 +52,14 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors in a stretch of bytes."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, own) of the anchors in a stretch of bytes.
+
+    own is 128 times the least place at which the anchor has the least hash of a string, plus the largest such place; the
+    places between are such as well.
+    """
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, size, step = _CODES[data], 1, 0
     while size < ANCHOR:
         h = h[:-size] * _STEPS[step] + h[size:]
@@ -66,18 +70,24 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(PLACES - 1, np.uint64)
     highest = sliding(np.concatenate((edge, least, edge)), PLACES, np.maximum)
     at = np.flatnonzero(highest == h)
-    return at, h[at]
+    wide = np.concatenate((edge, least, edge))
+    own = np.zeros(len(at), np.int64)
+    for s in range(0, len(at), 20_000):
+        a = at[s : s + 20_000]
+        mine = wide[a[:, None] + np.arange(PLACES)] == h[a][:, None]
+        own[s : s + len(a)] = 128 * mine[:, ::-1].argmax(1) + PLACES - 1 - mine.argmax(1)
+    return at, h[at], own
 
 
 def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
-    """(h, salt, doc_id, pos); for each salted h a row without a position under salt 0 tells that h occurs elsewhere.
+    """(h, salt, doc_id, pos, own): own as in anchors(). For each salted h a row without a position under salt 0 tells that h occurs elsewhere.
 
     A text that the task has had under a smaller id is left out: its own strings all start earlier there.
     """
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         had: dict[bytes, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -90,11 +100,11 @@ def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
                         key = hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest()
                         use[i - s] = had.get(key, ids[i] + 1) >= ids[i]
                         had[key] = min(int(ids[i]), had.get(key, int(ids[i])))
-                pos, h = anchors(data[offsets[s] : offsets[e]])
+                pos, h, own = anchors(data[offsets[s] : offsets[e]])
                 local = offsets[s : e + 1] - offsets[s]
                 doc = np.searchsorted(local, pos, "right") - 1
                 keep = use[doc] & (pos + ANCHOR <= local[doc + 1])
-                held.append((h[keep], ids[s:e][doc[keep]], pos[keep] - local[doc[keep]]))
+                held.append((h[keep], ids[s:e][doc[keep]], pos[keep] - local[doc[keep]], own[keep]))
                 count += int(keep.sum())
                 if count >= BLOCK:
                     yield tuple(map(np.concatenate, zip(*held, strict=True)))
@@ -103,9 +113,9 @@ def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, pos in blocks(batches):
+        for h, ids, pos, own in blocks(batches):
             values, of, counts = np.unique(h, return_inverse=True, return_counts=True)
-            often = counts >= least
+            often = counts >= max(least, SHARE * len(h))
             # the salt follows from what the block holds, so that a repeated task deals alike
             salt = int(mixed(np.array([h[0] ^ np.uint64(len(h)) ^ np.uint64(ids[0] & 0x7FFFFFFF)]))[0] % np.uint64(SALTS - 1)) + 1
             hot = values[often].view(np.int64)
@@ -115,15 +125,16 @@ def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
                 np.r_[np.where(often[of], salt, 0), np.zeros(n, np.int64)].astype(np.int32),
                 np.r_[ids, np.zeros(n, np.int64)],
                 np.r_[pos, np.full(n, -1)].astype(np.int32),
+                np.r_[own, np.zeros(n, np.int64)].astype(np.int32),
             )
             for at in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["h", "salt", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["h", "salt", "doc_id", "pos", "own"])
 
-    return documents.mapInArrow(run, "h long, salt int, doc_id long, pos int")
+    return documents.mapInArrow(run, "h long, salt int, doc_id long, pos int, own int")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(h, salt, hot, doc_id, pos) of the anchors whose h occurs again; hot: other salts hold it too."""
+    """(h, salt, hot, doc_id, pos, own) of the anchors whose h occurs again; hot: other salts hold it too."""
 
     def f(table: pa.Table) -> pa.RecordBatch | None:
         h, salt, pos = (table[c].to_numpy() for c in ("h", "salt", "pos"))
@@ -134,16 +145,16 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         keep = (pos >= 0) & (hot | np.repeat(sizes > 1, sizes))
         if not keep.any():
             return None
-        out = table.select(["h", "salt", "doc_id", "pos"]).append_column("hot", pa.array(hot)).filter(pa.array(keep)).combine_chunks()
-        return out.select(["h", "salt", "hot", "doc_id", "pos"]).to_batches()[0]
+        out = table.select(["h", "salt", "doc_id", "pos", "own"]).append_column("hot", pa.array(hot)).filter(pa.array(keep)).combine_chunks()
+        return out.select(["h", "salt", "hot", "doc_id", "pos", "own"]).to_batches()[0]
 
-    return over_groups(rows, ["h", "salt"], f, "h long, salt int, hot boolean, doc_id long, pos int", rows=200_000)
+    return over_groups(rows, ["h", "salt"], f, "h long, salt int, hot boolean, doc_id long, pos int, own int", rows=200_000)
 
 
 def contexts(documents: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(h, salt, hot, doc_id, pos, n_left, ctx): the bytes around each repeated anchor, of which n_left are before it."""
+    """(h, salt, hot, doc_id, pos, own, n_left, ctx): the bytes around each repeated anchor, of which n_left are before it."""
     # the anchors of one document: their number is bounded by its length
-    by_doc = repeated.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "salt", "hot", "pos")])
+    by_doc = repeated.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "salt", "hot", "pos", "own")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +162,7 @@ def contexts(documents: DataFrame, repeated: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             counts = np.asarray(batch.column("poss").value_lengths())
             bounds = np.r_[0, np.cumsum(counts)]
-            flat = {c: batch.column(f"{c}s").flatten().to_numpy(zero_copy_only=False) for c in ("h", "salt", "hot", "pos")}
+            flat = {c: batch.column(f"{c}s").flatten().to_numpy(zero_copy_only=False) for c in ("h", "salt", "hot", "pos", "own")}
             doc = np.repeat(np.arange(len(ids)), counts)
             for at in range(0, bounds[-1], 20_000):
                 part = slice(at, min(at + 20_000, bounds[-1]))
@@ -165,13 +176,13 @@ def contexts(documents: DataFrame, repeated: DataFrame) -> DataFrame:
                 text = data[ranges(offsets[d] + pos - left, left + right)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(flat["h"][part][fits]), pa.array(flat["salt"][part][fits]), pa.array(flat["hot"][part][fits]), pa.array(ids[d]), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int32)),
+                        pa.array(flat["h"][part][fits]), pa.array(flat["salt"][part][fits]), pa.array(flat["hot"][part][fits]), pa.array(ids[d]), pa.array(pos.astype(np.int32)), pa.array(flat["own"][part][fits]), pa.array(left.astype(np.int32)),
                         binary_column(text, np.r_[0, np.cumsum(left + right)]),
                     ],
-                    ["h", "salt", "hot", "doc_id", "pos", "n_left", "ctx"],
+                    ["h", "salt", "hot", "doc_id", "pos", "own", "n_left", "ctx"],
                 )
 
-    return documents.join(by_doc, "doc_id").mapInArrow(run, "h long, salt int, hot boolean, doc_id long, pos int, n_left int, ctx binary")
+    return documents.join(by_doc, "doc_id").mapInArrow(run, "h long, salt int, hot boolean, doc_id long, pos int, own int, n_left int, ctx binary")
 
 
 def multikey_quicksort(words: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +282,7 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     """(doc_id, s, e, w1, w2) of buckets: stretches that are repeats; and, where w1 is there, first strings of a part of a hot bucket."""
     table = table.combine_chunks()
     n = table.num_rows
-    ids, pos, left, hot = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n_left", "hot"))
+    ids, pos, left, hot, own = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n_left", "hot", "own"))
     key = np.stack([table["h"].to_numpy(), table["salt"].to_numpy().astype(np.int64)], 1)
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(1)])
     # in each bucket by place in the corpus
@@ -279,6 +290,7 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     data, offsets = text_buffer(table["ctx"].chunk(0))
     begin, size = offsets[:-1][place], np.diff(offsets)[place]
     ids, pos, left, hot = ids[place], pos[place].astype(np.int64), left[place].astype(np.int64), hot[place]
+    own = own[place]
     right = size - left
     after = np.zeros((n, LENGTH), np.uint8)
     after[np.repeat(np.arange(n), right), ranges(np.zeros(n, np.int64), right)] = data[ranges(begin + left, right)]
@@ -304,7 +316,8 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     _, end = np.nonzero(covered[:, :-1] & ~covered[:, 1:])
     # places start .. end - 1: the strings from pos - end + 1 to pos - start
     columns = [ids[row], pos[row] - end + 1, pos[row] - start + LENGTH]
-    row, o = np.nonzero(first & hot[:, None])
+    # a string goes by the anchor of its least hash; equal strings have the same
+    row, o = np.nonzero(first & hot[:, None] & (np.arange(PLACES) >= own[:, None] // 128) & (np.arange(PLACES) <= own[:, None] % 128))
     w = np.zeros((2, len(row)), np.uint64)
     for at in range(0, len(row), 20_000):
         part = slice(at, at + 20_000)
