@@ -109,9 +109,9 @@ def win4_periodicity(s, d):
 
 
 @query(A.cte("packets") + """, q as (select seq, coalesce((micros - lag(micros) over (order by seq)) / 1e6, 0) as delta from packets)
- select seq, round(delta, 6) as delta, delta < 0 as out_of_order, round(least(greatest(delta, 0) / 60, 5), 6) as delay, greatest(delta, 0) / 60 > 5 as capped from q""")
+ select seq, round(delta, 6) as delta, delta < 0 as out_of_order, least(greatest(delta, 0) / 60, 5) as delay, greatest(delta, 0) / 60 > 5 as capped from q""")
 def win6_replay_gaps(s, d):
-    return W.replay_gaps(A.packets_events(s, d), 60.0, 5.0).select("seq", F.round("delta", 6).alias("delta"), "out_of_order", F.round("delay", 6).alias("delay"), "capped")
+    return W.replay_gaps(A.packets_events(s, d), 60.0, 5.0).select("seq", F.round("delta", 6).alias("delta"), "out_of_order", "delay", "capped")
 
 
 @query(SEGMENTED + """, e as (select min(micros) as first, max(micros) as last from p group by k, segment), v as (select first as t, 1 as d from e union all select last, -1 from e)
