@@ -22,7 +22,7 @@ SAMPLE = 4000
 FEATURES = 1 << 12
 #: keeps a step finite along mixtures that the documents hardly differ in
 RIDGE = 1e-7
-ROUNDS = 40
+ROUNDS = 20
 CLOSE = 1e-6
 
 
@@ -85,11 +85,11 @@ def rates(rows: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: i
             break
         miss = (np.array(sums, float) - goal) / scale
         error = float((miss * miss).sum())
-        if error >= least * 0.9999:
+        if error >= least * 0.99:
             # no gain: a shorter step, and in the end none
             halved += 1
             steps[-1] = [v / 2 for v in steps[-1]]
-            if halved > 4:
+            if halved > 2:
                 steps.pop()
                 break
             continue
