@@ -1,8 +1,8 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through an inverted index.
 
-A score is a function of the text alone. Terms are those whose presence goes with the label beyond chance and
-strongly (chi-square of at least ``CHI2`` in at least ``LEAST_DOCS`` examples, and ``LIFT`` times the overall rate
-of the label among them; the ``TERMS`` of the largest chi-square); their document frequencies are counted over all documents. At most ``SAMPLE`` labelled rows, drawn by a hash of the id, are
+A score is a function of the text alone. Terms are all those whose presence goes with the label, either way, beyond
+chance (chi-square of at least ``CHI2`` in at least ``LEAST_DOCS`` examples); their document frequencies are counted
+over all documents. At most ``SAMPLE`` labelled rows, drawn by a hash of the id, are
 examples. The k nearest vote with the square of their cosine; an isotonic map, fitted on the examples with each
 left out of its own vote, turns votes into calibrated scores.
 """
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import ranges, texts_of, written
 
 SAMPLE = 20_000
-TERMS = 1024
-CHI2 = 25.0
-LIFT = 3.0
+#: chance alone goes beyond it for one term in a thousand
+CHI2 = 10.83
 LEAST_DOCS = 5
 NEIGHBOURS = 32
+#: texts scored at once
 BLOCK = 64
+#: a term of more than this share of the examples has a dense row
+DENSE = 0.02
 #: weight of the overall rate among the votes
 PRIOR = 0.5
 THRESHOLD = 0.3
@@ -44,59 +46,73 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples in blocks of BLOCK; for each term and block its postings and their largest weight."""
+    """Examples by term: postings of the rare terms, dense rows of the frequent ones; and each example's own vector."""
 
     ids: np.ndarray
     labels: np.ndarray
+    #: postings by term, without those of frequent terms
     entry: np.ndarray
     weight: np.ndarray
     bounds: np.ndarray
-    top: np.ndarray
+    #: the row of a frequent term in dense, or -1
+    row: np.ndarray
+    dense: np.ndarray
+    #: vectors by example
+    own_term: np.ndarray
+    own_weight: np.ndarray
+    own_bounds: np.ndarray
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-        # examples whose strongest term is the same share blocks, which keeps the blocks' bounds tight
-        lead = [(int(t[w.argmax()]), tuple(t.tolist()), int(i)) if len(t) else (terms, (), int(i)) for (t, w), i in zip(vectors, ids, strict=True)]
-        order = sorted(range(len(ids)), key=lead.__getitem__)
-        blocks = max(1, -(-len(ids) // BLOCK))
+        order = np.argsort(ids, kind="stable")
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0)]).astype(np.int64)
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)]).astype(float)
-        entry = np.repeat(np.arange(len(ids)), [len(vectors[i][0]) for i in order])
-        cell = term * blocks + entry // BLOCK
-        place = np.lexsort((entry, cell))
-        bounds = np.searchsorted(cell[place], np.arange(terms * blocks + 1))
-        top = np.zeros(terms * blocks)
-        np.maximum.at(top, cell, weight)
-        order = np.array(order, np.int64)
-        return cls(ids[order], labels[order], entry[place], weight[place], bounds, top.reshape(terms, blocks))
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of the chosen blocks that share a term, with their cosines."""
-        cells = (terms[:, None] * self.top.shape[1] + chosen[None]).ravel()
-        starts, ends = self.bounds[cells], self.bounds[cells + 1]
-        at = ranges(starts, ends - starts)
-        entries, of = np.unique(self.entry[at], return_inverse=True)
-        return entries, np.bincount(of, np.repeat(np.repeat(weights, len(chosen)), ends - starts) * self.weight[at], minlength=len(entries))
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        entry = np.repeat(np.arange(len(ids)), sizes)
+        often = np.bincount(term, minlength=terms) > DENSE * len(ids)
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        dense = np.zeros((int(often.sum()), len(ids)), np.float32)
+        thick = often[term]
+        dense[row[term[thick]], entry[thick]] = weight[thick]
+        t, e, w = term[~thick], entry[~thick], weight[~thick]
+        place = np.lexsort((e, t))
+        bounds = np.searchsorted(t[place], np.arange(terms + 1))
+        return cls(ids[order], labels[order], e[place], w[place], bounds, row, dense, term, weight, np.r_[0, np.cumsum(sizes)])
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query at most k entries of the largest positive cosines, largest first, and ties by id.
+
+        Exact: single precision finds every entry that can be among the k, and these are compared in double precision.
+        """
+        found = []
+        for first in range(0, len(queries), BLOCK):
+            part = queries[first : first + BLOCK]
+            thick = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(part):
+                often = self.row[t] >= 0
+                thick[i, self.row[t[often]]] = w[often]
+            near = thick @ self.dense
+            for i, (t, w) in enumerate(part):
+                starts, lengths = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
+                at = ranges(starts, lengths)
+                cosine = near[i]
+                if len(at):
+                    cosine = cosine + np.bincount(self.entry[at], np.repeat(w, lengths) * self.weight[at], minlength=len(self.ids))
+                if without is not None and without[first + i] >= 0:
+                    cosine[without[first + i]] = 0
+                least = np.partition(cosine, -k)[-k] - 1e-5 if len(cosine) > k else 0.0
+                entries = np.flatnonzero((cosine > 0) & (cosine >= least))
+                query = np.zeros(len(self.row))
+                query[t] = w
+                starts, lengths = self.own_bounds[entries], self.own_bounds[entries + 1] - self.own_bounds[entries]
+                at = ranges(starts, lengths)
+                exact = np.bincount(np.repeat(np.arange(len(entries)), lengths), query[self.own_term[at]] * self.own_weight[at], minlength=len(entries))
+                keep = np.lexsort((entries, -np.round(exact, 12)))[:k]
+                found.append((entries[keep], exact[keep]))
+        return found
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """k entries of the largest positive cosines, largest first.
-
-        Exact: the blocks of the largest bounds come first, and then every block whose bound is above the k-th cosine
-        so far. Of entries that tie with the k-th, those of the first blocks are taken.
-        """
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        entries, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for chosen in (order[:4], order[4:]):
-            chosen = chosen[bound[chosen] > least + 1e-12]
-            if len(chosen):
-                e, c = self.scores(terms, weights, chosen)
-                entries, cosines = np.r_[entries, e[e != without]], np.r_[cosines, c[e != without]]
-                keep = np.lexsort((entries, -np.round(cosines, 12)))[:k]
-                entries, cosines = entries[keep], cosines[keep]
-                least = cosines[-1] if len(cosines) == k else 0.0
-        return entries, cosines
+        return self.nearest_of([(terms, weights)], k, [without])[0]
 
 
 def vote(scores: np.ndarray, labels: np.ndarray, rate: float) -> float:
@@ -134,13 +150,19 @@ class Model:
     empty_rate: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def score(self, terms: list[int], counts: list[int], k: int) -> tuple[float, list[dict]]:
-        if not terms:
-            return self.empty_rate, []
-        entries, cosines = self.index.nearest(*weighted(self.idf, terms, counts), k)
-        raw = vote(cosines, self.index.labels[entries], self.rate)
-        shown = [{"doc_id": int(self.index.ids[e]), "similarity": float(c), "toxic": int(self.index.labels[e])} for e, c in zip(entries[:3], cosines[:3], strict=True)]
-        return float(np.interp(raw, *self.knots)), shown
+    def scores(self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], k: int) -> list[tuple[float, list[dict]]]:
+        """Score and evidence of each (terms, counts)."""
+        near = iter(self.index.nearest_of([weighted(self.idf, t, c) for t, c in texts if t], k))
+        out = []
+        for t, _ in texts:
+            if not t:
+                out.append((self.empty_rate, []))
+                continue
+            entries, cosines = next(near)
+            raw = vote(cosines, self.index.labels[entries], self.rate)
+            shown = [{"doc_id": int(self.index.ids[e]), "similarity": float(c), "toxic": int(self.index.labels[e])} for e, c in zip(entries[:3], cosines[:3], strict=True)]
+            out.append((float(np.interp(raw, *self.knots)), shown))
+        return out
 
 
 def term_counts(documents: DataFrame, terms: list[str]) -> DataFrame:
@@ -159,7 +181,7 @@ def term_counts(documents: DataFrame, terms: list[str]) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
-def telling_terms(examples: DataFrame, most: int = TERMS, chi2: float = CHI2, least: int = LEAST_DOCS) -> list[str]:
+def telling_terms(examples: DataFrame, chi2: float = CHI2, least: int = LEAST_DOCS) -> list[str]:
     """The terms of (text, y) whose presence goes with y, strongest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +200,8 @@ def telling_terms(examples: DataFrame, most: int = TERMS, chi2: float = CHI2, le
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     cross = n1 * (F.lit(y0) - n0) - n0 * (F.lit(y1) - n1)
     stat = (y1 + y0) * cross * cross / (y1 * y0 * (n1 + n0) * (F.lit(y1 + y0) - n1 - n0))
-    ranked = seen.where((F.col("n1") + F.col("n0") >= least) & (F.col("n1") + F.col("n0") < y1 + y0)).withColumn("chi2", stat).where((F.col("chi2") >= chi2) & (n1 * (y1 + y0) >= LIFT * y1 * (n1 + n0)))
-    return [r["term"] for r in ranked.orderBy(F.desc("chi2"), "term").limit(most).collect()]
+    ranked = seen.where((F.col("n1") + F.col("n0") >= least) & (F.col("n1") + F.col("n0") < y1 + y0)).withColumn("chi2", stat).where(F.col("chi2") >= chi2)
+    return [r["term"] for r in ranked.orderBy(F.desc("chi2"), "term").collect()]
 
 
 def fit(counted: DataFrame, labels: DataFrame, terms: list[str], k: int = NEIGHBOURS) -> Model:
@@ -203,10 +225,9 @@ def fit(counted: DataFrame, labels: DataFrame, terms: list[str], k: int = NEIGHB
         m = shared.value
         place = {int(i): e for e, i in enumerate(m.index.ids)}
         for batch in batches:
-            raw = []
-            for i, t, c in zip(batch.column("doc_id").to_pylist(), batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                entries, cosines = m.index.nearest(*weighted(m.idf, t, c), k, without=place[i])
-                raw.append(vote(cosines, m.index.labels[entries], m.rate))
+            texts = [weighted(m.idf, t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            near = m.index.nearest_of(texts, k, [place[i] for i in batch.column("doc_id").to_pylist()])
+            raw = [vote(cosines, m.index.labels[entries], m.rate) for entries, cosines in near]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("y")], ["raw", "y"])
 
     tried = examples.where("size(terms) > 0").repartition(counted.sparkSession.sparkContext.defaultParallelism).mapInArrow(votes, "raw double, y int").toArrow()
@@ -234,14 +255,12 @@ def scored(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
         for batch in batches:
-            out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.value.score(t, c, k)
-                out.append(known[key])
+            keys = [(tuple(t), tuple(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            if len(known) > 50_000:
+                known.clear()
+            new = list(dict.fromkeys(x for x in keys if x not in known))
+            known.update(zip(new, model.value.scores(new, k), strict=True))
+            out = [known[x] for x in keys]
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 

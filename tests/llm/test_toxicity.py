@@ -49,3 +49,20 @@ def test_edges(spark):
     assert toxicity.scored(docs.limit(0), labels).count() == 0
     assert toxicity.scored(docs, labels.limit(0)).count() == 4
     assert toxicity.accepted(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_terms_lean_both_ways_at_any_rate(spark):
+    # half of the examples are toxic, so that no term can triple the rate
+    rows = [(i, f"bad{i % 3} w{i}" if i % 2 else f"kind{i % 3} w{i}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    want = {f"{w}{i}" for w in ("bad", "kind") for i in range(3)}
+    assert set(toxicity.telling_terms(docs.select("text", "y"))) == want
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, docs.selectExpr("doc_id", "y toxic")).collect()}
+    assert all(r["evidence"] and r["predicted"] == i % 2 for i, r in got.items())
+    assert {r["doc_id"] for r in toxicity.accepted(docs, docs.selectExpr("doc_id", "y toxic")).collect()} == set(range(0, 400, 2))
+
+
+def test_terms_have_no_cap(spark):
+    many = " ".join(f"t{i}" for i in range(3000))
+    docs = spark.createDataFrame([(many if i % 8 == 0 else f"w{i}", int(i % 8 == 0)) for i in range(160)], "text string, y int")
+    assert len(toxicity.telling_terms(docs)) == 3000
