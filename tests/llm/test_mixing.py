@@ -44,3 +44,29 @@ def test_edges(spark):
     assert mixing.mixed(docs.limit(0), none).count() == 0
     doubled = mixing.repeated_to_rates(docs, rated.withColumn("rate", F.lit(2.0)))
     assert doubled.columns == docs.columns and doubled.count() == 9
+
+
+def test_rates_at_the_floor_reach_the_minimum(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.05, 0.3, 1], 300)
+    n = rng.integers(1, 500, 300)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    # within reach, as there are such rates: most at the floor, the others well above it
+    goal = (n[:, None] * p * np.where(p[:, :1] > 0.1, 5.0, 1.0)[:, [0]]).sum(0)
+    rated, expected = mixing.rates(df, goal.tolist(), floor=1.0)
+    assert rated.agg({"rate": "min"}).first()[0] >= 1
+    assert np.abs(expected - goal).max() <= mixing.CLOSE * goal.sum()
+    # out of reach: as near as a long plain search comes
+    goal = (n[:, None] * p).sum(0) * [1.3, 1.0, 1.2]
+    _, expected = mixing.rates(df, goal.tolist(), floor=1.0)
+    x = np.ones(300)
+    for _ in range(20000):
+        x = np.maximum(1, x - 0.5 * (p @ (((x * n) @ p - goal) / goal.sum())))
+    least = np.linalg.norm((x * n) @ p - goal) / goal.sum()
+    assert np.linalg.norm(expected - goal) / goal.sum() <= least + 1e-5
+
+
+def test_miss_is_told(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = mixing.mixed(docs, mixing.domains_of(labels), {"good": 0.7, "poor": 0.2, "toxic": 0.1}).toPandas()
+    assert rows.groupby("domain").miss.nunique().eq(1).all() and rows.miss.abs().max() < 0.02
