@@ -5,18 +5,20 @@ Everything runs as DataFrame functions and Spark ML. Positions are code points,
 * Base rules name certain spans of four kinds (email, ip, card, phone); they always stay.
 * Loose generators propose further, overlapping spans: spelled-out addresses and any run of digit groups.
 * Boosted trees score a proposal from its format and the characters around it. They are fitted on at most
-  ``FIT_ROWS`` proposals whose label is whether a base rule confirms them; a confirmed phone is also shown
-  without its plus sign, so that the sign alone doesn't decide.
-* Per kind, the threshold is the lowest score above which at least ``PRECISION`` of the held-out proposals are
-  confirmed. A kind without such a score selects nothing beyond the base.
+  ``FIT_ROWS`` proposals, shared out among the kinds, whose label is whether a base rule confirms them; a confirmed
+  phone is also shown without its plus sign, so that the sign alone doesn't decide.
+* Per kind, the threshold is the lowest score above which at least ``PRECISION`` of all proposals in the held-out
+  quarter of the documents are confirmed. A kind without such a score selects nothing beyond the base.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import texts_of, written
@@ -115,6 +117,31 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mark", F.col("kind").alias("name"), "s", "e", "base", *[v.cast("double").alias(k) for k, v in values.items()])
 
 
+def fit_sample(loose: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, drawn by a hash: all of the rare kinds, and as many of each other kind."""
+    counts = sorted((r["count"], r["kind"]) for r in loose.groupBy("kind").count().collect())
+    parts, left = [], most
+    for i, (n, kind) in enumerate(counts):
+        take = min(n, left // (len(counts) - i))
+        left -= take
+        parts.append(loose.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "s", "e"), "doc_id", "s", "e").limit(take))
+    return reduce(DataFrame.unionByName, parts, loose.limit(0)).select(*FEATURES, "confirmed")
+
+
+def thresholds(held: DataFrame, precision: float) -> dict[float, float]:
+    """By kind, the lowest score above which at least that share of the rows (kind, score, confirmed) is confirmed."""
+    # scores are rounded, so that the number of groups is bounded
+    groups = held.groupBy("kind", "score").agg(F.sum("confirmed").alias("y"), F.count(F.lit(1)).alias("n")).collect()
+    seen: dict[float, tuple[float, int]] = {}
+    limits: dict[float, float] = {}
+    for g in sorted(groups, key=lambda g: -g["score"]):
+        y, n = seen.get(g["kind"], (0.0, 0))
+        seen[g["kind"]] = y, n = y + g["y"], n + g["n"]
+        if y >= precision * n:
+            limits[g["kind"]] = g["score"]
+    return limits
+
+
 def detected(documents: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> DataFrame:
     """(doc_id, mark, spans): the selected spans of each text of (doc_id, text) that has any.
 
@@ -130,19 +157,17 @@ def detected(documents: DataFrame, fit_rows: int = FIT_ROWS, precision: float =
     meets = F.coalesce(F.exists("sure", lambda b: (b["bs"] < F.col("e")) & (F.col("s") < b["be"])), F.lit(False))
     loose = loose.withColumn("confirmed", meets.cast("double")).drop("sure")
 
-    sample = loose.orderBy(F.xxhash64("doc_id", "s", "e"), "doc_id", "s", "e").limit(fit_rows).select(*FEATURES, "confirmed", F.pmod(F.xxhash64("s", "doc_id"), F.lit(4)).alias("fold"))
+    loose = written(loose, "loose").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
     # without the sign, a confirmed phone is still one
-    bare = sample.where((F.col("plus") == 1) & (F.col("confirmed") == 1)).withColumn("plus", F.lit(0.0))
-    sample = written(sample.unionByName(bare), "fit").coalesce(1)
-    counts = sample.where("fold > 0").agg(F.sum("confirmed"), F.count(F.lit(1))).first()
+    bare = lambda df: df.unionByName(df.where((F.col("plus") == 1) & (F.col("confirmed") == 1)).withColumn("plus", F.lit(0.0)))
+    sample = written(bare(fit_sample(loose.where("fold > 0"), fit_rows)), "fit").coalesce(1)
+    counts = sample.agg(F.sum("confirmed"), F.count(F.lit(1))).first()
     chosen = None
     if counts[0] and counts[0] < counts[1]:
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(labelCol="confirmed", maxIter=12, maxDepth=4, seed=5, maxBins=64).fit(assembler.transform(sample.where("fold > 0")))
-        scored = lambda df: model.transform(assembler.transform(df)).withColumn("score", F.round(vector_to_array("probability")[1], 6)).drop("features", "probability", "rawPrediction", "prediction")
-        above = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-        held = scored(sample.where("fold = 0")).select("kind", "score", F.avg("confirmed").over(above).alias("precision"))
-        limits = {r["kind"]: r["least"] for r in held.where(F.col("precision") >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()}
+        model = GBTClassifier(labelCol="confirmed", maxIter=12, maxDepth=4, seed=5, maxBins=64).fit(assembler.transform(sample))
+        scored = lambda df: model.transform(assembler.transform(df)).withColumn("score", F.round(vector_to_array("probability")[1], 4)).drop("features", "probability", "rawPrediction", "prediction")
+        limits = thresholds(scored(bare(loose.where("fold = 0").select(*FEATURES, "confirmed"))), precision)
         if limits:
             limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(2.0))
             chosen = scored(loose.where("confirmed = 0")).where(F.col("score") >= limit).select("doc_id", "mark", "kind", "s", "e", "base")

@@ -68,3 +68,19 @@ def test_redact(spark):
     got = sorted(pii.redact(df).collect(), key=str)
     assert {r["text"] for r in got} == {"mail [EMAIL] now", None, "a@b.com", "[IP]"} and len(got) == 5
     assert pii.redact(df.limit(0)).count() == 0 and pii.report(df.limit(0)).count() == 0
+
+
+def test_hot_source_leaves_rare_kinds_their_thresholds(spark):
+    fold = {r["id"]: r["f"] for r in spark.range(1, 1200).selectExpr("id", "pmod(xxhash64(id), 4) f").collect()}
+    docs, late = [], []
+    for i, f in fold.items():
+        if i <= 400:
+            docs.append((i, " ; ".join(f"+49 30 {i * 7919 + j:08d}" if j % 2 else f"{i * 104729 + j * 31:09d}" for j in range(30))))
+        elif f == 0 and len(late) < 3:
+            late.append(i)
+            docs.append((i, "write to bob@host (dot) com today"))
+        else:
+            docs.append((i, f"write to bob{i}@host.com today"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = pii.detected(df.withColumn("doc_id", df.doc_id), fit_rows=120).where("exists(spans, x -> not x.base and x.k = 0)")
+    assert sorted(r["doc_id"] for r in spans.collect()) == late
