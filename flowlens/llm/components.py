@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import written
+from flowlens.llm.common import dropped, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,11 +20,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(pairs.union(pairs.select("v", "u")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges.v == labels.id).groupBy("u").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels.id == near.u).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        labels_now = labels.select("id", "label")
+        near = edges.join(labels_now, edges.v == labels_now.id).groupBy("u").agg(F.min("label").alias("m"))
+        low = labels_now.join(near, labels_now.id == near.u).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         low = written(low, "low")
         far = low.select(F.col("id").alias("via"), F.col("label").alias("far"))
         after = written(low.join(far, low.label == far.via).select("id", "old", F.least("label", "far").alias("label")), "labels")
+        dropped(labels, low)
         if after.where("label <> old").isEmpty():
+            dropped(edges)
             return after.select("id", F.col("label").alias("component_id"))
-        labels = after.select("id", "label")
+        labels = after
