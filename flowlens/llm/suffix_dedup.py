@@ -3,12 +3,13 @@
 A sparse suffix array over content-chosen anchors, sorted in buckets by deep-shallow sorting:
 
 1. Anchors. Of the 69 strings of 32 bytes in any string of 100 bytes, those of the least hash are anchors; equal
-   strings of 100 bytes hold equal anchors at equal places. About one position in 35 is an anchor. Anchors whose
-   32 bytes occur once in the corpus can't be in a repeat and go no further.
-2. Buckets. The other anchors, with the 68 bytes before and the 100 bytes from them, meet by the hash of their 32 bytes.
-   An anchor that one task sees often is dealt out under a salt of its own.
-3. Sorting. In a bucket, the suffixes from the anchors, and the reversed texts before them, are sorted: multikey quicksort
-   on words of eight bytes to a shallow depth, then a blind trie for each group that is still tied. Common prefix
+   strings of 100 bytes hold equal anchors at equal places. About one position in 35 is an anchor. Anchors meet by the hash
+   of their 32 bytes; one whose 32 bytes occur once in the corpus can't be in a repeat. An anchor that one task sees often is
+   dealt out under a salt of its own.
+2. Classes. Each anchor has a digest of the 68 bytes before and the 100 bytes from it. Of anchors that agree in all these,
+   the strings around all but the first are repeats; the first goes on, where its 32 bytes have other classes or salts.
+3. Buckets and sorting. In a bucket, the suffixes from the anchors, and the reversed texts before them, are sorted: multikey
+   quicksort on words of eight bytes to a shallow depth, then a blind trie for each group that is still tied. Common prefix
    lengths of neighbours then give, for each of the 69 places of a string around its anchor, the classes of equal strings;
    all but the first of a class are repeats.
 4. Salted buckets pass the strings that are first in their part on, as 128-bit digests, to one more minimum over all parts.
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import binary_column, freed, over_groups, ranges, text_buffer, texts_of, written
-from flowlens.llm.shingles import chunks, mixed
+from flowlens.llm.common import binary_column, dropped, freed, over_groups, ranges, text_buffer, texts_of, written
+from flowlens.llm.shingles import chunks, mixed, powers
 
 LENGTH = 100
 ANCHOR = 32
@@ -52,37 +53,33 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, own) of the anchors in a stretch of bytes.
-
-    own is 128 times the least place at which the anchor has the least hash of a string, plus the largest such place; the
-    places between are such as well.
-    """
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of every string of 32 bytes."""
     h, size, step = _CODES[data], 1, 0
     while size < ANCHOR:
         h = h[:-size] * _STEPS[step] + h[size:]
         size, step = size * 2, step + 1
-    h = mixed(h)
+    return mixed(h)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the anchors in a stretch of bytes."""
+    if len(data) < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = anchor_hashes(data)
     least = sliding(h, PLACES, np.minimum)
     # a place is an anchor if it is the least of one of the windows that hold it
     edge = np.zeros(PLACES - 1, np.uint64)
     highest = sliding(np.concatenate((edge, least, edge)), PLACES, np.maximum)
     at = np.flatnonzero(highest == h)
-    wide = np.concatenate((edge, least, edge))
-    own = np.zeros(len(at), np.int64)
-    for s in range(0, len(at), 20_000):
-        a = at[s : s + 20_000]
-        mine = wide[a[:, None] + np.arange(PLACES)] == h[a][:, None]
-        own[s : s + len(a)] = 128 * mine[:, ::-1].argmax(1) + PLACES - 1 - mine.argmax(1)
-    return at, h[at], own
+    return at, h[at]
 
 
 def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
-    """(h, salt, doc_id, pos, own): own as in anchors(). For each salted h a row without a position under salt 0 tells that h occurs elsewhere.
+    """(h, salt, c, doc_id, pos, right): c is a digest of what is around the anchor, right the bytes from its start, 100 at most.
 
-    A text that the task has had under a smaller id is left out: its own strings all start earlier there.
+    For each salted h a row without a position under salt 0 tells that h occurs elsewhere. A text that the task has had
+    under a smaller id is left out: its own strings all start earlier there.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -100,12 +97,18 @@ def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
                         key = hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest()
                         use[i - s] = had.get(key, ids[i] + 1) >= ids[i]
                         had[key] = min(int(ids[i]), had.get(key, int(ids[i])))
-                pos, h, own = anchors(data[offsets[s] : offsets[e]])
+                text = data[offsets[s] : offsets[e]]
+                pos, h = anchors(text)
                 local = offsets[s : e + 1] - offsets[s]
                 doc = np.searchsorted(local, pos, "right") - 1
                 keep = use[doc] & (pos + ANCHOR <= local[doc + 1])
-                held.append((h[keep], ids[s:e][doc[keep]], pos[keep] - local[doc[keep]], own[keep]))
-                count += int(keep.sum())
+                pos, h, doc = pos[keep], h[keep], doc[keep]
+                begin, end = np.maximum(pos - PLACES + 1, local[doc]), np.minimum(pos + LENGTH, local[doc + 1])
+                up, down = powers(len(text) + 1)
+                total = np.r_[np.zeros(1, np.uint64), np.cumsum(_CODES[text] * up[: len(text)])]
+                c = mixed((total[end] - total[begin]) * down[begin] + (256 * (pos - begin) + end - pos).astype(np.uint64) * _STEPS[15])
+                held.append((h, c, ids[s:e][doc], pos - local[doc], end - pos))
+                count += len(pos)
                 if count >= BLOCK:
                     yield tuple(map(np.concatenate, zip(*held, strict=True)))
                     held, count = [], 0
@@ -113,60 +116,74 @@ def anchor_rows(documents: DataFrame, least: int = OFTEN) -> DataFrame:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, pos, own in blocks(batches):
+        for h, c, ids, pos, right in blocks(batches):
             values, of, counts = np.unique(h, return_inverse=True, return_counts=True)
             often = counts >= max(least, SHARE * len(h))
             # the salt follows from what the block holds, so that a repeated task deals alike
             salt = int(mixed(np.array([h[0] ^ np.uint64(len(h)) ^ np.uint64(ids[0] & 0x7FFFFFFF)]))[0] % np.uint64(SALTS - 1)) + 1
             hot = values[often].view(np.int64)
-            n = len(hot)
-            columns = (
-                np.r_[h.view(np.int64), hot],
-                np.r_[np.where(often[of], salt, 0), np.zeros(n, np.int64)].astype(np.int32),
-                np.r_[ids, np.zeros(n, np.int64)],
-                np.r_[pos, np.full(n, -1)].astype(np.int32),
-                np.r_[own, np.zeros(n, np.int64)].astype(np.int32),
-            )
+            none = np.zeros(len(hot), np.int64)
+            columns = (np.r_[h.view(np.int64), hot], np.r_[np.where(often[of], salt, 0), none].astype(np.int32), np.r_[c.view(np.int64), none], np.r_[ids, none], np.r_[pos, none - 1].astype(np.int32), np.r_[right, none].astype(np.int32))
             for at in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["h", "salt", "doc_id", "pos", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], ["h", "salt", "c", "doc_id", "pos", "right"])
+
+    packed = documents.mapInArrow(run, "h long, salt int, c long, doc_id long, pos int, right int")
+    # one number for three makes the shuffled rows smaller
+    return packed.select("h", "c", "doc_id", (F.shiftleft(F.col("pos").cast("long"), 24) + F.shiftleft("salt", 8) + F.col("right")).alias("p"), F.col("salt"))
+
 
-    return documents.mapInArrow(run, "h long, salt int, doc_id long, pos int, own int")
+def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pos, salt, right) of anchor_rows' p."""
+    return p >> 24, p >> 8 & 0xFFFF, p & 0xFF
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(h, salt, hot, doc_id, pos, own) of the anchors whose h occurs again; hot: other salts hold it too."""
+    """(h, hot, doc_id, p) of the first anchor of each class whose h has other classes or other salts (hot); and, where h is null, (doc_id, s, e) of all the strings around the others."""
 
     def f(table: pa.Table) -> pa.RecordBatch | None:
-        h, salt, pos = (table[c].to_numpy() for c in ("h", "salt", "pos"))
+        h, c, ids, p = (table[k].to_numpy() for k in ("h", "c", "doc_id", "p"))
+        pos, salt, right = unpacked(p)
         starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
         sizes = np.diff(np.r_[starts, len(h)])
-        told = np.logical_or.reduceat(pos < 0, starts)
-        hot = np.repeat((salt[starts] > 0) | told, sizes)
-        keep = (pos >= 0) & (hot | np.repeat(sizes > 1, sizes))
-        if not keep.any():
+        group = np.repeat(np.arange(len(starts)), sizes)
+        hot = (salt[starts] > 0) | np.logical_or.reduceat(pos < 0, starts)
+        order = np.lexsort((pos, ids, c, group))
+        order = order[pos[order] >= 0]
+        g, k = group[order], c[order]
+        first = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])][: len(order)]
+        classes = np.bincount(g[first], minlength=len(starts))
+        go = order[first][(hot | (classes > 1))[g[first]]]
+        again = order[~first]
+        left = np.minimum(pos[again], PLACES - 1)
+        again, left = again[left + right[again] >= LENGTH], left[left + right[again] >= LENGTH]
+        if not len(go) + len(again):
             return None
-        out = table.select(["h", "salt", "doc_id", "pos", "own"]).append_column("hot", pa.array(hot)).filter(pa.array(keep)).combine_chunks()
-        return out.select(["h", "salt", "hot", "doc_id", "pos", "own"]).to_batches()[0]
+        none, gone = pa.nulls(len(again), pa.int64()), pa.nulls(len(go), pa.int64())
+        columns = [
+            pa.concat_arrays([pa.array(h[go]), none]), pa.array(np.r_[hot[group[go]], np.zeros(len(again), bool)]), pa.array(np.r_[ids[go], ids[again]]),
+            pa.concat_arrays([pa.array(p[go]), none]), pa.concat_arrays([gone, pa.array(pos[again] - left)]), pa.concat_arrays([gone, pa.array(pos[again] + right[again])]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["h", "hot", "doc_id", "p", "s", "e"])
 
-    return over_groups(rows, ["h", "salt"], f, "h long, salt int, hot boolean, doc_id long, pos int, own int", rows=200_000)
+    return over_groups(rows, ["h", "salt"], f, "h long, hot boolean, doc_id long, p long, s long, e long", rows=200_000)
 
 
 def contexts(documents: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(h, salt, hot, doc_id, pos, own, n_left, ctx): the bytes around each repeated anchor, of which n_left are before it."""
+    """(h, salt, hot, doc_id, pos, n_left, ctx): the bytes around each of the anchors (h, hot, doc_id, p), of which n_left are before it."""
     # the anchors of one document: their number is bounded by its length
-    by_doc = repeated.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "salt", "hot", "pos", "own")])
+    by_doc = repeated.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "hot", "p")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            counts = np.asarray(batch.column("poss").value_lengths())
+            counts = np.asarray(batch.column("ps").value_lengths())
             bounds = np.r_[0, np.cumsum(counts)]
-            flat = {c: batch.column(f"{c}s").flatten().to_numpy(zero_copy_only=False) for c in ("h", "salt", "hot", "pos", "own")}
+            flat = {c: batch.column(f"{c}s").flatten().to_numpy(zero_copy_only=False) for c in ("h", "hot", "p")}
             doc = np.repeat(np.arange(len(ids)), counts)
             for at in range(0, bounds[-1], 20_000):
                 part = slice(at, min(at + 20_000, bounds[-1]))
-                d, pos = doc[part], flat["pos"][part].astype(np.int64)
+                d, (pos, salt, _) = doc[part], unpacked(flat["p"][part])
                 size = offsets[d + 1] - offsets[d]
                 # rows that repeat an id with another text: anchors that aren't theirs don't fit
                 fits = pos + ANCHOR <= size
@@ -174,15 +191,30 @@ def contexts(documents: DataFrame, repeated: DataFrame) -> DataFrame:
                 left = np.minimum(pos, PLACES - 1)
                 right = np.minimum(size - pos, LENGTH)
                 text = data[ranges(offsets[d] + pos - left, left + right)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(flat["h"][part][fits]), pa.array(flat["salt"][part][fits]), pa.array(flat["hot"][part][fits]), pa.array(ids[d]), pa.array(pos.astype(np.int32)), pa.array(flat["own"][part][fits]), pa.array(left.astype(np.int32)),
-                        binary_column(text, np.r_[0, np.cumsum(left + right)]),
-                    ],
-                    ["h", "salt", "hot", "doc_id", "pos", "own", "n_left", "ctx"],
-                )
-
-    return documents.join(by_doc, "doc_id").mapInArrow(run, "h long, salt int, hot boolean, doc_id long, pos int, own int, n_left int, ctx binary")
+                columns = [flat["h"][part][fits], salt[fits].astype(np.int32), flat["hot"][part][fits], ids[d], pos.astype(np.int32), left.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binary_column(text, np.r_[0, np.cumsum(left + right)])], ["h", "salt", "hot", "doc_id", "pos", "n_left", "ctx"])
+
+    return documents.join(by_doc, "doc_id").mapInArrow(run, "h long, salt int, hot boolean, doc_id long, pos int, n_left int, ctx binary")
+
+
+def own_places(data: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the places at which each anchor has the least hash of a string; data[begin + left] is where it starts."""
+    if len(data) < ANCHOR or not len(begin):
+        return np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    h = anchor_hashes(data)
+    lows, highs = [], []
+    for at in range(0, len(begin), 20_000):
+        b, l, r = begin[at : at + 20_000], left[at : at + 20_000], right[at : at + 20_000]
+        mine = h[b + l]
+        step = np.arange(1, PLACES)
+        # how far it is to a lesser hash on either side
+        before = (h[np.maximum((b + l)[:, None] - step, 0)] < mine[:, None]) & (step <= l[:, None])
+        after = (h[np.minimum(b[:, None] + l[:, None] + step, len(h) - 1)] < mine[:, None]) & (step + ANCHOR <= r[:, None])
+        a = np.where(before.any(1), before.argmax(1) + 1, PLACES)
+        k = np.where(after.any(1), after.argmax(1) + 1, PLACES)
+        lows.append(PLACES - k)
+        highs.append(a - 1)
+    return np.concatenate(lows), np.concatenate(highs)
 
 
 def multikey_quicksort(words: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +314,7 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     """(doc_id, s, e, w1, w2) of buckets: stretches that are repeats; and, where w1 is there, first strings of a part of a hot bucket."""
     table = table.combine_chunks()
     n = table.num_rows
-    ids, pos, left, hot, own = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n_left", "hot", "own"))
+    ids, pos, left, hot = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n_left", "hot"))
     key = np.stack([table["h"].to_numpy(), table["salt"].to_numpy().astype(np.int64)], 1)
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(1)])
     # in each bucket by place in the corpus
@@ -290,7 +322,6 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     data, offsets = text_buffer(table["ctx"].chunk(0))
     begin, size = offsets[:-1][place], np.diff(offsets)[place]
     ids, pos, left, hot = ids[place], pos[place].astype(np.int64), left[place].astype(np.int64), hot[place]
-    own = own[place]
     right = size - left
     after = np.zeros((n, LENGTH), np.uint8)
     after[np.repeat(np.arange(n), right), ranges(np.zeros(n, np.int64), right)] = data[ranges(begin + left, right)]
@@ -317,7 +348,10 @@ def repeats(table: pa.Table) -> pa.RecordBatch | None:
     # places start .. end - 1: the strings from pos - end + 1 to pos - start
     columns = [ids[row], pos[row] - end + 1, pos[row] - start + LENGTH]
     # a string goes by the anchor of its least hash; equal strings have the same
-    row, o = np.nonzero(first & hot[:, None] & (np.arange(PLACES) >= own[:, None] // 128) & (np.arange(PLACES) <= own[:, None] % 128))
+    some = np.flatnonzero(hot)
+    low, high = own_places(data, begin[some], left[some], right[some])
+    row, o = np.nonzero(first[some] & (np.arange(PLACES) >= low[:, None]) & (np.arange(PLACES) <= high[:, None]))
+    row = some[row]
     w = np.zeros((2, len(row)), np.uint64)
     for at in range(0, len(row), 20_000):
         part = slice(at, at + 20_000)
@@ -343,16 +377,18 @@ def spans(documents: DataFrame, often: int = OFTEN) -> DataFrame:
     digest = documents.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")).where(F.col("n") >= LENGTH)
     source = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
     copies = written(digest.join(source, "digest").where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("s"), F.col("n").alias("e")), "copies")
-    repeated = written(repeated_anchors(anchor_rows(documents, often)), "anchors")
+    anchored = written(repeated_anchors(anchor_rows(documents, often)), "anchors")
     freed(spark)
     # a copy has no string that doesn't start earlier in its source
     sources = documents.join(copies.select("doc_id"), "doc_id", "left_anti")
-    found = written(over_groups(contexts(sources, repeated), ["h", "salt"], repeats, "doc_id long, s long, e long, w1 long, w2 long", rows=60_000), "repeats")
-    freed(spark)
+    around = contexts(sources, anchored.where("h is not null").select("h", "hot", "doc_id", "p"))
+    found = written(over_groups(around, ["h", "salt"], repeats, "doc_id long, s long, e long, w1 long, w2 long", rows=60_000), "repeats")
+    sure = written(anchored.where("h is null").select("doc_id", "s", "e").unionByName(copies).unionByName(found.where("w1 is null").select("doc_id", "s", "e")), "stretches")
+    dropped(anchored, copies)
     firsts = found.where("w1 is not null")
     least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "s")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "least")
     late = firsts.join(least, ["w1", "w2"]).where(F.struct("doc_id", "s") != F.col("least"))
-    return found.where("w1 is null").select("doc_id", "s", "e").unionByName(late.select("doc_id", "s", "e")).unionByName(copies)
+    return sure.unionByName(late.select("doc_id", "s", "e"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through an inverted index.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
 A score is a function of the text alone. Terms are all those whose presence goes with the label, either way, beyond
 chance (chi-square of at least ``CHI2`` in at least ``LEAST_DOCS`` examples); their document frequencies are counted
@@ -26,10 +26,10 @@ SAMPLE = 20_000
 CHI2 = 10.83
 LEAST_DOCS = 5
 NEIGHBOURS = 32
-#: texts scored at once
+#: examples in a block of the index
 BLOCK = 64
-#: a term of more than this share of the examples has a dense row
-DENSE = 0.02
+#: blocks that are looked into first
+FIRST = 4
 #: weight of the overall rate among the votes
 PRIOR = 0.5
 THRESHOLD = 0.3
@@ -46,73 +46,67 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples by term: postings of the rare terms, dense rows of the frequent ones; and each example's own vector."""
+    """Postings by term and example; examples lie in blocks, and each term knows its largest weight in each of its blocks.
+
+    Examples are in the order of their weightiest terms, so that those of a block are alike and the others' bounds are low.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
-    #: postings by term, without those of frequent terms
+    #: postings, by term and example
     entry: np.ndarray
     weight: np.ndarray
+    #: by term and block: the block, its largest weight, and where its postings start
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    #: where a term's blocks start
     bounds: np.ndarray
-    #: the row of a frequent term in dense, or -1
-    row: np.ndarray
-    dense: np.ndarray
-    #: vectors by example
-    own_term: np.ndarray
-    own_weight: np.ndarray
-    own_bounds: np.ndarray
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-        order = np.argsort(ids, kind="stable")
+        top = [(int(t[w.argmax()]), -float(w.max())) if len(t) else (-1, 0.0) for t, w in vectors]
+        order = np.array(sorted(range(len(ids)), key=lambda i: (top[i], ids[i])), np.int64)
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0)]).astype(np.int64)
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)]).astype(float)
-        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-        entry = np.repeat(np.arange(len(ids)), sizes)
-        often = np.bincount(term, minlength=terms) > DENSE * len(ids)
-        row = np.where(often, np.cumsum(often) - 1, -1)
-        dense = np.zeros((int(often.sum()), len(ids)), np.float32)
-        thick = often[term]
-        dense[row[term[thick]], entry[thick]] = weight[thick]
-        t, e, w = term[~thick], entry[~thick], weight[~thick]
-        place = np.lexsort((e, t))
-        bounds = np.searchsorted(t[place], np.arange(terms + 1))
-        return cls(ids[order], labels[order], e[place], w[place], bounds, row, dense, term, weight, np.r_[0, np.cumsum(sizes)])
-
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query at most k entries of the largest positive cosines, largest first, and ties by id.
-
-        Exact: single precision finds every entry that can be among the k, and these are compared in double precision.
-        """
-        found = []
-        for first in range(0, len(queries), BLOCK):
-            part = queries[first : first + BLOCK]
-            thick = np.zeros((len(part), len(self.dense)), np.float32)
-            for i, (t, w) in enumerate(part):
-                often = self.row[t] >= 0
-                thick[i, self.row[t[often]]] = w[often]
-            near = thick @ self.dense
-            for i, (t, w) in enumerate(part):
-                starts, lengths = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
-                at = ranges(starts, lengths)
-                cosine = near[i]
-                if len(at):
-                    cosine = cosine + np.bincount(self.entry[at], np.repeat(w, lengths) * self.weight[at], minlength=len(self.ids))
-                if without is not None and without[first + i] >= 0:
-                    cosine[without[first + i]] = 0
-                least = np.partition(cosine, -k)[-k] - 1e-5 if len(cosine) > k else 0.0
-                entries = np.flatnonzero((cosine > 0) & (cosine >= least))
-                query = np.zeros(len(self.row))
-                query[t] = w
-                starts, lengths = self.own_bounds[entries], self.own_bounds[entries + 1] - self.own_bounds[entries]
-                at = ranges(starts, lengths)
-                exact = np.bincount(np.repeat(np.arange(len(entries)), lengths), query[self.own_term[at]] * self.own_weight[at], minlength=len(entries))
-                keep = np.lexsort((entries, -np.round(exact, 12)))[:k]
-                found.append((entries[keep], exact[keep]))
-        return found
+        entry = np.repeat(np.arange(len(ids)), [len(vectors[i][0]) for i in order])
+        place = np.lexsort((entry, term))
+        term, entry, weight = term[place], entry[place], weight[place]
+        block = entry // BLOCK
+        start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        most = np.maximum.reduceat(weight, start) if len(start) else weight
+        return cls(ids[order], labels[order], entry, weight, block[start], most, np.r_[start, len(term)], np.searchsorted(term[start], np.arange(terms + 1)))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of([(terms, weights)], k, [without])[0]
+        """At most k entries of the largest positive cosines, largest first, and ties by id.
+
+        A block's bound is the sum of its terms' largest weights times the query's. The blocks of the highest bounds come first; the others
+        only where their bound reaches the k-th cosine found there, so that no nearer example is missed.
+        """
+        lengths = self.bounds[terms + 1] - self.bounds[terms]
+        at, q = ranges(self.bounds[terms], lengths), np.repeat(weights, lengths)
+        block = self.block[at]
+        bound = np.bincount(block, q * self.most[at], minlength=-(-len(self.ids) // BLOCK))
+        cosine = np.zeros(len(self.ids))
+
+        def look_into(chosen: np.ndarray) -> None:
+            some = chosen[block]
+            sizes = self.start[at[some] + 1] - self.start[at[some]]
+            p = ranges(self.start[at[some]], sizes)
+            cosine[:] += np.bincount(self.entry[p], np.repeat(q[some], sizes) * self.weight[p], minlength=len(cosine))
+            if without >= 0:
+                cosine[without] = 0
+
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        look_into(first)
+        least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+        look_into(~first & (bound > 0) & (bound >= least - 1e-9))
+        entries = np.flatnonzero(cosine > 0)
+        if len(entries) > k:
+            entries = entries[cosine[entries] >= np.partition(cosine[entries], -k)[-k] - 1e-9]
+        keep = entries[np.lexsort((self.ids[entries], -np.round(cosine[entries], 12)))[:k]]
+        return keep, cosine[keep]
 
 
 def vote(scores: np.ndarray, labels: np.ndarray, rate: float) -> float:
@@ -121,11 +115,11 @@ def vote(scores: np.ndarray, labels: np.ndarray, rate: float) -> float:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the least-squares increasing fit: pools of adjacent violators, each at its mean x."""
-    order = np.argsort(x, kind="stable")
+    """Knots of the least-squares increasing fit: equal x are one pool, pools of adjacent violators another, each at its mean x."""
+    values, of, counts = np.unique(x, return_inverse=True, return_counts=True)
     pools: list[list[float]] = []
-    for a, b in sorted(zip(x[order], y[order], strict=True)):
-        pools.append([a, b, 1.0])
+    for a, b, n in zip(values.tolist(), (np.bincount(of, y, minlength=len(values)) / counts).tolist(), counts.tolist(), strict=True):
+        pools.append([a, b, float(n)])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             a2, b2, n2 = pools.pop()
             a1, b1, n1 = pools[-1]
@@ -152,7 +146,7 @@ class Model:
 
     def scores(self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], k: int) -> list[tuple[float, list[dict]]]:
         """Score and evidence of each (terms, counts)."""
-        near = iter(self.index.nearest_of([weighted(self.idf, t, c) for t, c in texts if t], k))
+        near = (self.index.nearest(*weighted(self.idf, t, c), k) for t, c in texts if t)
         out = []
         for t, _ in texts:
             if not t:
@@ -226,7 +220,7 @@ def fit(counted: DataFrame, labels: DataFrame, terms: list[str], k: int = NEIGHB
         place = {int(i): e for e, i in enumerate(m.index.ids)}
         for batch in batches:
             texts = [weighted(m.idf, t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            near = m.index.nearest_of(texts, k, [place[i] for i in batch.column("doc_id").to_pylist()])
+            near = [m.index.nearest(t, w, k, place[i]) for (t, w), i in zip(texts, batch.column("doc_id").to_pylist(), strict=True)]
             raw = [vote(cosines, m.index.labels[entries], m.rate) for entries, cosines in near]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("y")], ["raw", "y"])
 

@@ -15,7 +15,7 @@ def test_block_max_is_exact():
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for t, w in vectors[:100]:
+    for t, w in vectors[:200]:
         q = np.zeros(40)
         q[t] = w
         cosine = np.round(dense @ q, 12)
@@ -29,6 +29,8 @@ def test_block_max_is_exact():
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]
+    x, y = toxicity.isotonic(np.ones(4), np.array([0.0, 0, 0, 1]))
+    assert np.interp(1.0, x, y) == 0.25
 
 
 def test_held_out_accuracy(spark):
@@ -37,7 +39,7 @@ def test_held_out_accuracy(spark):
     got = toxicity.scored(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
     rank, y = got.score.rank(), got.toxic == 1
     auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
-    assert auc > 0.93
+    assert auc > 0.95
     assert got.predicted[y].mean() > 0.85 and got.predicted[~y].mean() < 0.05
 
 
