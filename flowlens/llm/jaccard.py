@@ -13,8 +13,9 @@ Two documents link when 100 * |intersection| >= percent * |union| of their sets
    components so far are taken, each once. So no link between components is lost, and a group of n copies of one
    document doesn't cost n * n pairs.
 5. The suffix filter drops pairs whose sets differ in too many shingles: each set has a sketch of the parities of its counts
-   in two to four times as many cells as it has shingles, and where two sketches differ, so do the sets. Each pair that is
-   left is verified on the whole texts.
+   in two to four times as many cells as it has shingles, and where two sketches differ, so do the sets. Rows of step 4 carry
+   one of ``CELLS`` cells, which settles pairs of shorter texts before they are named. Each pair that is left is verified on
+   the whole texts.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PERCENT = 75
 COUNTERS = 1 << 24
 #: counters in a row
 SEGMENT = 1 << 16
+#: cells of the sketch that rows carry
+CELLS = 1024
 #: ids that may be broadcast (a few MB); more are joined by shuffling
 SMALL = 200_000
 #: members of a meeting, and rows of a family of meetings, that one task takes at a time; larger ones are split
@@ -48,11 +51,11 @@ def needed(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 
 
 def digests(documents: DataFrame, width: int) -> DataFrame:
-    """A row (doc_id, n, d1, d2) for each document, and for each task rows (at, counts) of its shingle counters, a byte each."""
+    """A row (doc_id, n, d1, d2, sketch) for each document, and for each task rows (at, counts) of its shingle counters, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.uint16)
-        kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("counts", pa.binary())])
+        kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("at", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for s, e in chunks(offsets):
@@ -66,14 +69,20 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
                     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     d1[of[starts]] = np.add.reduceat(mixed(h + np.uint64(1)), starts)
                     d2[of[starts]] = np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, m), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=kind)
+                sketch = np.zeros((m, CELLS // 8), np.uint8)
+                for at in range(0, m, 1024):
+                    some = slice(*np.searchsorted(of, (at, at + 1024)))
+                    odd = np.bincount((of[some] - at) * CELLS + (h[some] & np.uint64(CELLS - 1)).astype(np.int64), minlength=min(1024, m - at) * CELLS) & 1
+                    sketch[at : at + 1024] = np.packbits(odd.astype(np.uint8).reshape(-1, CELLS), axis=1)
+                sketches = binary_column(sketch.ravel(), np.arange(m + 1) * (CELLS // 8))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, m), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), sketches, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=kind)
         none = pa.nulls(16, pa.int64())
         for at in range(0, COUNTERS, 16 * SEGMENT):
             part = counters[at : at + 16 * SEGMENT]
             if part.any():
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at // SEGMENT + np.arange(16, dtype=np.int32)), binary_column(part.astype(np.uint8), np.arange(17) * SEGMENT)], schema=kind)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(16, pa.binary()), pa.array(at // SEGMENT + np.arange(16, dtype=np.int32)), binary_column(part.astype(np.uint8), np.arange(17) * SEGMENT)], schema=kind)
 
-    return documents.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, at int, counts binary")
+    return documents.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, at int, counts binary")
 
 
 def frequencies(counters: DataFrame) -> np.ndarray:
@@ -210,7 +219,7 @@ def mixed_groups(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of (h, doc_id, n, pos, label, family, size) that share h, differ in label and pass length and positional filters.
+    """(a, b), a < b: pairs of (h, doc_id, n, pos, label, family, size, sketch) that share h, differ in label and pass length and positional filters and that of the sketches, where both have one.
 
     Groups of one family are dealt to one task, which names a pair once. Families of many rows are dealt out by h, and
     the groups of more than BLOCK members by pairs of their blocks.
@@ -220,14 +229,17 @@ def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(F.broadcast(many) if small_enough(many, SMALL) else many, "family", "left")
     parts = F.ceil(F.col("size") / BLOCK)
     block = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    dealt = rows.select("h", "doc_id", "n", "pos", "label", "family", F.pmod(F.xxhash64("h"), F.coalesce("shards", F.lit(1))).alias("shard"), block.alias("block"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("other"))
-    dealt = dealt.select("h", "doc_id", "n", "pos", "label", "family", "shard", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    dealt = rows.select("h", "doc_id", "n", "pos", "label", "sketch", "family", F.pmod(F.xxhash64("h"), F.coalesce("shards", F.lit(1))).alias("shard"), block.alias("block"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("other"))
+    dealt = dealt.select("h", "doc_id", "n", "pos", "label", "sketch", "family", "shard", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     keys = ["family", "shard", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, 100_000):
             h, ids, n, pos, label, block, x, y = (table[c].to_numpy() for c in ("h", "doc_id", "n", "pos", "label", "block", "x", "y"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
+            sketch = table["sketch"].combine_chunks()
+            sketched = np.asarray(sketch.is_valid())
+            sketch = text_buffer(sketch.fill_null(bytes(CELLS // 8)))[0].reshape(-1, CELLS // 8).view(np.uint64)
             group = np.cumsum(np.r_[False, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             found = np.zeros((0, 2), np.int64)
             held: list[np.ndarray] = []
@@ -238,8 +250,13 @@ def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 i = i[(group[i] == group[i + step]) & (n[i] * 100 >= percent * n[i + step])]
                 j = i + step
                 ok = (label[i] != label[j]) & (ids[i] != ids[j]) & ((x[i] == y[i]) | (block[i] != block[j])) & may_link(n[i], n[j], pos[i], pos[j], percent)
-                held.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], 1))
-                count, step = count + len(held[-1]), step + 1
+                for at in range(0, int(ok.sum()), 50_000):
+                    u, v = i[ok][at : at + 50_000], j[ok][at : at + 50_000]
+                    apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64) * (sketched[u] & sketched[v])
+                    near = apart <= n[u] + n[v] - 2 * needed(n[u], n[v], percent)
+                    held.append(np.stack([np.minimum(ids[u[near]], ids[v[near]]), np.maximum(ids[u[near]], ids[v[near]])], 1))
+                    count += len(held[-1])
+                step += 1
                 if count > 1_000_000:
                     found, held, count = np.unique(np.concatenate([found, *held]), axis=0), [], 0
             found = np.unique(np.concatenate([found, *held]), axis=0)
@@ -321,12 +338,11 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     documents = texts_of(documents, id_col, text_col)
     seen = written(digests(documents, width), "digests")
-    sizes = seen.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+    sizes = seen.where("doc_id is not null").select("doc_id", "n", "d1", "d2", "sketch")
     frequency = frequencies(seen.where("at is not null").select("at", "counts"))
 
     classes = sizes.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = written(sizes.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    dropped(seen)
+    members = written(sizes.drop("sketch").join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     of_class = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     met = written(meetings(prefixes(documents, frequency, width, percent), percent), "meetings")
@@ -353,8 +369,10 @@ def join_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     mixed_rows = written(mixed_groups(rest, percent), "mixed-groups")
     dropped(met, label)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(crossing_pairs(mixed_rows, percent).join(tried, ["a", "b"], "left_anti"), "second-pairs")
-    dropped(mixed_rows, first)
+    # texts that share an id have no common sketch
+    sketches = sizes.groupBy("doc_id").agg(F.min("sketch").alias("sketch"), F.max("sketch").alias("other")).select("doc_id", F.when(F.col("sketch") == F.col("other"), F.col("sketch")).alias("sketch"))
+    second = written(crossing_pairs(mixed_rows.join(sketches, "doc_id"), percent).join(tried, ["a", "b"], "left_anti"), "second-pairs")
+    dropped(mixed_rows, first, seen)
     close = after_suffix_filter(second, documents, width, percent)
     more = verified(close, documents, width, percent)
     dropped(second, close)
