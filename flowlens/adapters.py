@@ -27,6 +27,7 @@ def packets_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(back, 443).otherwise(40000).alias("source_port"),
         F.when(back, 40000).otherwise(443).alias("destination_port"),
         F.when(F.col("event_type") == "view", "udp").otherwise("tcp").alias("protocol"),
+        F.when(F.col("event_type") == "view", 17).otherwise(6).alias("protocol_number"),
         (40 + F.floor(F.col("value") * 10)).cast("long").alias("network_bytes"),
         (F.get_json_object("props", "$.k").cast("long") % 64).alias("tcp_flags"),
     )
@@ -116,7 +117,7 @@ SQL = {
         select 'cap-0' as source_id, event_id as seq, epoch_us(ts) as micros,
                case when event_id % 3 = 0 then '198.51.100.' || (user_id % 5) else '10.0.0.' || (user_id % 50) end as source_ip,
                case when event_id % 3 = 0 then '10.0.0.' || (user_id % 50) else '198.51.100.' || (user_id % 5) end as destination_ip,
-               '10.0.0.' || (user_id % 50) || '>' || '198.51.100.' || (user_id % 5) as k,
+               '4|' || case when event_type = 'view' then 17 else 6 end || '|10.0.0.' || (user_id % 50) || ':40000>198.51.100.' || (user_id % 5) || ':443|ports' as k,
                event_id % 3 = 0 as back, case when event_type = 'view' then 'udp' else 'tcp' end as protocol,
                (40 + floor(value * 10))::bigint as network_bytes, (json_extract_string(props, '$.k')::bigint % 64) as tcp_flags
         from events""",

@@ -39,6 +39,17 @@ def epoch_micros(seconds: Column, fraction: Column, units: int) -> Column:
     return F.when((fraction >= 0) & (fraction < units), seconds * 1_000_000 + F.floor(fraction * F.lit(1_000_000) / units)).cast("long")
 
 
+def packed_address(text: Column) -> Column:
+    """The bytes of an IPv4 or IPv6 address as text in hexadecimal, so that their order is that of the bytes; null for anything else."""
+    v4 = F.array_join(F.transform(F.split(text, r"\."), lambda x: F.lpad(F.hex(x.try_cast("int")), 2, "0")), "")
+    groups = lambda part: F.filter(F.split(part, ":"), lambda x: x != "")
+    wide = lambda g: F.transform(g, lambda x: F.lpad(F.upper(x), 4, "0"))
+    # a double colon stands for as many zero groups as are missing
+    left, right = groups(F.split_part(text, F.lit("::"), F.lit(1))), groups(F.split_part(text, F.lit("::"), F.lit(2)))
+    v6 = F.array_join(F.concat(wide(left), F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right)), wide(right)), "")
+    return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), v4).when(text.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), v6)
+
+
 def sha256_of(*columns: Column) -> Column:
     """Digest of the key-sorted compact JSON of columns, which have names."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
@@ -94,15 +105,7 @@ def normalize_ip(text: Column) -> Column:
     groups = F.concat(head, F.when(missing > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), tail)
     good = fits & F.forall(F.concat(head, tail), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
     short = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-    out = short
-    # the first of the longest runs of at least two zero groups
-    run = F.lit(0)
-    for n in range(8, 1, -1):
-        pattern = rf"(?:^|:)0(?::0){{{n - 1}}}(?:$|:)"
-        run = F.when((run == 0) & short.rlike(pattern), n).otherwise(run)
-    for n in range(8, 1, -1):
-        pattern = rf"(?:^|:)0(?::0){{{n - 1}}}(?:$|:)"
-        at = F.regexp_instr(short, F.lit(pattern))
-        size = F.length(F.regexp_extract(short, pattern, 0))
-        out = F.when(run == n, F.concat(F.substring(short, F.lit(1), at - 1), F.lit("::"), F.substring(short, at + size, F.lit(99)))).otherwise(out)
+    # the first of the longest runs of at least two zero groups; an address that has its double colon has no second one
+    pattern = lambda n: F.concat(F.lit("^(.*?)(?:^|:)0(?::0){"), (n - 1).cast("string"), F.lit("}(?:$|:)(.*)$"))
+    out = F.aggregate(F.sequence(F.lit(8), F.lit(2), F.lit(-1)), short, lambda x, n: F.when(x.contains("::"), x).otherwise(F.regexp_replace(x, pattern(n), F.lit("$1::$2"))))
     return F.when(v4, text).when(good, out)

@@ -8,22 +8,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.scalars import casefold_trim, clamp01
-from flowlens.operators.detect import ALERT_BANDS, severity_band
+from flowlens.functions.scalars import casefold_trim, clamp01, normalize_ip
+from flowlens.operators.detect import GROUP_BANDS, severity_band
 
 FAILURE_TOKENS = ("fail", "denied", "reject", "reset", "rst", "auth")
 
 
-def eligible_alerts(alerts: DataFrame, excluded: Sequence[str] = ("false_positive",)) -> DataFrame:
+def eligible_alerts(alerts: DataFrame, excluded: Sequence[str] = ("false_positive", "benign_expected")) -> DataFrame:
     """Alerts whose verdict (null: unreviewed) isn't excluded."""
     return alerts.withColumn("verdict", F.coalesce("verdict", F.lit("unreviewed"))).where(~F.col("verdict").isin(*excluded))
 
 
-def observed_entities(alerts: DataFrame) -> DataFrame:
-    """(alert_id, entity): source, destination and their pair, trimmed and case-folded."""
-    s, d = casefold_trim(F.col("source_ip")), casefold_trim(F.col("destination_ip"))
-    each = F.array(F.concat(F.lit("source_ip:"), s), F.concat(F.lit("destination_ip:"), d), F.concat(F.lit("pair:"), s, F.lit("->"), d))
-    return alerts.select("alert_id", F.explode(each).alias("entity")).distinct()
+def verdict_violations(alerts: DataFrame, known: Sequence[str] = ("unreviewed", "true_positive", "needs_more_information", "false_positive", "benign_expected")) -> DataFrame:
+    """(alert_id, rule): ids that occur more than once, and verdicts that are neither included nor excluded."""
+    many = alerts.groupBy("alert_id").count().where("count > 1").select("alert_id", F.lit("duplicate_id").alias("rule"))
+    return many.unionByName(alerts.where(~F.coalesce("verdict", F.lit("unreviewed")).isin(*known)).select("alert_id", F.lit("unknown_verdict").alias("rule")))
+
+
+#: kinds of entities in order, and those whose values are case-folded
+ADDRESSES = ("source_ip", "destination_ip")
+FOLDED = ("source_host", "destination_host", "user", "protocol", "service")
+KEPT = ("flow_id", "capture_session_id")
+MOST_ENTITIES = 32
+
+
+def observed_entities(alerts: DataFrame, normal: bool = False) -> DataFrame:
+    """(alert_id, entity): the known kinds among the alerts' columns as kind:value, and the pair of source and destination.
+
+    Values are trimmed, addresses put into their shortest form, hosts, users, protocols and services case-folded; empty
+    ones are left out, and at most MOST_ENTITIES of an alert stay, by kind. Columns that alerts lack count as null. ``normal``
+    says that addresses are in their shortest form already, as those of decoded packets are.
+    """
+    alerts = alerts.withColumns({f"_{k}": F.trim(k) if normal else normalize_ip(F.trim(k)) for k in ADDRESSES})
+    value = {k: F.col(f"_{k}") for k in ADDRESSES} | {k: casefold_trim(F.col(k)) for k in FOLDED if k in alerts.columns} | {k: F.trim(F.col(k).cast("string")) for k in KEPT if k in alerts.columns}
+    each = [F.when(v != "", F.concat(F.lit(f"{k}:"), v)) for k, v in value.items()]
+    each.append(F.concat(F.lit("pair:"), value["source_ip"], F.lit("->"), value["destination_ip"]))
+    return alerts.select("alert_id", F.explode(F.slice(F.array_compact(F.array(*each)), 1, MOST_ENTITIES)).alias("entity")).distinct()
 
 
 def anchored_windows(members: DataFrame, seconds: float, least: int = 2) -> DataFrame:
@@ -85,35 +105,47 @@ def group_score(risk: Column, alerts: Column, reasons: Column, rules: Column, se
 def alert_groups(alerts: DataFrame, seconds: float, least_score: float = 0.35) -> DataFrame:
     """Groups of eligible alerts: clusters of equal members under several entities are one group with the union of rules and entities."""
     use = eligible_alerts(alerts)
-    members = observed_entities(use).join(use.select("alert_id", "event_start", "event_end"), "alert_id")
+    members = observed_entities(use, normal=True).join(use.select("alert_id", "event_start", "event_end"), "alert_id")
     found = anchored_windows(members, seconds)
     full = found.join(use, "alert_id")
     rules = matched_rules(full)
     sets = found.groupBy("entity", "cluster").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("alert_id").cast("string"), 12, "0"))), ",").alias("members"))
     merged = sets.join(rules, ["entity", "cluster"]).groupBy("members").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
     facts = sets.groupBy("members").agg(F.min(F.struct("entity", "cluster")).alias("at")).select("members", "at.*").join(full, ["entity", "cluster"]).groupBy("members").agg(
-        F.count(F.lit(1)).alias("alerts"), F.avg("risk").alias("risk"), F.count_distinct("reason").alias("reasons"), F.min("event_start").alias("first_seen"), F.max("event_end").alias("last_seen"),
+        F.count(F.lit(1)).alias("alerts"), F.avg("risk").alias("risk"), F.count_distinct("reason").alias("reasons"), F.array_sort(F.collect_set("reason")).alias("codes"), F.min("event_start").alias("first_seen"), F.max("event_end").alias("last_seen"),
     )
     out = merged.join(facts, "members")
     score = group_score(F.col("risk"), F.col("alerts"), F.col("reasons"), F.size("rules"), (F.col("last_seen") - F.col("first_seen")) / 1e6, seconds)
-    return out.withColumn("score", F.round(score, 6)).where(F.col("score") >= least_score).withColumn("severity", severity_band(F.col("score"), ALERT_BANDS))
+    return out.withColumn("score", F.round(score, 6)).where(F.col("score") >= least_score).withColumn("severity", severity_band(F.col("score"), GROUP_BANDS))
 
 
-#: template, rules that call for it; from the first priority
+#: templates from the first priority: rules that all are there, rules of which one is, tokens of which a reason holds one
 TEMPLATES = (
-    ("credential_access", ("repeated_source_destination_failures",)),
-    ("beaconing", ("periodic_beacon_like_activity",)),
-    ("reconnaissance", ("source_centered_reconnaissance",)),
-    ("lateral_fan_out", ("source_fan_out",)),
-    ("fan_in_target", ("destination_fan_in",)),
-    ("multi_engine", ("multi_engine_evidence",)),
+    ("possible_command_and_control_pattern", ("periodic_beacon_like_activity", "multi_engine_evidence"), (), ()),
+    ("possible_data_exfiltration_pattern", (), (), ("exfil", "outbound")),
+    ("possible_credential_abuse", (), (), ("auth", "credential", "account")),
+    ("possible_brute_force_activity", ("repeated_source_destination_failures",), (), ()),
+    ("possible_network_reconnaissance", (), ("source_centered_reconnaissance", "source_fan_out"), ()),
+    ("possible_denial_of_service_behavior", ("destination_fan_in",), (), ()),
+    ("possible_beaconing_behavior", ("periodic_beacon_like_activity",), (), ()),
 )
+UNCLASSIFIED = "unclassified_behavioral_anomaly"
+
+
+def candidate_templates(rules: Column, codes: Column) -> Column:
+    """The templates that rules and reason codes call for, by priority; the unclassified one where none does."""
+    held = lambda every, some, tokens: [
+        *([F.forall(F.array(*map(F.lit, every)), lambda r: F.array_contains(rules, r))] if every else []),
+        *([F.arrays_overlap(rules, F.array(*map(F.lit, some)))] if some else []),
+        *([F.exists(codes, lambda c: F.lower(c).rlike("|".join(tokens)))] if tokens else []),
+    ][0]
+    found = F.array_compact(F.array(*[F.when(held(*how), F.lit(name)) for name, *how in TEMPLATES]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(UNCLASSIFIED)))
 
 
 def hypotheses(groups: DataFrame, least: float = 0.5) -> DataFrame:
     """A hypothesis for each group of at least two alerts, with rules and a score of at least ``least``: primary template, number of candidates, confidence."""
     g = groups.where((F.col("alerts") >= 2) & (F.col("score") >= least) & (F.size("rules") > 0))
-    candidates = F.array_compact(F.array(*[F.when(F.arrays_overlap("rules", F.array(*[F.lit(r) for r in rules])), F.lit(t)) for t, rules in TEMPLATES]))
-    g = g.withColumn("candidates", candidates).withColumn("n", F.greatest(F.size("candidates"), F.lit(1)))
+    g = g.withColumn("candidates", candidate_templates(F.col("rules"), F.col("codes"))).withColumn("n", F.size("candidates"))
     sure = 0.40 * F.col("score") + 0.25 * F.greatest(F.lit(0.2), 1 - 0.15 * (F.col("n") - 1)) + 0.20 * F.least(F.lit(1.0), F.size("rules") / 4) + 0.15 * F.when(F.size("entities") > 0, 1.0).otherwise(0.0)
-    return g.select("members", F.coalesce(F.get("candidates", 0), F.lit("unclassified")).alias("template"), F.size("candidates").cast("long").alias("candidates"), F.round(clamp01(sure), 6).alias("confidence"))
+    return g.select("members", F.get("candidates", 0).alias("template"), F.col("n").cast("long").alias("candidates"), F.round(clamp01(sure), 6).alias("confidence"))

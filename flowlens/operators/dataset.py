@@ -110,37 +110,62 @@ def near_components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+#: references and queries of one task
+REFERENCES, ASKED = 8192, 2048
+
+
 def knn(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, place): each query's k nearest references (vec_id, features) by Euclidean distance.
 
-    References are dealt in blocks, each of which is ranked against all queries; only k candidates a block remain. The
-    queries are the stated side and travel to every block.
+    The queries are the stated side. Both sides are dealt in blocks of a bounded size, and each block of references is ranked
+    against each of queries: a matrix product finds what can be among the k nearest, whose distances are then taken exactly.
     """
     import numpy as np
     import pyarrow as pa
 
     schema = "query_id long, vec_id long, distance double"
-    blocks = references.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "features", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("block"))
+    many = lambda df, size: max(1, -(-df.count() // size))
+    n_ref, n_ask = many(references, REFERENCES), many(queries, ASKED)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    blocks = references.select("vec_id", "features", dealt("vec_id", n_ref).alias("block"), every(n_ask).alias("part"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "features", every(n_ref).alias("block"), dealt("vec_id", n_ask).alias("part"))
 
     def ranked(ref: pa.Table, q: pa.Table) -> pa.Table:
         if not ref.num_rows or not q.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         a, b = (np.stack(t["features"].to_pandas().to_numpy()) for t in (q, ref))
-        ids = ref["vec_id"].to_numpy()
+        asking, ids = q["query_id"].to_numpy(), ref["vec_id"].to_numpy()
+        norm = (b * b).sum(1)
         parts = []
         for s in range(0, len(a), 128):
-            d = np.sqrt(((a[s : s + 128, None] - b[None]) ** 2).sum(2))
-            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(d)), order.shape[1])
-            parts.append((q["query_id"].to_numpy()[s : s + 128][rows], ids[order.ravel()], d[rows, order.ravel()]))
+            x = a[s : s + 128]
+            near = norm - 2 * (x @ b.T)
+            least = np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            row, col = np.nonzero(near <= (least + 1e-9 * (1 + norm.max() + (x * x).sum(1)))[:, None])
+            d = np.sqrt(((x[row] - b[col]) ** 2).sum(1))
+            order = np.lexsort((ids[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            parts.append((asking[s : s + 128][row[keep]], ids[col[keep]], d[keep]))
         return pa.table(dict(zip(("query_id", "vec_id", "distance"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-    found = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(ranked, schema)
+    found = blocks.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(ranked, schema)
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def lof_novelty(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, score): minus the local outlier factor of every row (vec_id, features, benign) against the benign ones but itself."""
+    near = knn(rows, rows.where("benign"), k + 1).where("query_id <> vec_id")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("r") <= k)
+    reach = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.max("distance").alias("kdist"))
+    density = near.join(reach, "vec_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("own"))
+    around = near.join(density.select(F.col("query_id").alias("vec_id"), F.col("own").alias("lrd")), "vec_id").groupBy("query_id").agg(F.avg("lrd").alias("near"))
+    return around.join(density, "query_id").select(F.col("query_id").alias("vec_id"), (-F.col("near") / F.col("own")).alias("score"))
+
+
 def retain_latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 

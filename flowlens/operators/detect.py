@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: severity and its inclusive lower bound, from the highest
-BANDS = (("critical", 0.9), ("high", 0.75), ("medium", 0.5), ("low", 0.0))
-ALERT_BANDS = (("critical", 0.85), ("high", 0.65), ("medium", 0.5), ("low", 0.0))
+BANDS = (("critical", 0.9), ("high", 0.7), ("medium", 0.4), ("low", 0.2), ("informational", 0.0))
+#: the same for groups of alerts
+GROUP_BANDS = (("critical", 0.9), ("high", 0.7), ("medium", 0.5), ("low", 0.35), ("informational", 0.0))
 
 
 def severity_band(score: Column, bands: Sequence[tuple[str, float]] = BANDS) -> Column:

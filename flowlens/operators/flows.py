@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.functions.scalars import safe_ratio
+from flowlens.functions.scalars import packed_address, safe_ratio
 
 FLAGS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
 
 
+#: ICMP types of an echo and its reply, version 4 and 6
+ECHO = (0, 8, 128, 129)
+
+
 def with_flow_key(packets: DataFrame) -> DataFrame:
-    """key: both endpoints in the order of version, address bytes and port, so that either direction has the same."""
-    packed = lambda c: F.transform(F.split(c, r"\."), lambda x: F.lpad(F.hex(x.cast("int")), 2, "0"))
-    end = lambda s: F.struct(F.col("ip_version"), F.array_join(packed(F.col(f"{s}_ip")), "").alias("packed"), F.col(f"{s}_ip").alias("ip"), F.coalesce(f"{s}_port", F.lit(-1)).alias("port"))
+    """key: version, protocol number, both endpoints in the order of address bytes and port, and a discriminator; either direction has the same.
+
+    The discriminator is ``ports``, the identifier of an ICMP echo, or type and code of another ICMP message. Columns
+    of ports and ICMP fields that packets lack count as null.
+    """
+    has = lambda c: F.col(c) if c in packets.columns else F.lit(None).cast("int")
+    end = lambda s: F.struct(packed_address(F.col(f"{s}_ip")).alias("packed"), F.coalesce(has(f"{s}_port"), F.lit(-1)).alias("port"), F.col(f"{s}_ip").alias("ip"))
     a, b = F.least(end("source"), end("destination")), F.greatest(end("source"), end("destination"))
     text = lambda e: F.concat_ws(":", e["ip"], e["port"])
-    return packets.withColumn("key", F.concat_ws(">", text(a), text(b)))
+    shown = lambda c: F.coalesce(has(c).cast("string"), F.lit("none"))
+    other = F.when(has("icmp_type").isin(*ECHO), F.concat(F.lit("echo:"), shown("icmp_identifier"))).otherwise(F.concat_ws(":", F.lit("type"), shown("icmp_type"), F.lit("code"), shown("icmp_code")))
+    return packets.withColumn("key", F.concat_ws("|", "ip_version", "protocol_number", F.concat_ws(">", text(a), text(b)), F.when(has("source_port").isNotNull(), "ports").otherwise(other)))
 
 
 def _fold(idle: int, active: int, most: int):
@@ -85,30 +94,31 @@ def segment_out_of_order(packets: DataFrame, idle: float = 60.0, active: float =
 def end_reasons(segmented: DataFrame, idle: float, active: float, most: int) -> DataFrame:
     """(source_id, key, segment, reason): capacity, active_timeout, idle_timeout or capture_end.
 
-    The first packet of the capture, of whatever key, at or after a segment's deadline decides: a forward as-of join, as a
-    window over segments and packets together.
+    The first packet of the capture, of whatever key, at or after a segment's deadline decides: a forward as-of join. It
+    is looked for in the deadline's stretch of time, and only where there is none, in the next stretch that has packets, so
+    that no task sees a whole capture.
     """
     i, a = round(idle * 1e6), round(active * 1e6)
-    per = segmented.groupBy("source_id", "key", "segment").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
-    nxt = F.min("next_seq").over(Window.partitionBy("source_id", "key").orderBy("segment").rowsBetween(1, 1))
-    starts = segmented.groupBy("source_id", "key", "segment").agg(F.min("seq").alias("next_seq"))
-    per = per.join(starts, ["source_id", "key", "segment"]).withColumn("next_seq", nxt)
-    deadline = F.least(F.col("first") + a, F.col("last") + i)
-    none = lambda *cs: [F.lit(None).cast(t).alias(c) for c, t in cs]
-    marks = per.select("source_id", deadline.alias("t"), F.lit(0).alias("kind"), "key", "segment", "first", "last", "n", *none(("micros", "long")))
-    ticks = segmented.select("source_id", F.col("micros").alias("t"), F.lit(1).alias("kind"), *none(("key", "string"), ("segment", "long"), ("first", "long"), ("last", "long"), ("n", "long")), F.col("micros"))
-    ahead = Window.partitionBy("source_id").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = marks.unionByName(ticks).withColumn("at", F.min("micros").over(ahead)).where("kind = 0")
-    reason = F.when((F.col("n") >= most) & F.col("more") & (F.col("at").isNull() | (F.col("at") > F.col("next_t"))), "capacity")
-    follow = segmented.groupBy("source_id", "key", "segment").agg(F.min("micros").alias("next_t")).withColumn("segment", F.col("segment") - 1)
-    found = found.join(follow, ["source_id", "key", "segment"], "left").withColumn("more", F.col("next_t").isNotNull())
+    per = segmented.groupBy("source_id", "key", "segment").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("next_t", F.lead("first").over(Window.partitionBy("source_id", "key").orderBy("segment")))
+    stretch = F.floor(F.col("t") / i)
+    marks = per.withColumn("t", F.least(F.col("first") + a, F.col("last") + i)).select("source_id", "t", stretch.alias("stretch"), F.lit(0).alias("kind"), F.struct("key", "segment", "first", "last", "n", "next_t").alias("mark"))
+    ticks = segmented.select("source_id", F.col("micros").alias("t")).withColumn("stretch", stretch).withColumns({"kind": F.lit(1), "mark": F.lit(None).cast(marks.schema["mark"].dataType)})
+    packet = F.when(F.col("kind") == 1, F.col("t"))
+    # from the latest back, a packet before a deadline of the same time
+    ahead = Window.partitionBy("source_id", "stretch").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(ticks).withColumn("within", F.min(packet).over(ahead)).where("kind = 0")
+    later = F.min("least").over(Window.partitionBy("source_id").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1))
+    stretches = marks.unionByName(ticks).groupBy("source_id", "stretch").agg(F.min(packet).alias("least")).withColumn("later", later)
+    found = found.join(stretches.select("source_id", "stretch", "later"), ["source_id", "stretch"]).select("source_id", "mark.*", F.coalesce("within", "later").alias("at"))
+    reason = F.when((F.col("n") >= most) & F.col("next_t").isNotNull() & (F.col("at").isNull() | (F.col("at") > F.col("next_t"))), "capacity")
     return found.select("source_id", "key", "segment", reason.when(F.col("at").isNull(), "capture_end").when(F.col("at") - F.col("first") >= a, "active_timeout").otherwise("idle_timeout").alias("reason"))
 
 
 def with_direction(packets: DataFrame, by: list[str]) -> DataFrame:
-    """forward: whether the packet has the source of its segment's first packet."""
-    first = F.min_by("source_ip", "seq").over(Window.partitionBy(*by))
-    return packets.withColumn("forward", F.col("source_ip") == first)
+    """forward: whether the packet has the source endpoint, address and port, of its segment's first packet in arrival order."""
+    source = F.struct("source_ip", F.coalesce("source_port", F.lit(-1)).alias("port"))
+    return packets.withColumn("forward", source == F.min_by(source, "seq").over(Window.partitionBy(*by)))
 
 
 def direction_counts(packets: DataFrame, by: list[str]) -> DataFrame:
@@ -119,78 +129,125 @@ def direction_counts(packets: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def has_flag(mask: int) -> Column:
+    return (F.col("protocol") == "tcp") & (F.col("tcp_flags").bitwiseAND(mask) != 0)
+
+
 def tcp_flag_counts(packets: DataFrame, by: list[str]) -> DataFrame:
-    bit = lambda m: (F.col("protocol") == "tcp") & (F.col("tcp_flags").bitwiseAND(m) != 0)
-    return packets.groupBy(*by).agg(*[F.count_if(bit(m)).alias(f"{n}_count") for n, m in FLAGS.items()])
+    """Packets with each flag, in all and by direction; other protocols have none."""
+    side = {"": F.lit(True), "forward_": F.col("forward"), "backward_": ~F.col("forward")}
+    return with_direction(packets, by).groupBy(*by).agg(*[F.count_if(has_flag(m) & on).alias(f"{s}{n}_count") for s, on in side.items() for n, m in FLAGS.items()])
 
 
-def handshake(packets: DataFrame, by: list[str]) -> DataFrame:
-    """completed: forward SYN without ACK, later backward SYN with ACK, later forward ACK; failed: TCP with a reset, or a SYN and no handshake."""
-    p = with_direction(packets, by)
-    flag = lambda m: F.col("tcp_flags").bitwiseAND(m) != 0
-    tcp, syn, ack = F.col("protocol") == "tcp", flag(2), flag(16)
+def with_handshake(directed: DataFrame, by: list[str]) -> DataFrame:
+    """t2: where (seq) the segment's handshake has got to its answer: forward SYN without ACK, later backward SYN with ACK."""
     w = Window.partitionBy(*by)
-    p = p.withColumn("t1", F.min(F.when(tcp & F.col("forward") & syn & ~ack, F.col("seq"))).over(w))
-    p = p.withColumn("t2", F.min(F.when(tcp & ~F.col("forward") & syn & ack & (F.col("seq") > F.col("t1")), F.col("seq"))).over(w))
-    out = p.groupBy(*by).agg(
-        F.coalesce(F.bool_or(tcp & F.col("forward") & ack & (F.col("seq") > F.col("t2"))), F.lit(False)).alias("done"),
-        F.count_if(tcp & flag(4)).alias("rst"), F.count_if(tcp & syn).alias("syn"), F.bool_or(tcp).alias("tcp"),
-    )
-    failed = F.col("tcp") & ((F.col("rst") > 0) | ((F.col("syn") > 0) & ~F.col("done")))
-    return out.select(*by, F.col("done").cast("long").alias("completed"), failed.cast("long").alias("failed"))
+    p = directed.withColumn("t1", F.min(F.when(F.col("forward") & has_flag(2) & ~has_flag(16), F.col("seq"))).over(w))
+    return p.withColumn("t2", F.min(F.when(~F.col("forward") & has_flag(2) & has_flag(16) & (F.col("seq") > F.col("t1")), F.col("seq"))).over(w)).drop("t1")
+
+
+def completed() -> Column:
+    """Over with_handshake: whether a forward ACK follows the answer."""
+    return F.coalesce(F.bool_or(F.col("forward") & has_flag(16) & (F.col("seq") > F.col("t2"))), F.lit(False))
+
+
+def failed() -> Column:
+    """Over with_handshake: TCP with a reset, or a SYN and no handshake."""
+    return F.bool_or(F.col("protocol") == "tcp") & ((F.count_if(has_flag(4)) > 0) | ((F.count_if(has_flag(2)) > 0) & ~completed()))
+
+
+def handshake(packets: DataFrame, by: list[str]) -> DataFrame:
+    return with_handshake(with_direction(packets, by), by).groupBy(*by).agg(completed().cast("long").alias("completed"), failed().cast("long").alias("failed"))
 
 
 def inter_arrival(packets: DataFrame, by: list[str]) -> DataFrame:
-    """iat: microseconds since the packet before in time order; null for a segment's first."""
-    return packets.withColumn("iat", F.col("micros") - F.lag("micros").over(Window.partitionBy(*by).orderBy("micros", "seq")))
+    """iat and own_iat: microseconds since the packet before in time order, of the segment and of the same direction; null for the first."""
+    p = packets if "forward" in packets.columns else with_direction(packets, by)
+    since = lambda keys: F.col("micros") - F.lag("micros").over(Window.partitionBy(*keys).orderBy("micros", "seq"))
+    return p.withColumns({"iat": since(by), "own_iat": since([*by, "forward"])})
+
+
+def with_burst(packets: DataFrame, by: list[str], micros: int = 1_000_000) -> DataFrame:
+    """near: the segment's packets within the second up to this one, ends included."""
+    return packets.withColumn("near", F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy("micros").rangeBetween(-micros, 0)))
 
 
 def burst_score(packets: DataFrame, by: list[str], micros: int = 1_000_000) -> DataFrame:
     """Largest share of a segment's packets within any inclusive stretch of one second."""
-    w = Window.partitionBy(*by).orderBy("micros").rangeBetween(-micros, 0)
-    return packets.withColumn("c", F.count(F.lit(1)).over(w)).groupBy(*by).agg((F.max("c") / F.count(F.lit(1))).alias("burst"))
+    return with_burst(packets, by, micros).groupBy(*by).agg((F.max("near") / F.count(F.lit(1))).alias("burst"))
+
+
+#: the features of a flow in their contractual order
+FEATURES = (
+    "total_packets", "total_bytes", "forward_packets", "backward_packets", "forward_bytes", "backward_bytes", "packets_per_second", "bytes_per_second", "forward_backward_packet_ratio", "forward_backward_byte_ratio",
+    "mean_packet_size", "std_packet_size", "min_packet_size", "max_packet_size", "median_packet_size", "packet_size_q25", "packet_size_q75", "forward_mean_packet_size", "backward_mean_packet_size", "flow_duration",
+    "mean_inter_arrival_time", "std_inter_arrival_time", "min_inter_arrival_time", "max_inter_arrival_time", "median_inter_arrival_time", "iat_q25", "iat_q75", "forward_mean_iat", "backward_mean_iat",
+    "syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "urg_count", "syn_ratio", "rst_ratio", "ack_ratio", "completed_handshake_indicator", "asymmetry_score", "connection_burst_score", "periodicity_score", "failed_connection_indicator",
+)
 
 
 def flow_features(packets: DataFrame, by: list[str]) -> DataFrame:
-    """Counts, sizes, rates and inter-arrival statistics of each segment; empty statistics are 0, quantiles interpolate."""
-    p = inter_arrival(with_direction(packets, by), by)
-    size, iat, fwd = F.col("network_bytes"), F.col("iat") / 1e6, F.col("forward")
+    """The FEATURES of each segment, from one shuffle by segment; empty statistics are 0, quantiles interpolate."""
+    p = with_burst(inter_arrival(with_handshake(with_direction(packets, by), by), by), by)
+    size, iat, own, fwd = F.col("network_bytes"), F.col("iat") / 1e6, F.col("own_iat") / 1e6, F.col("forward")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    flag = lambda m: F.count_if((F.col("protocol") == "tcp") & (F.col("tcp_flags").bitwiseAND(m) != 0))
+    quantiles = lambda c, names: [zero(F.percentile(c, F.lit(q))).alias(n) for q, n in zip((0.5, 0.25, 0.75), names, strict=True)]
     out = p.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_packets"), F.sum(size).alias("total_bytes"), F.count_if(fwd).alias("forward_packets"), F.count_if(~fwd).alias("backward_packets"),
         F.sum(F.when(fwd, size).otherwise(0)).alias("forward_bytes"), F.sum(F.when(~fwd, size).otherwise(0)).alias("backward_bytes"),
-        F.avg(size).alias("mean_packet_size"), zero(F.stddev_pop(size)).alias("std_packet_size"), F.min(size).alias("min_packet_size"), F.max(size).alias("max_packet_size"),
-        F.percentile(size, F.lit(0.5)).alias("median_packet_size"), F.percentile(size, F.lit(0.25)).alias("packet_size_q25"), F.percentile(size, F.lit(0.75)).alias("packet_size_q75"),
+        F.avg(size).alias("mean_packet_size"), zero(F.stddev_pop(size)).alias("std_packet_size"), F.min(size).cast("double").alias("min_packet_size"), F.max(size).cast("double").alias("max_packet_size"),
+        *quantiles(size, ("median_packet_size", "packet_size_q25", "packet_size_q75")),
         zero(F.avg(F.when(fwd, size))).alias("forward_mean_packet_size"), zero(F.avg(F.when(~fwd, size))).alias("backward_mean_packet_size"),
         ((F.max("micros") - F.min("micros")) / 1e6).alias("flow_duration"),
         zero(F.avg(iat)).alias("mean_inter_arrival_time"), zero(F.stddev_pop(iat)).alias("std_inter_arrival_time"), zero(F.min(iat)).alias("min_inter_arrival_time"), zero(F.max(iat)).alias("max_inter_arrival_time"),
-        zero(F.percentile(iat, F.lit(0.5))).alias("median_inter_arrival_time"), zero(F.percentile(iat, F.lit(0.25))).alias("iat_q25"), zero(F.percentile(iat, F.lit(0.75))).alias("iat_q75"),
-        F.count("iat").alias("iats"), *[flag(m).alias(f"{n}_count") for n, m in FLAGS.items()],
+        *quantiles(iat, ("median_inter_arrival_time", "iat_q25", "iat_q75")),
+        zero(F.avg(F.when(fwd, own))).alias("forward_mean_iat"), zero(F.avg(F.when(~fwd, own))).alias("backward_mean_iat"),
+        F.count("iat").alias("iats"), *[F.count_if(has_flag(m)).alias(f"{n}_count") for n, m in FLAGS.items()],
+        completed().cast("long").alias("completed_handshake_indicator"), (F.max("near") / F.count(F.lit(1))).alias("connection_burst_score"), failed().cast("long").alias("failed_connection_indicator"),
     )
     n, f, b = F.col("total_packets"), F.col("forward_packets"), F.col("backward_packets")
+    mean = F.col("mean_inter_arrival_time")
     out = out.withColumns({
         "packets_per_second": safe_ratio(n, F.col("flow_duration")), "bytes_per_second": safe_ratio(F.col("total_bytes"), F.col("flow_duration")),
         "forward_backward_packet_ratio": safe_ratio(f, b), "forward_backward_byte_ratio": safe_ratio(F.col("forward_bytes"), F.col("backward_bytes")),
-        "syn_ratio": F.col("syn_count") / n, "rst_ratio": F.col("rst_count") / n, "ack_ratio": F.col("ack_count") / n, "asymmetry_score": F.abs(f - b) / n,
-        "periodicity_score": F.when((F.col("iats") < 3) | (F.col("mean_inter_arrival_time") <= 0), 0.0).otherwise(1 / (1 + F.col("std_inter_arrival_time") / F.when(F.col("mean_inter_arrival_time") > 0, F.col("mean_inter_arrival_time")))),
+        "syn_ratio": F.col("syn_count") / n, "rst_ratio": F.col("rst_count") / n, "ack_ratio": F.col("ack_count") / n,
+        "asymmetry_score": safe_ratio(F.abs(F.col("forward_bytes") - F.col("backward_bytes")), F.col("total_bytes")),
+        "periodicity_score": F.when((F.col("iats") < 3) | (mean <= 0), 0.0).otherwise(1 / (1 + F.col("std_inter_arrival_time") / F.when(mean > 0, mean))),
     })
-    return out.drop("iats")
+    return out.select(*by, *FEATURES)
+
+
+#: rows of a capture in one part of a carried window
+PART = 65_536
 
 
 def replay_gaps(packets: DataFrame, speed: float, cap: float) -> DataFrame:
-    """delta to the packet before in arrival order, whether it is negative, and the capped delay at a speed, in seconds."""
-    delta = (F.col("micros") - F.lag("micros").over(Window.partitionBy("source_id").orderBy("seq"))) / 1e6
-    p = packets.withColumn("delta", F.coalesce(delta, F.lit(0.0)))
+    """delta to the packet before in arrival order, whether it is negative, and the capped delay at a speed, in seconds.
+
+    A capture is cut into ranges of seq; the first of a range takes the last packet of the ranges before.
+    """
+    p = packets.withColumn("part", F.floor(F.col("seq") / PART))
+    parts = p.groupBy("source_id", "part").agg(F.max_by("micros", "seq").alias("end"))
+    parts = parts.select("source_id", "part", F.lag("end").over(Window.partitionBy("source_id").orderBy("part")).alias("carried"))
+    p = p.join(parts, ["source_id", "part"])
+    before = F.coalesce(F.lag("micros").over(Window.partitionBy("source_id", "part").orderBy("seq")), F.col("carried"))
+    p = p.withColumn("delta", F.coalesce((F.col("micros") - before) / 1e6, F.lit(0.0)))
     wait = F.greatest(F.col("delta"), F.lit(0.0)) / speed
     return p.select("source_id", "seq", "delta", (F.col("delta") < 0).alias("out_of_order"), F.least(wait, F.lit(cap)).alias("delay"), (wait > cap).alias("capped"))
 
 
-def active_peak(segments: DataFrame) -> DataFrame:
-    """Largest number of segments (source_id, first, last) open at once, per capture; one that ends as another starts counts for both."""
+def active_peak(segments: DataFrame, stretch: int = 3_600_000_000) -> DataFrame:
+    """Largest number of segments (source_id, first, last) open at once, per capture; one that ends as another starts counts for both.
+
+    Equal times are summed first; stretches of ``stretch`` microseconds are summed, and each starts from the sum before it.
+    """
     ends = segments.select("source_id", F.col("first").alias("t"), F.lit(1).alias("d")).union(segments.select("source_id", F.col("last").alias("t"), F.lit(-1)))
-    w = Window.partitionBy("source_id").orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
-    return ends.withColumn("open", F.sum("d").over(w)).groupBy("source_id").agg(F.max("open").alias("peak"))
+    ends = ends.groupBy("source_id", F.floor(F.col("t") / stretch).alias("part"), "t", "d").agg(F.sum("d").alias("sum"))
+    parts = ends.groupBy("source_id", "part").agg(F.sum("sum").alias("all"))
+    before = F.sum("all").over(Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("source_id", "part", F.coalesce(before, F.lit(0)).alias("carried"))
+    w = Window.partitionBy("source_id", "part").orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
+    return ends.withColumn("open", F.sum("sum").over(w)).join(parts, ["source_id", "part"]).groupBy("source_id").agg(F.max(F.col("open") + F.col("carried")).alias("peak"))
 
 
 def capture_profile(packets: DataFrame, segments: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def query(sql):
     return add
 
 
-BAND = "case when {x} >= 0.9 then 'critical' when {x} >= 0.75 then 'high' when {x} >= 0.5 then 'medium' when {x} >= 0 then 'low' end"
+BAND = "case when {x} >= 0.9 then 'critical' when {x} >= 0.7 then 'high' when {x} >= 0.4 then 'medium' when {x} >= 0.2 then 'low' when {x} >= 0 then 'informational' end"
 
 
 def fused(s, d):
@@ -76,7 +76,7 @@ def det1_reason_codes(s, d):
     return D.reason_codes(f, profile, 0.5, 0.6, 0.5).select("key", "segment", F.array_join("codes", ",").alias("codes"))
 
 
-ELIGIBLE = A.cte("alerts") + ", el as (select *, coalesce(verdict, 'unreviewed') as v from alerts where coalesce(verdict, 'unreviewed') <> 'false_positive')"
+ELIGIBLE = A.cte("alerts") + ", el as (select *, coalesce(verdict, 'unreviewed') as v from alerts where coalesce(verdict, 'unreviewed') not in ('false_positive', 'benign_expected'))"
 ENTITIES = ELIGIBLE + """, ent as (select alert_id, 'source_ip:' || source_ip as entity from el union select alert_id, 'destination_ip:' || destination_ip from el union select alert_id, 'pair:' || source_ip || '->' || destination_ip from el)"""
 CLUSTERS = ENTITIES + f""", o as (select entity, alert_id, event_start, event_end, row_number() over (partition by entity order by event_start, alert_id) as i from ent join el using (alert_id)),
  g as (select entity, alert_id, i, 0::bigint as cluster, event_start + {int(WINDOW * 1e6)} as lim from o where i = 1
@@ -91,9 +91,9 @@ CLUSTERS = ENTITIES + f""", o as (select entity, alert_id, event_start, event_en
  merged as (select members, list_sort(list_distinct(list(entity))) as entities, list_sort(list_distinct(flatten(list(rules)))) as rules from sets join rules using (entity, cluster) group by 1),
  pick as (select members, min(entity || '|' || cluster) as at from sets group by 1),
  one as (select sets.members, entity, cluster from sets join pick on pick.members = sets.members and pick.at = entity || '|' || cluster),
- base as (select members, count(*) as alerts, avg(risk) as risk, count(distinct reason) as reasons, min(event_start) as first_seen, max(event_end) as last_seen from one join full_ using (entity, cluster) group by 1),
+ base as (select members, count(*) as alerts, avg(risk) as risk, count(distinct reason) as reasons, lower(string_agg(reason, ',')) as codes, min(event_start) as first_seen, max(event_end) as last_seen from one join full_ using (entity, cluster) group by 1),
  scored as (select *, round(least(1, greatest(0, risk)) * 0.35 + least(1, alerts / 5) * 0.20 + least(1, (reasons + len(rules)) / 6) * 0.25 + least(1, greatest(0, 1 - (last_seen - first_seen) / 1e6 / {WINDOW})) * 0.20, 6) as score from merged join base using (members)),
- groups_ as (select *, case when score >= 0.85 then 'critical' when score >= 0.65 then 'high' when score >= 0.5 then 'medium' else 'low' end as severity from scored where score >= 0.35)"""
+ groups_ as (select *, case when score >= 0.9 then 'critical' when score >= 0.7 then 'high' when score >= 0.5 then 'medium' when score >= 0.35 then 'low' else 'informational' end as severity from scored where score >= 0.35)"""
 
 
 @query(ELIGIBLE + " select alert_id, v as verdict from el")
@@ -101,20 +101,28 @@ def flt5_eligible_alerts(s, d):
     return C.eligible_alerts(A.alerts_orders(s, d)).select("alert_id", "verdict")
 
 
-@query(ENTITIES + " select alert_id, entity from ent")
+@query(ELIGIBLE + """, w as (select *, ['tcp', 'udp', 'icmp'][alert_id % 3 + 1] as protocol from el), e as (select alert_id, unnest(['source_ip:' || source_ip, 'destination_ip:' || destination_ip, 'source_host:host-' || alert_id % 7,
+ 'protocol:' || protocol, case when alert_id % 4 <> 0 then 'service:svc-' || alert_id % 4 end, 'flow_id:' || alert_id, 'pair:' || source_ip || '->' || destination_ip]) as entity from w) select alert_id, entity from e where entity is not null""")
 def prj9_observed_entities(s, d):
-    return C.observed_entities(C.eligible_alerts(A.alerts_orders(s, d)))
+    k = F.col("alert_id")
+    extra = {"source_host": F.concat(F.lit(" Host-"), k % 7), "protocol": F.element_at(F.array(F.lit("TCP "), F.lit("Udp"), F.lit("icmp")), (k % 3 + 1).cast("int")), "service": F.when(k % 4 == 0, "  ").otherwise(F.concat(F.lit("SVC-"), k % 4)), "flow_id": k}
+    return C.observed_entities(C.eligible_alerts(A.alerts_orders(s, d)).withColumns(extra))
+
+
+@query(A.cte("alerts") + " select alert_id, 'unknown_verdict' as rule from alerts where coalesce(verdict, 'unreviewed') not in ('unreviewed', 'true_positive')")
+def flt5_verdict_violations(s, d):
+    return C.verdict_violations(A.alerts_orders(s, d), ("unreviewed", "true_positive"))
 
 
 @query(ENTITIES + " select entity, count(*) as alerts, min(event_start) as first_seen from ent join el using (alert_id) group by 1")
 def cor1_entity_index(s, d):
     use = C.eligible_alerts(A.alerts_orders(s, d))
-    return C.observed_entities(use).join(use, "alert_id").groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.min("event_start").alias("first_seen"))
+    return C.observed_entities(use, normal=True).join(use, "alert_id").groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.min("event_start").alias("first_seen"))
 
 
 def clusters(s, d):
     use = C.eligible_alerts(A.alerts_orders(s, d))
-    found = C.anchored_windows(C.observed_entities(use).join(use.select("alert_id", "event_start", "event_end"), "alert_id"), WINDOW)
+    found = C.anchored_windows(C.observed_entities(use, normal=True).join(use.select("alert_id", "event_start", "event_end"), "alert_id"), WINDOW)
     return found.join(use, "alert_id")
 
 
@@ -153,8 +161,15 @@ def set4_merge_member_sets(s, d):
     return out.select("members", F.size("entities").cast("long").alias("entities"), F.array_join("rules", ",").alias("rules"))
 
 
-_CAND = ", ".join(f"case when list_contains(rules, '{r[0]}') then '{t}' end" for t, r in C.TEMPLATES)
-HYP = CLUSTERS + f""", h as (select *, list_filter([{_CAND}], lambda x: x is not null) as cand from groups_ where alerts >= 2 and score >= 0.5 and len(rules) > 0)"""
+HYP = CLUSTERS + """, h0 as (select *, list_filter([
+   case when list_contains(rules, 'periodic_beacon_like_activity') and list_contains(rules, 'multi_engine_evidence') then 'possible_command_and_control_pattern' end,
+   case when regexp_matches(codes, 'exfil|outbound') then 'possible_data_exfiltration_pattern' end,
+   case when regexp_matches(codes, 'auth|credential|account') then 'possible_credential_abuse' end,
+   case when list_contains(rules, 'repeated_source_destination_failures') then 'possible_brute_force_activity' end,
+   case when list_contains(rules, 'source_centered_reconnaissance') or list_contains(rules, 'source_fan_out') then 'possible_network_reconnaissance' end,
+   case when list_contains(rules, 'destination_fan_in') then 'possible_denial_of_service_behavior' end,
+   case when list_contains(rules, 'periodic_beacon_like_activity') then 'possible_beaconing_behavior' end], lambda x: x is not null) as found_ from groups_ where alerts >= 2 and score >= 0.5 and len(rules) > 0),
+ h as (select *, case when len(found_) = 0 then ['unclassified_behavioral_anomaly'] else found_ end as cand from h0)"""
 
 
 @query(CLUSTERS + " select members, case when alerts < 2 then 'too_few_alerts' when score < 0.5 then 'low_score' when len(rules) = 0 then 'no_rules' else 'passed' end as gate from groups_")
@@ -163,7 +178,7 @@ def hyp1_gate(s, d):
     return groups(s, d).select("members", gate.alias("gate"))
 
 
-@query(HYP + " select members, coalesce(cand[1], 'unclassified') as template, len(cand) as candidates from h")
+@query(HYP + " select members, cand[1] as template, len(cand) as candidates from h")
 def hyp2_templates(s, d):
     return C.hypotheses(groups(s, d)).drop("confidence")
 
@@ -173,16 +188,16 @@ def hyp3_confidence(s, d):
     return C.hypotheses(groups(s, d)).select("members", "confidence")
 
 
-@query(HYP + """ select members, coalesce(cand[1], 'unclassified') as template, len(cand) as candidates,
+@query(HYP + """ select members, cand[1] as template, len(cand) as candidates,
  round(least(1, greatest(0, 0.40 * score + 0.25 * greatest(0.2, 1 - 0.15 * (greatest(len(cand), 1) - 1)) + 0.20 * least(1.0, len(rules) / 4) + 0.15 * (len(entities) > 0)::int)), 6) as confidence from h""")
 def hyp4_hypotheses(s, d):
     return C.hypotheses(groups(s, d))
 
 
-@query(CLUSTERS + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select alert_id, members from x where alert_id % 10 = 0")
+@query(HYP + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select alert_id, members, cand[1] as template from x left join h using (members)")
 def join4_alert_relations(s, d):
-    g = groups(s, d).select(F.explode(F.split("members", ",").cast("array<bigint>")).alias("alert_id"), "members")
-    return g.where("alert_id % 10 = 0")
+    g = groups(s, d)
+    return g.select(F.explode(F.split("members", ",").cast("array<bigint>")).alias("alert_id"), "members").join(C.hypotheses(g).select("members", "template"), "members", "left").select("alert_id", "members", "template")
 
 
 @query(CLUSTERS + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select distinct members from x where alert_id in (select o_orderkey from orders where o_custkey % 5 = 3)")

@@ -81,7 +81,7 @@ def srt3_top_pairs(s, d):
     return X.top_pairs(A.flows_orders(s, d))
 
 
-RISKY = " case when supervised >= 0.9 then 'critical' when supervised >= 0.75 then 'high' when supervised >= 0.5 then 'medium' else 'low' end "
+RISKY = " case when supervised >= 0.9 then 'critical' when supervised >= 0.7 then 'high' when supervised >= 0.4 then 'medium' when supervised >= 0.2 then 'low' else 'informational' end "
 
 
 @query(A.cte("flows", "detections") + f" select flow_id, source_ip, destination_ip, supervised as risk, {RISKY} as severity from flows join detections using (flow_id) order by risk desc, flow_id limit 100")

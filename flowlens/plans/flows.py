@@ -17,7 +17,7 @@ SEGMENTED = A.cte("packets") + f""", o as (select *, row_number() over (partitio
              from g join o on o.k = g.k and o.i = g.i + 1)),
  p as (select packets.*, g.segment, first_value(packets.source_ip) over (partition by packets.k, g.segment order by packets.seq) = packets.source_ip as forward from packets join g using (seq))"""
 BY = ["source_id", "key", "segment"]
-KEY = "replace(k, '>', ':40000>') || ':443' as key"
+KEY = "k as key"
 
 
 def query(sql):
@@ -57,7 +57,10 @@ def agg2_direction_counts(s, d):
     return W.direction_counts(segmented(s, d), BY).drop("source_id")
 
 
-@query(SEGMENTED + f" select {KEY}, segment, " + ", ".join(f"count(*) filter (protocol = 'tcp' and tcp_flags & {m} <> 0) as {n}_count" for n, m in W.FLAGS.items()) + " from p group by k, segment")
+SIDES = {"": "true", "forward_": "forward", "backward_": "not forward"}
+
+
+@query(SEGMENTED + f" select {KEY}, segment, " + ", ".join(f"count(*) filter (protocol = 'tcp' and tcp_flags & {m} <> 0 and {on}) as {s}{n}_count" for s, on in SIDES.items() for n, m in W.FLAGS.items()) + " from p group by k, segment")
 def agg3_tcp_flag_counts(s, d):
     return W.tcp_flag_counts(segmented(s, d), BY).drop("source_id")
 
@@ -71,12 +74,12 @@ def agg4_handshake(s, d):
     return W.handshake(segmented(s, d), BY).drop("source_id")
 
 
-IAT = SEGMENTED + ", q as (select *, micros - lag(micros) over (partition by k, segment order by micros, seq) as iat from p)"
+IAT = SEGMENTED + ", q as (select *, micros - lag(micros) over (partition by k, segment order by micros, seq) as iat, micros - lag(micros) over (partition by k, segment, forward order by micros, seq) as own_iat from p)"
 
 
-@query(IAT + " select seq, iat from q")
+@query(IAT + " select seq, iat, own_iat from q")
 def win2_inter_arrival(s, d):
-    return W.inter_arrival(segmented(s, d), BY).select("seq", "iat")
+    return W.inter_arrival(segmented(s, d), BY).select("seq", "iat", "own_iat")
 
 
 @query(SEGMENTED + f", c as (select k, segment, count(*) over (partition by k, segment order by micros range between 1000000 preceding and current row) as c from p) select {KEY}, segment, round(max(c) / count(*), 6) as burst from c group by k, segment")
@@ -84,22 +87,37 @@ def win3_burst(s, d):
     return W.burst_score(segmented(s, d), BY).select("key", "segment", F.round("burst", 6).alias("burst"))
 
 
-FEATURE_SQL = """total_packets, total_bytes, round(mean_packet_size, 4) as mean_packet_size, round(std_packet_size, 4) as std_packet_size, median_packet_size, packet_size_q25, packet_size_q75,
- round(flow_duration / 86400, 6) as days, round(mean_inter_arrival_time / 86400, 5) as mean_iat, round(std_inter_arrival_time / 86400, 5) as std_iat, round(median_inter_arrival_time / 86400, 5) as median_iat, round(syn_ratio, 6) as syn_ratio, round(asymmetry_score, 6) as asymmetry"""
-
-
-@query(IAT + f""", f as (select k, segment, count(*) as total_packets, sum(network_bytes)::bigint as total_bytes, avg(network_bytes) as mean_packet_size, stddev_pop(network_bytes) as std_packet_size,
- quantile_cont(network_bytes::double, 0.5) as median_packet_size, quantile_cont(network_bytes::double, 0.25) as packet_size_q25, quantile_cont(network_bytes::double, 0.75) as packet_size_q75, (max(micros) - min(micros)) / 1e6 as flow_duration,
- coalesce(avg(iat / 1e6), 0) as mean_inter_arrival_time, coalesce(stddev_pop(iat / 1e6), 0) as std_inter_arrival_time, coalesce(quantile_cont(iat / 1e6, 0.5), 0) as median_inter_arrival_time,
- count(*) filter (protocol = 'tcp' and tcp_flags & 2 <> 0) / count(*) as syn_ratio, abs(count(*) filter (forward) - count(*) filter (not forward)) / count(*) as asymmetry_score from q group by k, segment)
- select {KEY}, segment, {FEATURE_SQL} from f""")
+#: the features by their definitions; handshake and burst come from the queries above
+FEATURE_SQL = """
+ count(*) as total_packets, sum(network_bytes)::bigint as total_bytes, count(*) filter (forward) as forward_packets, count(*) filter (not forward) as backward_packets,
+ coalesce(sum(network_bytes) filter (forward), 0)::bigint as forward_bytes, coalesce(sum(network_bytes) filter (not forward), 0)::bigint as backward_bytes,
+ avg(network_bytes) as mean_packet_size, stddev_pop(network_bytes) as std_packet_size, min(network_bytes)::double as min_packet_size, max(network_bytes)::double as max_packet_size,
+ quantile_cont(network_bytes::double, 0.5) as median_packet_size, quantile_cont(network_bytes::double, 0.25) as packet_size_q25, quantile_cont(network_bytes::double, 0.75) as packet_size_q75,
+ coalesce(avg(network_bytes) filter (forward), 0) as forward_mean_packet_size, coalesce(avg(network_bytes) filter (not forward), 0) as backward_mean_packet_size, (max(micros) - min(micros)) / 1e6 as flow_duration,
+ coalesce(avg(iat / 1e6), 0) as mean_inter_arrival_time, coalesce(stddev_pop(iat / 1e6), 0) as std_inter_arrival_time, coalesce(min(iat / 1e6), 0) as min_inter_arrival_time, coalesce(max(iat / 1e6), 0) as max_inter_arrival_time,
+ coalesce(quantile_cont(iat / 1e6, 0.5), 0) as median_inter_arrival_time, coalesce(quantile_cont(iat / 1e6, 0.25), 0) as iat_q25, coalesce(quantile_cont(iat / 1e6, 0.75), 0) as iat_q75,
+ coalesce(avg(own_iat / 1e6) filter (forward), 0) as forward_mean_iat, coalesce(avg(own_iat / 1e6) filter (not forward), 0) as backward_mean_iat, count(iat) as iats, """ + ", ".join(f"count(*) filter (protocol = 'tcp' and tcp_flags & {m} <> 0) as {n}_count" for n, m in W.FLAGS.items())
+RATIO_SQL = """
+ case when flow_duration = 0 then 0 else total_packets / flow_duration end as packets_per_second, case when flow_duration = 0 then 0 else total_bytes / flow_duration end as bytes_per_second,
+ case when backward_packets = 0 then 0 else forward_packets / backward_packets end as forward_backward_packet_ratio, case when backward_bytes = 0 then 0 else forward_bytes / backward_bytes end as forward_backward_byte_ratio,
+ syn_count / total_packets as syn_ratio, rst_count / total_packets as rst_ratio, ack_count / total_packets as ack_ratio, case when total_bytes = 0 then 0 else abs(forward_bytes - backward_bytes) / total_bytes end as asymmetry_score,
+ case when iats < 3 or mean_inter_arrival_time <= 0 then 0 else 1 / (1 + std_inter_arrival_time / mean_inter_arrival_time) end as periodicity_score"""
+HAND_SQL = """, t1_ as (select k, segment, min(seq) filter (protocol = 'tcp' and forward and tcp_flags & 2 <> 0 and tcp_flags & 16 = 0) as t1 from p group by 1, 2),
+ t2_ as (select p.k, p.segment, min(seq) filter (protocol = 'tcp' and not forward and tcp_flags & 2 <> 0 and tcp_flags & 16 <> 0 and seq > t1) as t2 from p join t1_ using (k, segment) group by 1, 2),
+ hand as (select p.k, p.segment, count(*) filter (protocol = 'tcp' and forward and tcp_flags & 16 <> 0 and seq > t2) > 0 as done, count(*) filter (protocol = 'tcp' and tcp_flags & 4 <> 0) as rst,
+       count(*) filter (protocol = 'tcp' and tcp_flags & 2 <> 0) as syn from p join t2_ using (k, segment) group by 1, 2),
+ near_ as (select k, segment, count(*) over (partition by k, segment order by micros range between 1000000 preceding and current row) as c from p), burst as (select k, segment, max(c) / count(*) as connection_burst_score from near_ group by 1, 2)"""
+TIMES = ("flow_duration", "mean_inter_arrival_time", "std_inter_arrival_time", "min_inter_arrival_time", "max_inter_arrival_time", "median_inter_arrival_time", "iat_q25", "iat_q75", "forward_mean_iat", "backward_mean_iat")
+#: times in days, as the table's packets are hours apart
+SHOWN = [(n, 86400 if n in TIMES else 1) for n in W.FEATURES]
+
+
+@query(IAT + HAND_SQL + f""", f as (select k, segment, {FEATURE_SQL} from q group by k, segment),
+ whole as (select f.*, {RATIO_SQL}, connection_burst_score, done::bigint as completed_handshake_indicator, (rst > 0 or (syn > 0 and not done))::bigint as failed_connection_indicator from f join hand using (k, segment) join burst using (k, segment))
+ select {KEY}, segment, {", ".join(f"round({n} / {by}, 5) as {n}" for n, by in SHOWN)} from whole""")
 def agg1_flow_features(s, d):
     f = W.flow_features(segmented(s, d), BY)
-    return f.select(
-        "key", "segment", "total_packets", "total_bytes", F.round("mean_packet_size", 4).alias("mean_packet_size"), F.round("std_packet_size", 4).alias("std_packet_size"), "median_packet_size", "packet_size_q25", "packet_size_q75",
-        F.round(F.col("flow_duration") / 86400, 6).alias("days"), F.round(F.col("mean_inter_arrival_time") / 86400, 5).alias("mean_iat"), F.round(F.col("std_inter_arrival_time") / 86400, 5).alias("std_iat"),
-        F.round(F.col("median_inter_arrival_time") / 86400, 5).alias("median_iat"), F.round("syn_ratio", 6).alias("syn_ratio"), F.round("asymmetry_score", 6).alias("asymmetry"),
-    )
+    return f.select("key", "segment", *[F.round(F.col(n) / by, 5).alias(n) for n, by in SHOWN])
 
 
 @query(IAT + f""", f as (select k, segment, count(iat) as n, avg(iat / 1e6) as m, stddev_pop(iat / 1e6) as sd from q group by k, segment)

@@ -114,10 +114,13 @@ def agg23_metric_deltas(s, d):
     return rounded(M.metric_deltas(both, "base", "fusion", NAMES), "delta")
 
 
-@query(SC + f", m as (select family, {COUNT.format(p='p >= 0.5')} from scores group by 1), r as (select family, {CALC} from m) select round(avg(recall), 6) as recall, round(min(recall), 6) as least, round(max(recall), 6) as most, round(avg(macro_f1), 6) as macro_f1, count(*) as families from r")
+@query(SC + f""", m as (select family, {COUNT.format(p='p >= 0.5')} from scores group by 1), r as (select coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(fp / nullif(fp + tn, 0), 0) as fpr, coalesce(fn / nullif(fn + tp, 0), 0) as fnr,
+ (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 as macro_f1 from m)
+ select round(avg(recall), 6) as recall, round(min(recall), 6) as least, round(max(recall), 6) as most, round(avg(macro_f1), 6) as macro_f1, round(avg(fpr), 6) as fpr, round(avg(fnr), 6) as fnr, count(*) as families from r""")
 def agg25_family_macro(s, d):
-    m = rounded(M.confusion_metrics(A.scores_lines(s, d), ["family"], F.col("label"), F.col("p") >= 0.5), *NAMES)
-    return rounded(m.agg(F.avg("recall").alias("recall"), F.min("recall").alias("least"), F.max("recall").alias("most"), F.avg("macro_f1").alias("macro_f1"), F.count(F.lit(1)).alias("families")), "recall", "least", "most", "macro_f1")
+    m = M.confusion_metrics(A.scores_lines(s, d), ["family"], F.col("label"), F.col("p") >= 0.5)
+    means = [F.avg(c).alias(c) for c in ("recall", "macro_f1", "fpr", "fnr")]
+    return rounded(m.agg(*means, F.min("recall").alias("least"), F.max("recall").alias("most"), F.count(F.lit(1)).alias("families")), "recall", "macro_f1", "fpr", "fnr", "least", "most")
 
 
 @query(None)
@@ -163,27 +166,13 @@ def ml16_temporal_holdout(s, d):
     return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("observed_on").cast("string").alias("first_day"), F.max("observed_on").cast("string").alias("last_day"))
 
 
-#: novelty of every fifth vector against the benign others; the k nearest references and their own reach
-LOF = A.cte("vecs") + """, re as (select * from vecs where benign and vec_id % 5 <> 0), rr as (select x.vec_id as a, y.vec_id as b, list_distance(x.features, y.features) as dist from re x join re y on x.vec_id <> y.vec_id),
- nr as (select *, row_number() over (partition by a order by dist, b) as k from rr qualify k <= 5), kd as (select a as id, max(dist) as kdist from nr group by 1),
- lrd as (select nr.a as id, 1 / (avg(greatest(dist, kdist)) + 1e-10) as lrd from nr join kd on kd.id = nr.b group by 1),
- qr as (select x.vec_id as a, y.vec_id as b, list_distance(x.features, y.features) as dist from vecs x join re y on true where x.vec_id % 5 = 0), nq as (select *, row_number() over (partition by a order by dist, b) as k from qr qualify k <= 5),
- q as (select nq.a as vec_id, 1 / (avg(greatest(dist, kdist)) + 1e-10) as own, avg(lrd) as near from nq join kd on kd.id = nq.b join lrd on lrd.id = nq.b group by 1)
- select vec_id, round(-near / own, 6) as score from q"""
+#: novelty of every vector against the benign others: the k nearest references and their own reach
+LOF = A.cte("vecs") + """, re as (select * from vecs where benign), qr as (select x.vec_id as a, x.benign, y.vec_id as b, list_distance(x.features, y.features) as dist from vecs x join re y on x.vec_id <> y.vec_id),
+ nq as (select *, row_number() over (partition by a order by dist, b) as k from qr qualify k <= 5), kd as (select a as id, max(dist) as kdist from nq where benign group by 1),
+ own as (select nq.a as id, 1 / (avg(greatest(dist, kdist)) + 1e-10) as lrd from nq join kd on kd.id = nq.b group by 1)
+ select nq.a as vec_id, round(-avg(o.lrd) / any_value(q.lrd), 6) as score from nq join own o on o.id = nq.b join own q on q.id = nq.a group by 1"""
 
 
 @query(LOF)
 def ml8_lof_novelty(s, d):
-    from pyspark.sql import Window
-
-    v = A.vectors(s, d)
-    ref = v.where("benign and vec_id % 5 <> 0")
-    near = D.knn(ref, ref, 6).where("query_id <> vec_id")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("r <= 5")
-    reach = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.max("distance").alias("kdist"))
-    density = lambda df: df.join(reach, "vec_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("lrd"))
-    lrd = density(near).select(F.col("query_id").alias("vec_id"), "lrd")
-    asked = D.knn(v.where("vec_id % 5 = 0"), ref, 5)
-    own = density(asked).withColumnRenamed("lrd", "own")
-    out = asked.join(lrd, "vec_id").groupBy("query_id").agg(F.avg("lrd").alias("near")).join(own, "query_id")
-    return out.select(F.col("query_id").alias("vec_id"), F.round(-F.col("near") / F.col("own"), 6).alias("score"))
+    return D.lof_novelty(A.vectors(s, d), 5).withColumn("score", F.round("score", 6))
