@@ -5,10 +5,12 @@ Everything runs as DataFrame functions and Spark ML. Positions are code points,
 * Base rules name certain spans of four kinds (email, ip, card, phone); they always stay.
 * Loose generators propose further, overlapping spans: spelled-out addresses and any run of digit groups.
 * Boosted trees score a proposal from its format and the characters around it. They are fitted on at most
-  ``FIT_ROWS`` proposals, shared out among the kinds, whose label is whether a base rule confirms them; a confirmed
-  phone is also shown without its plus sign, so that the sign alone doesn't decide.
-* Per kind, the threshold is the lowest score above which at least ``PRECISION`` of all proposals in the held-out
-  quarter of the documents are confirmed. A kind without such a score selects nothing beyond the base.
+  ``FIT_ROWS`` proposals, shared out among the kinds. As no spans are labelled, those that a base rule confirms are right,
+  and are shown again in forms that the base rules can't see: phones without their country, cards in dotted groups,
+  spelled-out addresses. Wrong are proposals that can't be of their kind (a failed checksum, digits within a word, a date), and
+  confirmed ones rewritten so that they aren't any more. The others have no label and are only scored.
+* Per kind, the threshold is the lowest score above which at least ``PRECISION`` of all labelled proposals in the held-out
+  quarter of the documents are right. A kind without such a score selects nothing beyond the base.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import texts_of, written
@@ -33,7 +35,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOOSE_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
+LOOSE_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?(?:\(dot\)|\[dot\])\x20?[A-Za-z0-9._%+-]++)*+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
 LOOSE_DIGITS = r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"
 SMALL_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KEYWORDS = {"phone": r"(?i)(?:tel|phone|call|fax|mobile)\W*$", "card": r"(?i)(?:card|visa|pay)\W*$", "email": r"(?i)(?:mail|contact|write)\W*$", "ip": r"(?i)(?:ip|host|server|address)\W*$"}
@@ -63,20 +65,16 @@ def proposals(documents: DataFrame) -> DataFrame:
     # matches first; the parts between them only where there is a match
     df = df.withColumns({f"m_{r}": F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for r, (p, gate) in rules.items()})
     df = df.withColumns({f"p_{r}": F.when(F.size(f"m_{r}") > 0, F.split("text", p, -1)).otherwise(none) for r, (p, _) in rules.items()}).drop("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>").alias("out"))
 
-    def placed(r: str) -> Column:
+    def matched(r: str) -> Column:
         m, p = F.col(f"m_{r}"), F.col(f"p_{r}")
+        each = lambda x, i: F.struct(F.lit(r).alias("rule"), i.alias("i"), F.length(F.get(p, i)).alias("gap"), x.alias("m"), F.right(F.get(p, i), F.lit(16)).alias("before"), F.left(F.get(p, i + 1), F.lit(4)).alias("after"))
+        return F.transform(m, each)
 
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.get(p, i))
-            e = s + F.length(F.get(m, i))
-            return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), F.get(m, i).alias("m"), F.right(F.get(p, i), F.lit(16)).alias("before"), F.left(F.get(p, i + 1), F.lit(4)).alias("after"))).alias("out"))
-
-        whole = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda acc: acc["out"])
-        return F.transform(F.when(F.size(m) > 0, whole).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")), lambda x: F.struct(F.lit(r).alias("rule"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
-
-    rows = df.select("doc_id", "mark", F.explode(F.concat(*[placed(r) for r in rules])).alias("x")).select("doc_id", "mark", "x.*")
+    # a match starts after all the parts and matches before it; a window adds them up, for in a fold it would take time with the square of their number
+    rows = df.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "mark", F.explode(F.concat(*[matched(r) for r in rules])).alias("x")).select("row", "doc_id", "mark", "x.*")
+    e = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("row", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("e", e).withColumn("s", F.col("e") - F.length("m"))
     rows = rows.withColumn("d", digits_of(F.col("m"))).withColumn("n", F.length("d"))
     valid = (
         F.when(F.col("rule") == "email", F.lit(True))
@@ -86,13 +84,35 @@ def proposals(documents: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     loose = F.col("rule").startswith("loose")
-    kind = F.when(F.col("rule") == "loose_email", "email").when(F.col("rule") == "loose_digits", F.when(F.col("m").rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(F.col("n") >= 16, "card").otherwise("phone")).otherwise(F.col("rule"))
+    kind = F.when(F.col("rule") == "loose_email", "email").when(F.col("rule") == "loose_digits", F.when((F.col("n") <= 12) & F.col("m").rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(F.col("n") >= 16, "card").otherwise("phone")).otherwise(F.col("rule"))
     rows = rows.withColumns({"base": valid, "kind": kind})
     return rows.where("base").unionByName(rows.where(loose & ((F.col("rule") == "loose_email") | F.col("n").between(7, 19)))).select("doc_id", "mark", "kind", "s", "e", "m", "before", "after", "base")
 
 
+DATE = r"^(?:(?:19|20)[0-9]{2}[.-][01]?[0-9][.-][0-3]?[0-9]|[0-3]?[0-9][.-][01]?[0-9][.-](?:19|20)[0-9]{2})$"
+
+
+def impossible() -> Column:
+    """Whether a proposal can't be of its kind."""
+    n, d = F.length(digits_of(F.col("m"))), digits_of(F.col("m"))
+    touches = F.right("before", F.lit(1)).rlike("[A-Za-z0-9]") | F.left("after", F.lit(1)).rlike("[A-Za-z0-9]")
+    phone = ~n.between(8, 15) | touches | F.col("m").rlike(DATE)
+    return F.when(F.col("kind") == "card", ~(n.between(16, 19) & luhn(d)) | touches).when(F.col("kind") == "phone", phone).when(F.col("kind") == "ip", ~F.col("m").rlike(rf"^{SMALL_PART}(?:\.{SMALL_PART}){{3}}$")).otherwise(F.lit(False))
+
+
+def rewritten(loose: DataFrame) -> DataFrame:
+    """Confirmed proposals in forms that no base rule confirms; and, as wrong ones, cards with another last digit and addresses as the end of one sentence and the start of the next."""
+    sure, m, digits = loose.where("confirmed = 1"), F.col("m"), digits_of(F.col("m"))
+    forms = F.when(F.col("kind") == "phone", F.array(F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", ""), F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.()-]*", "0"), F.regexp_replace(m, r"^\+", "")))
+    forms = forms.when(F.col("kind") == "card", F.array(F.regexp_replace(digits, "(.{4})(?!$)", "$1."), F.regexp_replace(digits, "(.{4})(?!$)", "$1  ")))
+    forms = forms.when(F.col("kind") == "email", F.array(F.regexp_replace(F.regexp_replace(m, "@", " (at) "), "[.]", " (dot) "), F.regexp_replace(m, "@", "[at]"), F.regexp_replace(m, "[.]", " (dot) "))).otherwise(F.array(m))
+    wrong = F.concat(F.left(m, F.length(m) - 1), F.pmod(F.right(m, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
+    wrong = F.when(F.col("kind") == "card", wrong).when(F.col("kind") == "email", F.regexp_replace(F.regexp_replace(m, "@", " @ "), "[.]", ". "))
+    return sure.withColumn("m", F.explode(forms)).unionByName(sure.where("kind in ('card', 'email')").withColumns({"m": wrong, "confirmed": F.lit(0.0)}))
+
+
 def with_features(rows: DataFrame) -> DataFrame:
-    """The numbers that the trees see, and confirmed: whether a base span meets this one (base rows: true)."""
+    """The numbers that the trees see."""
     m, edge = F.col("m"), lambda c: F.when(F.length(c) == 0, 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c == " ", 3).otherwise(4)
     groups = F.split(F.regexp_replace(m, "[^0-9A-Za-z]+", " "), " ")
     keyword = F.coalesce(*[F.when((F.col("kind") == k) & F.col("before").rlike(p), 1) for k, p in KEYWORDS.items()], F.lit(0))
@@ -114,7 +134,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "luhn": luhn(digits_of(m)).cast("int"),
         "kind": number[F.col("kind")],
     }
-    return rows.select("doc_id", "mark", F.col("kind").alias("name"), "s", "e", "base", *[v.cast("double").alias(k) for k, v in values.items()])
+    return rows.select("doc_id", "mark", F.col("kind").alias("name"), "s", "e", "base", *[c for c in ("confirmed",) if c in rows.columns], *[v.cast("double").alias(k) for k, v in values.items()])
 
 
 def fit_sample(loose: DataFrame, most: int) -> DataFrame:
@@ -124,7 +144,7 @@ def fit_sample(loose: DataFrame, most: int) -> DataFrame:
     for i, (n, kind) in enumerate(counts):
         take = min(n, left // (len(counts) - i))
         left -= take
-        parts.append(loose.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "s", "e"), "doc_id", "s", "e").limit(take))
+        parts.append(loose.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "s", "e", *FEATURES), "doc_id", "s", "e", *FEATURES).limit(take))
     return reduce(DataFrame.unionByName, parts, loose.limit(0)).select(*FEATURES, "confirmed")
 
 
@@ -146,32 +166,33 @@ def detected(documents: DataFrame, fit_rows: int = FIT_ROWS, precision: float =
     """(doc_id, mark, spans): the selected spans of each text of (doc_id, text) that has any.
 
     spans is array<struct<k, s, e, base>> in the order of kind and start; k counts KINDS. A loose span that
-    overlaps a base span gives way to it, and of two selected loose spans of a kind the longer, then the earlier,
-    stays. Tables without proposals, or whose proposals are all alike, get the base spans only.
+    overlaps a base span gives way to it; loose spans of a kind come from one generator and don't overlap. Tables without proposals, or whose proposals are all alike, get the base spans only.
     """
-    rows = written(with_features(proposals(documents)), "proposals")
-    base = rows.where("base").select("doc_id", "mark", F.col("s").alias("bs"), F.col("e").alias("be"))
+    found = written(proposals(documents), "proposals")
+    base = found.where("base").select("doc_id", "mark", F.col("s").alias("bs"), F.col("e").alias("be"))
     # the spans of one text: their number is bounded by its length
     by_text = base.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("bs", "be")).alias("sure"))
-    loose = rows.where("not base").join(by_text, ["doc_id", "mark"], "left")
+    loose = found.where("not base").join(by_text, ["doc_id", "mark"], "left")
     meets = F.coalesce(F.exists("sure", lambda b: (b["bs"] < F.col("e")) & (F.col("s") < b["be"])), F.lit(False))
-    loose = loose.withColumn("confirmed", meets.cast("double")).drop("sure")
+    loose = loose.withColumn("confirmed", F.when(meets, 1.0).when(impossible(), 0.0)).drop("sure")
+    folded = lambda df: df.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    shown = folded(written(with_features(rewritten(loose)), "rewritten"))
+    loose = folded(written(with_features(loose), "loose"))
 
-    loose = written(loose, "loose").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    # without the sign, a confirmed phone is still one
-    bare = lambda df: df.unionByName(df.where((F.col("plus") == 1) & (F.col("confirmed") == 1)).withColumn("plus", F.lit(0.0)))
-    sample = written(bare(fit_sample(loose.where("fold > 0"), fit_rows)), "fit").coalesce(1)
+    known = loose.where("confirmed is not null").unionByName(shown)
+    sample = written(fit_sample(known.where("fold > 0"), fit_rows), "fit").coalesce(1)
     counts = sample.agg(F.sum("confirmed"), F.count(F.lit(1))).first()
     chosen = None
     if counts[0] and counts[0] < counts[1]:
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         model = GBTClassifier(labelCol="confirmed", maxIter=12, maxDepth=4, seed=5, maxBins=64).fit(assembler.transform(sample))
         scored = lambda df: model.transform(assembler.transform(df)).withColumn("score", F.round(vector_to_array("probability")[1], 4)).drop("features", "probability", "rawPrediction", "prediction")
-        limits = thresholds(scored(bare(loose.where("fold = 0").select(*FEATURES, "confirmed"))), precision)
+        limits = thresholds(scored(known.where("fold = 0").select(*FEATURES, "confirmed")), precision)
         if limits:
             limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(2.0))
-            chosen = scored(loose.where("confirmed = 0")).where(F.col("score") >= limit).select("doc_id", "mark", "kind", "s", "e", "base")
-    kept = rows.where("base").select("doc_id", "mark", "kind", "s", "e", "base")
+            chosen = scored(loose.where("confirmed is null")).where(F.col("score") >= limit).select("doc_id", "mark", "kind", "s", "e", "base")
+    number = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    kept = found.where("base").select("doc_id", "mark", number[F.col("kind")].alias("kind"), "s", "e", "base")
     if chosen is not None:
         kept = kept.unionByName(chosen)
     span = F.struct(F.col("kind").cast("int").alias("k"), "s", "e", "base")

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from flowlens.llm import pii
 
@@ -84,3 +86,41 @@ def test_hot_source_leaves_rare_kinds_their_thresholds(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     spans = pii.detected(df.withColumn("doc_id", df.doc_id), fit_rows=120).where("exists(spans, x -> not x.base and x.k = 0)")
     assert sorted(r["doc_id"] for r in spans.collect()) == late
+
+
+def test_trees_find_what_base_cannot(spark):
+    rng = random.Random(11)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    words = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 12)))
+    number = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    mail = lambda: f"{words().split()[0]}.x{rng.randrange(99)}@mail{rng.randrange(9)}.example.com"
+    docs, planted = [], {}
+    for i in range(1600):
+        plain = [f"+{rng.randrange(1, 60)} {number()}", card(), mail(), " ".join(card()[k : k + 4] for k in (0, 4, 8, 12)), "".join(rng.choice("0123456789abcdef") for _ in range(40)), str(rng.randrange(10**6, 10**12)), f"20{rng.randrange(10, 30)}.{rng.randrange(10, 13)}.{rng.randrange(10, 28)}"]
+        text = f"{words()} {rng.choice(plain)} {words()}, {rng.choice(plain)} {words()}"
+        if i % 8 == 0:
+            c = card()
+            kind, new = [("phone", number()), ("card", ".".join(c[k : k + 4] for k in (0, 4, 8, 12))), ("email", mail().replace("@", " (at) ").replace(".", " (dot) "))][i // 8 % 3]
+            text += " " + new
+            planted[i] = f"{kind}:{len(text) - len(new)}:{len(text)}"
+            text += f" {words()}"
+        docs.append((i, text))
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    check([(got[i], t) for i, t in docs])
+    added = {i: set(filter(None, r["spans"].split(","))) - {f"{k}:{s}:{e}" for k, s, e in brute(dict(docs)[i])} for i, r in got.items()}
+    for kind in ("phone", "card", "email"):
+        want = [i for i, p in planted.items() if p.startswith(kind)]
+        assert sum(planted[i] in added[i] for i in want) >= 0.9 * len(want), kind
+    total = sum(map(len, added.values()))
+    assert sum(p in added[i] for i, p in planted.items()) >= 0.9 * total
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.org" for i in range(20_000))
+    start = time.time()
+    assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_email"] == 20_000
+    assert time.time() - start < 60
