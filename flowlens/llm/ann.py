@@ -60,7 +60,8 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, wanted: in
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found among the other vectors by cosine in double precision.
 
-    vectors and queries are (vec_id, embedding); ids are unique. Null ids and null, zero or non-finite vectors take
+    vectors and queries are (vec_id, embedding). Rows that repeat an id are one candidate, and one query, by the best of their
+    scores. Null ids and null, zero or non-finite vectors take
     no part, nor do vectors of a length other than the commonest in the sample. Ties go to the smaller vec_id; with
     fewer than k candidates all are returned; an empty table gives an empty result. The two codebooks are fitted on
     at most ``sample`` vectors, drawn by a hash of the id; every vector is indexed. A query visits cells until they
@@ -125,16 +126,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
             (e_ids, e), (q_ids, q) = matrix(entry), matrix(query)
             order = e_ids.argsort(kind="stable")
             e_ids, e = e_ids[order], unit(e[order])
+            # rows of one id count once, so that as many more have to be looked at
+            most = int(np.diff(np.r_[np.flatnonzero(np.r_[True, e_ids[1:] != e_ids[:-1]]), len(e_ids)]).max())
             for at in range(0, len(q_ids), 256):
                 ids = q_ids[at : at + 256]
                 score = unit(q[at : at + 256]) @ e.T
                 score[ids[:, None] == e_ids[None]] = -np.inf
-                few = min(k, len(e_ids))
+                few = min(k * most, len(e_ids))
                 # every entry that ties with the k-th comes along; the final ranking settles it
                 least_score = -np.partition(-score, few - 1, 1)[:, few - 1]
                 i, j = np.nonzero((score >= least_score[:, None]) & np.isfinite(score))
                 place = np.lexsort((e_ids[j], -score[i, j], i))
                 i, j = i[place], j[place]
+                if most > 1:
+                    once = np.sort(np.unique(np.stack([i, e_ids[j]]), axis=1, return_index=True)[1])
+                    i, j = i[once], j[once]
                 first = np.r_[0, np.cumsum(np.bincount(i, minlength=len(ids)))][:-1]
                 keep = np.arange(len(i)) - first[i] < k
                 for column, x in zip(out, (ids[i], e_ids[j], score[i, j]), strict=True):
@@ -142,5 +148,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         return pa.table([np.concatenate(out[0] or [np.zeros(0, np.int64)]), np.concatenate(out[1] or [np.zeros(0, np.int64)]), np.concatenate(out[2] or [np.zeros(0)])], ["query_id", "vec_id", "score"])
 
     found = entries.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(ranked, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and all run on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         base = spark.conf.get("flowlens.shared.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("flowlens.shared.dir", base)
     return base.rstrip("/")

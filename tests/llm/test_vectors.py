@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import ann, embed_dedup
 
@@ -77,3 +78,11 @@ def test_recall_of_the_query(spark):
         c[i] = -9
         hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -c))[:5]]))
     assert hits / (5 * len(q)) >= 0.9
+
+
+def test_rows_that_repeat_an_id_are_one_candidate(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0 + i, float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
+    plain = lambda x: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in x.collect())
+    want = plain(ann.search(df, df.where("vec_id % 10 = 0")))
+    twice = df.union(df).withColumn("score", F.lit("x"))
+    assert plain(ann.search(twice, twice.where("vec_id % 10 = 0"))) == want and len(want) == 20
