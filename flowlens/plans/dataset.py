@@ -141,7 +141,10 @@ def agg16_near_components(s, d):
     if s.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        s.sparkContext.setCheckpointDir(s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = s.sparkContext.getConf().get("spark.checkpoint.dir")
+        if shared is None and not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        s.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return D.near_components(D.near_pairs(A.vectors(s, d), "vec_id", "features", 0.31))
 
 
