@@ -72,3 +72,36 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in batch.groupBy("key", "segment").agg({"micros": "min"}).join(batch.groupBy("key", "segment").agg({"micros": "max", "seq": "count"}), ["key", "segment"]).selectExpr("key", "segment", "`min(micros)`", "`max(micros)`", "`count(seq)`").collect()}
     # the stream holds back what no packet and no watermark has ended yet
     assert got <= want and len(got) >= len(want) - 4
+
+
+PACKETS = "source_id string, seq long, micros long, ip_version int, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, protocol_number int, icmp_type int, icmp_code int, icmp_identifier int, network_bytes long, tcp_flags long"
+
+
+def packet(seq, source, destination, protocol="tcp", number=6, icmp=(None, None, None), version=4, flags=0, size=100, t=0.0):
+    return ("c", seq, round(t * 1e6), version, source[0], destination[0], source[1], destination[1], protocol, number, *icmp, size, flags)
+
+
+def test_keys(spark):
+    a, b, x, y = ("10.0.0.9", 5000), ("10.0.0.10", 80), ("2001:db8::1", 1), ("2001:db8:0:0:0:0:0:2", 2)
+    none = lambda e: (e[0], None)
+    rows = [
+        packet(0, a, b), packet(1, b, a), packet(2, a, b, "udp", 17), packet(3, x, y, version=6), packet(4, y, x, version=6),
+        packet(5, none(a), none(b), "icmp", 1, (8, 0, 42)), packet(6, none(b), none(a), "icmp", 1, (0, 0, 42)), packet(7, none(a), none(b), "icmp", 1, (8, 0, 43)), packet(8, none(a), none(b), "icmp", 1, (3, 1, None)),
+    ]
+    keys = [r["key"] for r in W.with_flow_key(spark.createDataFrame(rows, PACKETS)).orderBy("seq").collect()]
+    # bytes order the addresses, not text
+    assert keys[0] == keys[1] == "4|6|10.0.0.9:5000>10.0.0.10:80|ports"
+    assert keys[3] == keys[4] and keys[5] == keys[6] and len(set(keys)) == 6
+    assert keys[5].endswith("|echo:42") and keys[8].endswith("|type:3:code:1")
+
+
+def test_features_of_a_handshake_between_ports_of_one_host(spark):
+    a, b = ("10.0.0.1", 5000), ("10.0.0.1", 80)
+    rows = [packet(0, a, b, flags=2, t=0), packet(1, b, a, flags=18, t=0.5, size=300), packet(2, a, b, flags=16, t=1.0), packet(3, a, b, flags=24, t=3.0)]
+    df = W.segment_flows(W.with_flow_key(spark.createDataFrame(rows, PACKETS)))
+    got = W.flow_features(df, ["source_id", "key", "segment"]).first().asDict()
+    assert tuple(got)[3:] == W.FEATURES and len(W.FEATURES) == 43
+    assert (got["forward_packets"], got["backward_packets"], got["completed_handshake_indicator"], got["failed_connection_indicator"]) == (3, 1, 1, 0)
+    assert got["asymmetry_score"] == 0.0 and got["forward_mean_iat"] == 1.5 and got["backward_mean_iat"] == 0.0 and got["connection_burst_score"] == 0.75
+    single = W.flow_features(df.where("seq = 0"), ["source_id", "key", "segment"]).first().asDict()
+    assert all(v is not None and v == v for v in single.values()) and single["failed_connection_indicator"] == 1
