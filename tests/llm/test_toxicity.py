@@ -3,7 +3,7 @@ import numpy as np
 from flowlens.llm import toxicity
 
 
-def test_block_max_is_exact():
+def test_index_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
     for _ in range(500):
