@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, embed_dedup, jaccard, mixing, pieces, pii, suffix_dedup, token_files, toxicity, warc
+from flowlens.llm import ann, embed_dedup, jaccard, mixing, pieces, pii, suffix_dedup, token_files, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op5_mixing, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest)}
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op5_mixing, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest, op13_exact_topk)
+}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -83,4 +91,11 @@ ORACLES: dict[str, str] = {
         select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) as component_id
         from w left join n using (doc_id) left join reach on reach.a = w.doc_id group by w.doc_id
     """,
+    "op13_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select x.vec_id as query_id, y.vec_id, list_inner_product(x.q, y.q)::bigint as score from v x join v y on x.vec_id <> y.vec_id and len(x.q) = len(y.q) where x.vec_id % 20 = 0)
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+        qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+    """,
 }
