@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, embed_dedup, jaccard, mixing, pieces, pii, suffix_dedup, token_files, topk, toxicity, turns, warc
+from flowlens.llm import alignment, ann, embed_dedup, jaccard, mixing, pieces, pii, suffix_dedup, token_files, topk, toxicity, turns, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +75,7 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op5_mixing, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest, op12_turn_repair, op13_exact_topk)
+    for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_pii, op5_mixing, op6_sentencepiece, op7_ngram_jaccard, op8_token_files, op9_embedding_dedup, op10_nearest, op11_alignment, op12_turn_repair, op13_exact_topk)
 }
 
 
@@ -99,7 +105,9 @@ TURN_REPAIR = rf"""
          k as (select *, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)), 4294967295::bigint) % 20 as act from b),
          d as (select conv_id, turn, case when act = 4 then 'user' else role end as role, case act when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when act = 3 then [1, 2] else [1] end) as copy from k where act <> 0),
          o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
-                      regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as ending from d),
+                      regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as ending from d),
          r as (select *, left(role, 1) as i0, case when ending = '' then 'blank' when seen > 1 then 'duplicate' when ending not in ('.', '!', '?') then 'truncated' else '' end as fault,
                       lag(left(role, 1)) over (partition by conv_id order by i) as i1 from o),
          f(conv_id, i, n, s, u, a) as (
