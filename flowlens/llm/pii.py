@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import texts_of, written
+from flowlens.llm.common import dropped, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS = 8000
@@ -169,15 +169,17 @@ def detected(documents: DataFrame, fit_rows: int = FIT_ROWS, precision: float =
     overlaps a base span gives way to it; loose spans of a kind come from one generator and don't overlap. Tables without proposals, or whose proposals are all alike, get the base spans only.
     """
     found = written(proposals(documents), "proposals")
-    base = found.where("base").select("doc_id", "mark", F.col("s").alias("bs"), F.col("e").alias("be"))
-    # the spans of one text: their number is bounded by its length
-    by_text = base.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("bs", "be")).alias("sure"))
-    loose = found.where("not base").join(by_text, ["doc_id", "mark"], "left")
-    meets = F.coalesce(F.exists("sure", lambda b: (b["bs"] < F.col("e")) & (F.col("s") < b["be"])), F.lit(False))
-    loose = loose.withColumn("confirmed", F.when(meets, 1.0).when(impossible(), 0.0)).drop("sure")
+    # a span meets a base one that starts no later and ends beyond its start, or one that starts no earlier and before its end
+    of_text = Window.partitionBy("doc_id", "mark")
+    ended = F.max(F.when(F.col("base"), F.col("e"))).over(of_text.orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(F.col("base"), F.col("s"))).over(of_text.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0))
+    meets = F.coalesce(F.col("ended") > F.col("s"), F.lit(False)) | F.coalesce(F.col("following") < F.col("e"), F.lit(False))
+    loose = found.withColumns({"ended": ended, "following": following}).where("not base").withColumn("confirmed", F.when(meets, 1.0).when(impossible(), 0.0)).drop("ended", "following")
+    raw = written(loose, "marked")
     folded = lambda df: df.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    shown = folded(written(with_features(rewritten(loose)), "rewritten"))
-    loose = folded(written(with_features(loose), "loose"))
+    shown = folded(written(with_features(rewritten(raw)), "rewritten"))
+    loose = folded(written(with_features(raw), "loose"))
+    dropped(raw)
 
     known = loose.where("confirmed is not null").unionByName(shown)
     sample = written(fit_sample(known.where("fold > 0"), fit_rows), "fit").coalesce(1)
