@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from flowlens.llm.common import dropped, ranges, text_buffer, texts_of, written
 from flowlens.llm.pieces import MARKER, fields
 
 #: bytes of text in a block, but for longer documents
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: segments, and bytes of them, whose ids a worker remembers
-REMEMBERED, REMEMBERED_BYTES = 600_000, 64_000_000
-#: links expanded at a time
-LINKS = 4_000_000
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32_000_000
+#: groups of more links are joined by distinct ids, and so many links are expanded at a time
+WIDE, LINKS = 64, 2_000_000
 SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<int>, pairs array<long>, docs array<long>"
 
 
@@ -52,6 +54,8 @@ class Tokenizers:
     """
 
     def __init__(self, a_file: str, b_file: str) -> None:
+        # Spark has a worker for each core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -85,44 +89,75 @@ class Tokenizers:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.size = 0
-        self.flat, self.ends = (array("i"), array("i")), (array("i", [0]), array("i", [0]))
+        self.flat, self.sizes = (array("i"), array("i")), (array("i"), array("i"))
 
     def numbers(self, segments: list[bytes]) -> np.ndarray:
         """The place of each segment among those remembered; new ones are encoded."""
         if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.forget()
-        fresh = [s for s in segments if s not in self.known]
+        get = self.known.get
+        out = np.fromiter(map(get, segments, repeat(-1)), np.int64, len(segments))
+        new = np.flatnonzero(out < 0)
+        out[new] = np.arange(len(self.known), len(self.known) + len(new))
+        fresh = [segments[i] for i in new.tolist()]
         for at in range(0, len(fresh), 20_000):
-            texts = [s.decode() for s in fresh[at : at + 20_000]]
-            ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
-            for flat, ends, rows in zip(self.flat, self.ends, ids, strict=True):
-                for row in rows:
-                    flat.extend(row)
-                    ends.append(len(flat))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            part = fresh[at : at + 20_000]
+            for side, (ids, sizes) in enumerate((self.encoded_a(part), self.encoded_b(part))):
+                self.flat[side].extend(ids)
+                self.sizes[side].extend(sizes)
+        self.known.update(zip(fresh, out[new].tolist(), strict=True))
         self.size += sum(map(len, fresh))
-        return np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        return out
+
+    def encoded_b(self, segments: list[bytes]) -> tuple[Iterator[int], Iterator[int]]:
+        rows = self.b.encode([s[1:].decode() for s in segments], num_threads=1)
+        return chain.from_iterable(rows), map(len, rows)
+
+    def encoded_a(self, segments: list[bytes]) -> tuple[Iterator[int], Iterator[int]]:
+        """Segments that end so that no token goes on into the next go to the tokenizer as one text, which is much faster than one by one."""
+        joined = b"".join(segments)
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        cuts = np.zeros(len(joined) + 1, bool)
+        if self.by_segment:
+            cuts[segment_starts(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))] = True
+        # the last one has nothing after it, but may be followed once others are left out
+        whole = [s for s, sure in zip(segments, cuts[ends].tolist(), strict=True) if sure]
+        ids: list[int] = self.a.encode_batch_fast([b"".join(whole).decode()], add_special_tokens=False)[0].ids if whole else []
+        token_ends, whole_ends = np.cumsum(self.a_bytes[1][ids]), np.cumsum(list(map(len, whole)))
+        at = np.searchsorted(token_ends, whole_ends)
+        if whole and (at[-1] >= len(ids) or (token_ends[at] != whole_ends).any()):
+            raise ValueError("tokens of A go on past the end of a segment")
+        counts = iter(np.diff(at, prepend=-1).tolist())
+        alone = iter([e.ids for e in self.a.encode_batch_fast([s.decode() for s, sure in zip(segments, cuts[ends].tolist(), strict=True) if not sure], add_special_tokens=False)])
+        rows, begin = [], 0
+        for sure in cuts[ends].tolist():
+            if sure:
+                rows.append(ids[begin : begin + (n := next(counts))])
+                begin += n
+            else:
+                rows.append(next(alone))
+        return chain.from_iterable(rows), map(len, rows)
 
     def lists(self, numbers: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
         """The ids of each numbered segment in A and in B."""
         out = []
-        for flat, ends in zip(self.flat, self.ends, strict=True):
-            all_ends = np.array(ends, np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(all_ends), pa.array(np.array(flat, np.int32))).take(pa.array(numbers)))
+        for flat, sizes in zip(self.flat, self.sizes, strict=True):
+            ends = np.r_[0, np.cumsum(np.array(sizes, np.int32))].astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(flat, np.int32))).take(pa.array(numbers)))
         return tuple(out)
 
 
 def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where segments begin: at each text, and at a space after a byte that surely ends no white space of any kind."""
-    if len(data) < 2:
-        return np.unique(offsets[:-1])
-    two = np.r_[np.uint8(0), np.uint8(0), data[:-2]]
-    three = np.r_[np.zeros(3, np.uint8), data[:-3]] if len(data) > 2 else np.zeros_like(data)
-    before = np.r_[np.uint8(0), data[:-1]]
+    two, three = np.zeros_like(data), np.zeros_like(data)
+    two[2:], three[3:] = data[:-2], data[:-3]
+    before = np.zeros_like(data)
+    before[1:] = data[:-1]
     # white space beyond ASCII is U+0085, U+00A0, U+1680, U+2000 to U+205F in part, and U+3000
     wide = (two == 0xC2) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
-    spaces = np.flatnonzero((data == 32) & (((before > 32) & (before < 127)) | ((before >= 128) & ~wide)))
-    return np.union1d(offsets[:-1][offsets[:-1] < offsets[1:]], spaces)
+    begins = (data == 32) & (((before > 32) & (before < 127)) | ((before >= 128) & ~wide))
+    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(begins)
 
 
 def flattened(lists: pa.ListArray, doc_of: np.ndarray, n_docs: int, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,27 +194,48 @@ def counted(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out["key"].to_numpy(), out["weight_sum"].to_numpy()
 
 
+def in_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.r_[first, len(key)])
+
+
 def linked(a_group: np.ndarray, a: np.ndarray, b_group: np.ndarray, b: np.ndarray, doc_of_group: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
-    """((document * n_a + a) * n_b + b, links of it), distinct and in order: groups are joined by distinct ids with their numbers."""
+    """((document * n_a + a) * n_b + b, links of it), distinct and in order.
+
+    The links of most groups are few and expanded. Those of wide ones come from a join of distinct ids with their numbers, in steps of bounded size.
+    """
+    groups = len(doc_of_group)
+    in_a, in_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
+    wide = in_a * in_b > WIDE
+    plain = ~wide[a_group]
+    left, of = a[plain], a_group[plain]
+    many = in_b[of]
+    right = b[ranges((np.cumsum(in_b) - in_b)[of], many)]
+    keys, weights = in_runs(np.repeat((doc_of_group[of] * n_a + left) * n_b, many) + right)
+    if not wide.any():
+        return keys, weights
+    keys, weights = [keys], [weights]
     one = lambda x: np.ones(len(x), np.int64)
-    a_key, a_times = counted(a_group * n_a + a, one(a))
-    b_key, b_times = counted(b_group * n_b + b, one(b))
+    left, right = ~plain, wide[b_group]
+    a_key, a_times = counted(a_group[left] * n_a + a[left], one(a[left]))
+    b_key, b_times = counted(b_group[right] * n_b + b[right], one(b[right]))
     order = a_key.argsort()
     a_key, a_times = a_key[order], a_times[order]
     left = pa.table({"group": a_key // n_a, "a": a_key % n_a, "a_times": a_times})
     right = pa.table({"group": b_key // n_b, "b": b_key % n_b, "b_times": b_times})
-    # rows of A in steps that expand to a bounded number of links
-    grown = np.cumsum(np.bincount(b_key // n_b, minlength=len(doc_of_group))[a_key // n_a])
+    grown = np.cumsum(np.bincount(b_key // n_b, minlength=groups)[a_key // n_a])
     cuts = np.unique(np.r_[0, np.searchsorted(grown, np.arange(LINKS, grown[-1], LINKS)), len(a_key)])
-    keys, weights = [], []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        near = right if len(cuts) == 2 else right.filter(pc.is_in(right["group"], pc.unique(left["group"][x:y])))
-        links = left.slice(x, y - x).join(near, "group", join_type="inner", use_threads=False)
+        part = left.slice(x, y - x)
+        near = right if len(cuts) == 2 else right.filter(pc.is_in(right["group"], pc.unique(part["group"])))
+        links = part.join(near, "group", join_type="inner", use_threads=False)
         group, ia, ib, ta, tb = (links[c].to_numpy() for c in ("group", "a", "b", "a_times", "b_times"))
-        k, w = counted((doc_of_group[group] * n_a + ia) * n_b + ib, ta * tb)
-        keys.append(k)
-        weights.append(w)
-    key, weight = (keys[0], weights[0]) if len(keys) == 1 else counted(np.concatenate(keys), np.concatenate(weights))
+        key, weight = counted((doc_of_group[group] * n_a + ia) * n_b + ib, ta * tb)
+        keys.append(key)
+        weights.append(weight)
+    key, weight = counted(np.concatenate(keys), np.concatenate(weights))
     order = key.argsort()
     return key[order], weight[order]
 
@@ -228,11 +284,13 @@ def aligned_block(t: Tokenizers, number: int, doc_ids: pa.Array, texts: pa.Array
             a, a_doc, a_end, b, b_doc, b_end = a[stay_a], a_doc[stay_a], a_end[stay_a], b[stay_b], b_doc[stay_b], b_end[stay_b]
             n_a, n_b = np.where(wrong, 0, n_a), np.where(wrong, 0, n_b)
         if len(a):
-            at_end = lambda doc, end, name: pa.table({"key": (doc << 32) + end, name: np.arange(len(doc))})
-            both = at_end(a_doc, a_end, "a").join(at_end(b_doc, b_end, "b"), "key", join_type="inner", use_threads=False)
-            a_cut, b_cut = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            a_cut[both["a"].to_numpy()] = 1
-            b_cut[both["b"].to_numpy()] = 1
+            # the key of an end of a document's token is its place among the block's bytes
+            a_key, b_key = (offsets[doc] + end for doc, end in ((a_doc, a_end), (b_doc, b_end)))
+            kind = np.int32 if len(data) < 2**31 else np.int64
+            both = pa.table({"key": a_key.astype(kind)}).join(pa.table({"key": b_key.astype(kind)}), "key", join_type="inner", use_threads=False)
+            cut = np.zeros(len(data) + 1, bool)
+            cut[both["key"].to_numpy()] = True
+            a_cut, b_cut = cut[a_key].astype(np.int64), cut[b_key].astype(np.int64)
             a_group, b_group = (pc.cumulative_sum(pa.array(c)).to_numpy() - c for c in (a_cut, b_cut))
             doc_of_group = a_doc[a_cut == 1]
             key, weight = linked(a_group, a, b_group, b, doc_of_group, t.n_a, t.n_b)
@@ -270,6 +328,7 @@ def blocks(documents: DataFrame, a_file: str, b_file: str, block_bytes: int = BL
                 end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + block_bytes, "right")))
                 yield from aligned_block(t, number, ids[at:end], texts[at:end])
                 at, number = end, number + 1
+                pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, SCHEMA)
 

@@ -81,6 +81,7 @@ def test_links_expanded_in_steps(spark, monkeypatch):
     doc = np.array([0, 0, 0, 1, 1, 2, 2, 2, 3])
     whole = alignment.linked(a_group, a, b_group, b, doc, 7, 11)
     monkeypatch.setattr(alignment, "LINKS", 50)
+    monkeypatch.setattr(alignment, "WIDE", 8)
     steps = alignment.linked(a_group, a, b_group, b, doc, 7, 11)
     want = Counter((int(doc[g]) * 7 + int(x)) * 11 + int(y) for g, x in zip(a_group, a, strict=True) for h, y in zip(b_group, b, strict=True) if g == h)
     for key, weight in (whole, steps):
