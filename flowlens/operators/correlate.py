@@ -32,14 +32,13 @@ KEPT = ("flow_id", "capture_session_id")
 MOST_ENTITIES = 32
 
 
-def observed_entities(alerts: DataFrame, normal: bool = False) -> DataFrame:
+def observed_entities(alerts: DataFrame) -> DataFrame:
     """(alert_id, entity): the known kinds among the alerts' columns as kind:value, and the pair of source and destination.
 
     Values are trimmed, addresses put into their shortest form, hosts, users, protocols and services case-folded; empty
-    ones are left out, and at most MOST_ENTITIES of an alert stay, by kind. Columns that alerts lack count as null. ``normal``
-    says that addresses are in their shortest form already, as those of decoded packets are.
+    ones are left out, and at most MOST_ENTITIES of an alert stay, by kind. Columns that alerts lack count as null.
     """
-    alerts = alerts.withColumns({f"_{k}": F.trim(k) if normal else normalize_ip(F.trim(k)) for k in ADDRESSES})
+    alerts = alerts.withColumns({f"_{k}": normalize_ip(F.trim(k)) for k in ADDRESSES})
     value = {k: F.col(f"_{k}") for k in ADDRESSES} | {k: casefold_trim(F.col(k)) for k in FOLDED if k in alerts.columns} | {k: F.trim(F.col(k).cast("string")) for k in KEPT if k in alerts.columns}
     each = [F.when(v != "", F.concat(F.lit(f"{k}:"), v)) for k, v in value.items()]
     each.append(F.concat(F.lit("pair:"), value["source_ip"], F.lit("->"), value["destination_ip"]))
@@ -66,7 +65,8 @@ def anchored_windows(members: DataFrame, seconds: float, least: int = 2) -> Data
         size = rows.groupby("cluster").alert_id.transform("size")
         return rows.loc[size >= least, ["entity", "cluster", "alert_id"]]
 
-    return members.groupBy("entity").applyInPandas(f, "entity string, cluster long, alert_id long")
+    kind = members.schema["alert_id"].dataType.simpleString()
+    return members.groupBy("entity").applyInPandas(f, f"entity string, cluster long, alert_id {kind}")
 
 
 def regularity(clusters: DataFrame) -> DataFrame:
@@ -102,16 +102,18 @@ def group_score(risk: Column, alerts: Column, reasons: Column, rules: Column, se
     return clamp01(risk) * 0.35 + clamp01(alerts / 5) * 0.20 + clamp01((reasons + rules) / 6) * 0.25 + clamp01(1 - seconds / window) * 0.20
 
 
-def alert_groups(alerts: DataFrame, seconds: float, least_score: float = 0.35) -> DataFrame:
-    """Groups of eligible alerts: clusters of equal members under several entities are one group with the union of rules and entities."""
-    use = eligible_alerts(alerts)
-    members = observed_entities(use, normal=True).join(use.select("alert_id", "event_start", "event_end"), "alert_id")
+def ruled_clusters(members: DataFrame, alerts: DataFrame, seconds: float) -> DataFrame:
+    """(entity, cluster, members, rules) of members (entity, alert_id, event_start, event_end); members are sorted ids as text."""
     found = anchored_windows(members, seconds)
-    full = found.join(use, "alert_id")
-    rules = matched_rules(full)
-    sets = found.groupBy("entity", "cluster").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("alert_id").cast("string"), 12, "0"))), ",").alias("members"))
-    merged = sets.join(rules, ["entity", "cluster"]).groupBy("members").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
-    facts = sets.groupBy("members").agg(F.min(F.struct("entity", "cluster")).alias("at")).select("members", "at.*").join(full, ["entity", "cluster"]).groupBy("members").agg(
+    sets = found.groupBy("entity", "cluster").agg(F.array_sort(F.collect_set(F.col("alert_id").cast("string"))).alias("members"))
+    return sets.join(matched_rules(found.join(alerts, "alert_id")), ["entity", "cluster"])
+
+
+def merged_groups(clusters: DataFrame, alerts: DataFrame, seconds: float, least_score: float = 0.35) -> DataFrame:
+    """A group for each set of members among clusters: the union of its clusters' entities and rules, its alerts' facts, score and severity."""
+    merged = clusters.groupBy("members").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+    each = merged.select("members", F.explode("members").alias("_id")).join(alerts.withColumn("_id", F.col("alert_id").cast("string")), "_id")
+    facts = each.groupBy("members").agg(
         F.count(F.lit(1)).alias("alerts"), F.avg("risk").alias("risk"), F.count_distinct("reason").alias("reasons"), F.array_sort(F.collect_set("reason")).alias("codes"), F.min("event_start").alias("first_seen"), F.max("event_end").alias("last_seen"),
     )
     out = merged.join(facts, "members")
@@ -119,6 +121,13 @@ def alert_groups(alerts: DataFrame, seconds: float, least_score: float = 0.35) -
     return out.withColumn("score", F.round(score, 6)).where(F.col("score") >= least_score).withColumn("severity", severity_band(F.col("score"), GROUP_BANDS))
 
 
+def alert_groups(alerts: DataFrame, seconds: float, least_score: float = 0.35) -> DataFrame:
+    """Groups of eligible alerts: clusters of equal members under several entities are one group with the union of rules and entities."""
+    use = eligible_alerts(alerts)
+    members = observed_entities(use).join(use.select("alert_id", "event_start", "event_end"), "alert_id")
+    return merged_groups(ruled_clusters(members, use, seconds), use, seconds, least_score)
+
+
 #: templates from the first priority: rules that all are there, rules of which one is, tokens of which a reason holds one
 TEMPLATES = (
     ("possible_command_and_control_pattern", ("periodic_beacon_like_activity", "multi_engine_evidence"), (), ()),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.ranks import exact_quantiles, value_counts
+
 
 def unpivoted(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(kept columns, feature, value): a row for each feature."""
@@ -17,16 +19,17 @@ def unpivoted(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
 def feature_statistics(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: count, missing, min, max, mean, deviation, quartiles, constant and near-constant.
 
-    Rows are first reduced to (feature, value, count), so that exact quantiles hold distinct values only.
+    Rows are first reduced to (feature, value, count); no task holds a feature's values.
     """
-    counts = unpivoted(rows, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = value_counts(unpivoted(rows, features), ["feature"], "value")
     v, c, there = F.col("value"), F.col("c"), F.col("value").isNotNull()
     n = F.sum(F.when(there, c).otherwise(0))
     mean = F.sum(v * c) / n
     out = counts.groupBy("feature").agg(
         n.alias("n"), F.sum(F.when(~there, c).otherwise(0)).alias("missing"), F.min(v).alias("lo"), F.max(v).alias("hi"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(v * v * c) / n - mean * mean)).alias("std"),
-        F.percentile(v, F.lit(0.25), c).alias("q25"), F.percentile(v, F.lit(0.5), c).alias("median"), F.percentile(v, F.lit(0.75), c).alias("q75"), F.count(v).alias("distinct"), F.max(F.when(there, c)).alias("mode"),
+        F.count(v).alias("distinct"), F.max(F.when(there, c)).alias("mode"),
     )
+    out = out.join(exact_quantiles(counts, ["feature"], {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n"), "feature", "left")
     return out.withColumns({"constant": F.col("distinct") == 1, "near_constant": (F.col("n") >= 2) & (F.col("mode") / F.col("n") >= 0.95)})
 
 

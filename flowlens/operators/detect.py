@@ -34,24 +34,33 @@ def score_violations(detections: DataFrame, columns: Sequence[str]) -> DataFrame
     return detections.select("flow_id", F.explode(found).alias("column"))
 
 
-#: reason code, feature; raised above the benign profile's 95th percentile
-ABOVE = (
-    ("ABNORMALLY_HIGH_PACKET_RATE", "packets_per_second"),
-    ("PERIODIC_BEACONING_PATTERN", "periodicity_score"),
-    ("HIGH_SYN_RATIO", "syn_ratio"),
-    ("HIGH_RESET_RATIO", "rst_ratio"),
-    ("STRONG_TRAFFIC_ASYMMETRY", "asymmetry_score"),
+#: the catalogue in order: reason code, feature, and the side of the benign profile's q95 or q05 on which it is raised
+CATALOGUE = (
+    ("ABNORMALLY_HIGH_PACKET_RATE", "packets_per_second", "above"),
+    ("LOW_IAT_VARIANCE", "std_inter_arrival_time", "below"),
+    ("PERIODIC_BEACONING_PATTERN", "periodicity_score", "above"),
+    ("HIGH_SYN_RATIO", "syn_ratio", "above"),
+    ("HIGH_RESET_RATIO", "rst_ratio", "above"),
+    ("STRONG_TRAFFIC_ASYMMETRY", "asymmetry_score", "above"),
+    ("SHORT_CONNECTION_BURST", "connection_burst_score", "above"),
 )
 
 
 def reason_codes(flows: DataFrame, profile: DataFrame, supervised_at: float, anomaly_at: float, risk_at: float) -> DataFrame:
-    """flows with codes, in catalogue order; profile is one row of q95_<feature>, and q05_std_inter_arrival_time."""
-    f = flows.crossJoin(F.broadcast(profile))
-    codes = [F.when(F.col(c) > F.col(f"q95_{c}"), F.lit(code)) for code, c in ABOVE]
-    codes.append(F.when((F.col("std_inter_arrival_time") < F.col("q05_std_inter_arrival_time")) & (F.col("mean_inter_arrival_time") > 0), F.lit("LOW_IAT_VARIANCE")))
+    """flows with codes, in catalogue order; profile is (feature, q05, q95), a row for each feature of the catalogue.
+
+    A low deviation of times counts only where packets are apart at all. Scores give the codes of the engines, of both
+    together and of the risk.
+    """
+    bound = {r["feature"]: r for r in profile.where(F.col("feature").isin([c for _, c, _ in CATALOGUE])).select("feature", "q05", "q95").collect()}
+    codes = []
+    for code, c, side in CATALOGUE:
+        if c in bound:
+            raised = F.col(c) > float(bound[c]["q95"]) if side == "above" else (F.col(c) < float(bound[c]["q05"])) & (F.col("mean_inter_arrival_time") > 0)
+            codes.append(F.when(raised, F.lit(code)))
     s, a = F.col("supervised") >= supervised_at, F.col("anomaly") >= anomaly_at
     codes += [F.when(s, F.lit("SUPERVISED_HIGH_CONFIDENCE")), F.when(a, F.lit("ANOMALY_HIGH_SCORE")), F.when(s & a, F.lit("MULTI_ENGINE_SUPPORT")), F.when(F.col("risk") >= risk_at, F.lit("RISK_SCORE_ABOVE_ALERT_THRESHOLD"))]
-    return f.withColumn("codes", F.array_compact(F.array(*codes)))
+    return flows.withColumn("codes", F.array_compact(F.array(*codes)))
 
 
 def build_alerts(detections: DataFrame, flows: DataFrame) -> DataFrame:

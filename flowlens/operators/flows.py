@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,8 +66,65 @@ def segment_flows(packets: DataFrame, idle: float = 60.0, active: float = 300.0,
     return packets.groupBy("source_id", "key").applyInPandas(fold, schema)
 
 
+class OpenFlows:
+    """The open flows of one capture, [first, last, packets, segment] by key, with their deadlines in a heap.
+
+    A packet, of whatever key, first ends all flows that it finds past their idle or active limit; a full flow of its own key ends too.
+    A deadline that a later packet has moved is found stale when it comes up and is put back as it is now.
+    """
+
+    def __init__(self, idle: int, active: int, most: int) -> None:
+        self.idle, self.active, self.most = idle, active, most
+        self.open: dict[str, list[int]] = {}
+        self.deadlines: list[tuple[int, str, int]] = []
+
+    def due(self, flow: list[int]) -> int:
+        return min(flow[0] + self.active, flow[1] + self.idle)
+
+    def watch(self, key: str) -> None:
+        flow = self.open[key]
+        heapq.heappush(self.deadlines, (self.due(flow), key, flow[3]))
+
+    def expired(self, t: int) -> Iterator[tuple[str, list[int], str]]:
+        while self.deadlines and self.deadlines[0][0] <= t:
+            _, key, segment = heapq.heappop(self.deadlines)
+            flow = self.open.get(key)
+            if flow is None or flow[3] != segment:
+                continue
+            if self.due(flow) > t:
+                self.watch(key)
+                continue
+            del self.open[key]
+            yield key, flow, "active_timeout" if t - flow[0] >= self.active else "idle_timeout"
+
+    def packet(self, key: str, t: int, following: Callable[[str], int]) -> tuple[int, list[tuple[str, list[int], str]]]:
+        """(the packet's segment, flows that it ends); following numbers a key's next segment."""
+        ended = list(self.expired(t))
+        flow = self.open.get(key)
+        if flow and flow[2] >= self.most:
+            ended.append((key, self.open.pop(key), "capacity"))
+            flow = None
+        if flow is None:
+            flow = self.open[key] = [t, t, 0, following(key)]
+            flow[2] = 1
+            self.watch(key)
+        else:
+            earlier = t < flow[0]
+            flow[0], flow[1], flow[2] = min(flow[0], t), max(flow[1], t), flow[2] + 1
+            if earlier:
+                # a late packet may bring the active limit forward
+                self.watch(key)
+        return flow[3], ended
+
+    def rest(self) -> list[tuple[str, list[int], str]]:
+        ended = [(key, flow, "capture_end") for key, flow in sorted(self.open.items())]
+        self.open.clear()
+        self.deadlines.clear()
+        return ended
+
+
 def segment_out_of_order(packets: DataFrame, idle: float = 60.0, active: float = 300.0, most: int = 10_000) -> DataFrame:
-    """As segment_flows for captures with late packets: any packet of the capture may end any flow, so a capture is folded whole.
+    """As segment_flows for captures with late packets, with each segment's reason: any packet of the capture may end any flow, so a capture is folded whole.
 
     Captures are bounded in records, so a group is too.
     """
@@ -72,23 +132,21 @@ def segment_out_of_order(packets: DataFrame, idle: float = 60.0, active: float =
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
-        open_: dict[str, list[int]] = {}
-        index: dict[str, int] = {}
-        out = []
+        flows, segments = OpenFlows(i, a, most), {}
+
+        def following(key: str) -> int:
+            segments[key] = segments.get(key, -1) + 1
+            return segments[key]
+
+        out, reasons = [], {}
         for key, t in zip(rows.key, rows.micros.tolist(), strict=True):
-            for k in [k for k, (first, last, _) in open_.items() if t - first >= a or t - last >= i]:
-                del open_[k]
-            if key in open_ and open_[key][2] >= most:
-                del open_[key]
-            if key not in open_:
-                index[key] = index.get(key, -1) + 1
-                open_[key] = [t, t, 0]
-            s = open_[key]
-            s[0], s[1], s[2] = min(s[0], t), max(s[1], t), s[2] + 1
-            out.append(index[key])
-        return rows.assign(segment=np.array(out, np.int64))
-
-    return packets.groupBy("source_id").applyInPandas(f, T.StructType([*packets.schema.fields, T.StructField("segment", T.LongType())]))
+            segment, ended = flows.packet(key, t, following)
+            out.append(segment)
+            reasons.update({(k, flow[3]): reason for k, flow, reason in ended})
+        reasons.update({(k, flow[3]): reason for k, flow, reason in flows.rest()})
+        return rows.assign(segment=np.array(out, np.int64), reason=[reasons[x] for x in zip(rows.key, out, strict=True)])
+
+    return packets.groupBy("source_id").applyInPandas(f, T.StructType([*packets.schema.fields, T.StructField("segment", T.LongType()), T.StructField("reason", T.StringType())]))
 
 
 def end_reasons(segmented: DataFrame, idle: float, active: float, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import safe_ratio
+from flowlens.operators.ranks import exact_quantiles, value_counts
 
 
 def confusion_metrics(rows: DataFrame, by: Sequence[str], label: Column, predicted: Column) -> DataFrame:
@@ -53,8 +54,11 @@ def group_stability(rows: DataFrame, group: str, predicted: Column, label: str =
 
 
 def score_distribution(rows: DataFrame, by: Sequence[str], score: str) -> DataFrame:
-    q = lambda p: F.percentile(score, F.lit(p))
-    return rows.groupBy(*by).agg(F.count(score).alias("n"), F.min(score).alias("lo"), q(0.05).alias("q05"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), q(0.95).alias("q95"), F.max(score).alias("hi"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    counts = value_counts(rows, by, score)
+    ends = rows.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    quantiles = exact_quantiles(counts, by, {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
+    names = ("n", "lo", "q05", "q25", "q50", "q75", "q95", "hi", "mean", "std")
+    return (quantiles.join(ends, list(by)) if by else quantiles.crossJoin(ends)).select(*by, *names)
 
 
 def threshold_curve(rows: DataFrame, score: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

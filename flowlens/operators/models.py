@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,9 +14,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalars import clamp01, interpolate, uuid5, weighted_score
 from flowlens.operators.dataset import stable_order
-from flowlens.operators.detect import map_risk, severity_band
+from flowlens.operators.detect import map_risk, reason_codes, severity_band
+from flowlens.operators.explain import local_contributions
+from flowlens.operators.isolation import Forest, isolation_score
 from flowlens.operators.metrics import best_of, brier, confusion_metrics, curve_areas
+from flowlens.operators.ranks import exact_quantiles, value_counts
 
 #: candidates by name: estimator and its parameters
 CANDIDATES = {
@@ -88,20 +93,46 @@ def calibrate(rows: DataFrame, least: int = 3) -> tuple[DataFrame, Column]:
     return ranked, methods[ranked.where("place = 1").first()["method"]]
 
 
-def deviation_score(benign: DataFrame, features: Sequence[str]) -> Column:
-    """An anomaly score in [0, 1) as a column of the features: how far, in the mean over features, a row is from the benign quartiles in widths between them."""
-    q = benign.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in features]).first()
-    apart = [F.abs(F.col(c) - q[c][1]) / max(q[c][2] - q[c][0], 1e-9) for c in features]
-    mean = reduce(lambda a, b: a + b, apart) / len(features)
-    return mean / (1 + mean)
+def benign_ranks(scored: DataFrame, column: str, steps: int = 20) -> list[tuple[float, float]]:
+    """(score, share) knots of the benign scores' distribution; a rising score rises in share."""
+    quantiles = {f"q{i}": i / steps for i in range(steps + 1)}
+    row = exact_quantiles(value_counts(scored.where(F.col(column).isNotNull()), [], column), [], quantiles).first()
+    knots: dict[float, float] = {}
+    if row is not None and row["n"]:
+        for i in range(steps + 1):
+            knots[row[f"q{i}"]] = i / steps
+    return sorted(knots.items())
 
 
-def score_flows(rows: DataFrame, model: PipelineModel, calibrated: Column, anomaly: Column, weight: float = 0.75) -> DataFrame:
-    """rows with supervised, anomaly and fusion scores, each in [0, 1]."""
-    out = with_probability(model, rows)
-    return out.withColumns({"supervised": F.greatest(F.lit(0.0), F.least(F.lit(1.0), calibrated)), "anomaly": anomaly}).withColumn("fusion", F.col("supervised") * weight + F.col("anomaly") * (1 - weight))
+def score_flows(rows: DataFrame, model: PipelineModel, calibrated: Column, anomaly: Column, weight: float = 0.75, ranks: Sequence[tuple[float, float]] = ()) -> DataFrame:
+    """rows with supervised, anomaly and fusion scores, each in [0, 1]; with ranks, the anomaly score becomes the share of benign rows that score lower."""
+    out = with_probability(model, rows).withColumn("_raw", anomaly)
+    normal = interpolate(F.col("_raw"), list(ranks)) if ranks else F.col("_raw")
+    return out.withColumns({"supervised": clamp01(calibrated), "anomaly": F.when(F.col("_raw").isNotNull(), normal)}).drop("_raw").withColumn("fusion", weighted_score(F.col("supervised"), F.col("anomaly"), weight, 1 - weight))
+
+
+#: the namespace of detection ids: version-5 UUIDs of their content
+DETECTIONS = uuid.uuid5(uuid.NAMESPACE_URL, "flowlens:detections")
+
+
+def detection_id(id_col: str, policy: str) -> Column:
+    """The same flow, scores and policy have the same id, so that a replay finds what it has stored."""
+    content = F.concat_ws("|", F.col(id_col).cast("string"), *[F.format_string("%.12f", c) for c in ("supervised", "anomaly", "fusion")], F.lit(policy))
+    return uuid5(DETECTIONS, content)
 
 
 def detect(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One detection for each row: its risk, severity and whether it calls for an alert."""
     return map_risk(scored, "fusion", threshold).withColumn("severity", severity_band(F.col("risk")))
+
+
+def detections(flows: DataFrame, id_col: str, features: Sequence[str], score: Callable[[DataFrame], DataFrame], profile: DataFrame, thresholds: tuple[float, float, float] = (0.5, 0.9, 0.7), policy: str = "1.0.0", k: int = 5) -> DataFrame:
+    """One detection a flow: detection_id, scores, risk, severity, alert_required, codes, and the k features that count most.
+
+    score adds supervised, anomaly and fusion to rows of features; thresholds are those of supervised score, anomaly score and risk.
+    """
+    supervised_at, anomaly_at, risk_at = thresholds
+    risk = lambda df: score(df).withColumn("risk", F.col("fusion"))
+    found = reason_codes(detect(score(flows), risk_at), profile, supervised_at, anomaly_at, risk_at)
+    found = found.withColumn("detection_id", detection_id(id_col, policy)).select("detection_id", id_col, "supervised", "anomaly", "fusion", "risk", "severity", "alert_required", "codes")
+    return found.join(local_contributions(flows, id_col, features, profile, risk, k), id_col)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowlens import adapters as A
 from flowlens.functions import scalars as S
 from flowlens.operators import dataset as D
+from flowlens.operators import ranks as R
 
 QUERIES, ORACLES = {}, {}
 FEATURES = list(A.FEATURES)
@@ -175,9 +176,10 @@ def ml21_benign_train(s, d):
 @query(A.cte("vecs") + """, l as (select vec_id, benign, unnest(range(1, len(features) + 1)) as i, unnest(features) as v from vecs) select i::bigint as i, min(v) as lo, round(quantile_cont(v, 0.05), 9) as q05, round(quantile_cont(v, 0.5), 9) as median,
  round(quantile_cont(v, 0.95), 9) as q95, max(v) as hi from l where benign group by 1""")
 def agg22_reference_profile(s, d):
-    l = A.vectors(s, d).where("benign").select(F.posexplode("features").alias("k", "v"))
-    q = lambda p: F.round(F.percentile("v", F.lit(p)), 9)
-    return l.groupBy((F.col("k") + 1).cast("long").alias("i")).agg(F.min("v").alias("lo"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), F.max("v").alias("hi"))
+    counts = R.value_counts(A.vectors(s, d).where("benign").select(F.posexplode("features").alias("k", "v")).select((F.col("k") + 1).cast("long").alias("i"), "v"), ["i"], "v")
+    ends = counts.groupBy("i").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    out = R.exact_quantiles(counts, ["i"], {"q05": 0.05, "median": 0.5, "q95": 0.95}).join(ends, "i")
+    return out.select("i", "lo", *[F.round(c, 9).alias(c) for c in ("q05", "median", "q95")], "hi")
 
 
 @query("select doc_id, regexp_matches(lower(text), 'license|secret|apache') as hit, lower(trim(source)) as folded, round(case when n_chars = 0 then 0 else length(text) / n_chars end, 6) as ratio from documents")

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from flowlens import adapters as A
 from flowlens.operators import correlate as C
 from flowlens.operators import detect as D
+from flowlens.operators import explain as X
+from flowlens.operators import flows as W
+from flowlens.plans.flows import BY, WHOLE, segmented
 
 QUERIES, ORACLES = {}, {}
 WINDOW = 5_184_000.0
@@ -66,13 +69,17 @@ def ml13_fuse(s, d):
     return fused(s, d).select("flow_id", "fusion", (F.col("fusion") >= 0.7).alias("positive"), ((F.col("fusion") >= 0.7) & (F.col("label") == 1)).alias("hit"))
 
 
-@query(None)
-def det1_reason_codes(s, d):
-    from flowlens.operators import flows as W
-    from flowlens.plans.flows import BY, segmented
+_ABOVE = ", ".join(f"quantile_cont({c}, 0.95) as q95_{c}" for _, c, side in D.CATALOGUE if side == "above")
+_RAISED = ", ".join(f"case when {c} > q95_{c} then '{code}' end" if side == "above" else f"case when {c} < q05_{c} and mean_inter_arrival_time > 0 then '{code}' end" for code, c, side in D.CATALOGUE)
+
 
+@query(WHOLE + f""", prof as (select {_ABOVE}, quantile_cont(std_inter_arrival_time, 0.05) as q05_std_inter_arrival_time from whole where total_packets > 1),
+ w as (select whole.*, prof.*, syn_ratio * 0.75 + asymmetry_score * 0.25 as risk from whole, prof)
+ select k as key, segment, array_to_string(list_filter([{_RAISED}, case when syn_ratio >= 0.5 then 'SUPERVISED_HIGH_CONFIDENCE' end, case when asymmetry_score >= 0.6 then 'ANOMALY_HIGH_SCORE' end,
+   case when syn_ratio >= 0.5 and asymmetry_score >= 0.6 then 'MULTI_ENGINE_SUPPORT' end, case when risk >= 0.5 then 'RISK_SCORE_ABOVE_ALERT_THRESHOLD' end], lambda x: x is not null), ',') as codes from w""")
+def det1_reason_codes(s, d):
     f = W.flow_features(segmented(s, d), BY).withColumns({"supervised": F.col("syn_ratio"), "anomaly": F.col("asymmetry_score"), "risk": F.col("syn_ratio") * 0.75 + F.col("asymmetry_score") * 0.25})
-    profile = f.where("total_packets > 1").agg(*[F.percentile(c, F.lit(0.95)).alias(f"q95_{c}") for _, c in D.ABOVE], F.percentile("std_inter_arrival_time", F.lit(0.05)).alias("q05_std_inter_arrival_time"))
+    profile = X.reference_profile(f.where("total_packets > 1"), [c for _, c, _ in D.CATALOGUE])
     return D.reason_codes(f, profile, 0.5, 0.6, 0.5).select("key", "segment", F.array_join("codes", ",").alias("codes"))
 
 
@@ -87,7 +94,7 @@ CLUSTERS = ENTITIES + f""", o as (select entity, alert_id, event_start, event_en
  facts as (select entity, cluster, count(distinct source_ip) as s, count(distinct destination_ip) as d, bool_or(regexp_matches(lower(reason), 'fail|denied|reject|reset|rst|auth')) as fails, bool_or(alert_type = 'multi_engine_suspicion') as multi, count(distinct reason) as reasons from full_ group by 1, 2),
  rules as (select entity, cluster, list_filter([case when d = 1 and s >= 2 then 'destination_fan_in' end, case when reasons >= 1 then 'multi_alert_accumulation' end, case when multi then 'multi_engine_evidence' end,
    case when regularity >= 0.8 then 'periodic_beacon_like_activity' end, case when entity like 'pair:%' and fails then 'repeated_source_destination_failures' end, case when s = 1 and d >= 2 then 'source_centered_reconnaissance' end, case when s = 1 and d >= 2 then 'source_fan_out' end], lambda x: x is not null) as rules from facts join reg using (entity, cluster)),
- sets as (select entity, cluster, string_agg(lpad(alert_id::varchar, 12, '0'), ',' order by lpad(alert_id::varchar, 12, '0')) as members from c group by 1, 2),
+ sets as (select entity, cluster, string_agg(alert_id::varchar, ',' order by alert_id::varchar) as members from c group by 1, 2),
  merged as (select members, list_sort(list_distinct(list(entity))) as entities, list_sort(list_distinct(flatten(list(rules)))) as rules from sets join rules using (entity, cluster) group by 1),
  pick as (select members, min(entity || '|' || cluster) as at from sets group by 1),
  one as (select sets.members, entity, cluster from sets join pick on pick.members = sets.members and pick.at = entity || '|' || cluster),
@@ -117,12 +124,12 @@ def flt5_verdict_violations(s, d):
 @query(ENTITIES + " select entity, count(*) as alerts, min(event_start) as first_seen from ent join el using (alert_id) group by 1")
 def cor1_entity_index(s, d):
     use = C.eligible_alerts(A.alerts_orders(s, d))
-    return C.observed_entities(use, normal=True).join(use, "alert_id").groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.min("event_start").alias("first_seen"))
+    return C.observed_entities(use).join(use, "alert_id").groupBy("entity").agg(F.count(F.lit(1)).alias("alerts"), F.min("event_start").alias("first_seen"))
 
 
 def clusters(s, d):
     use = C.eligible_alerts(A.alerts_orders(s, d))
-    found = C.anchored_windows(C.observed_entities(use, normal=True).join(use.select("alert_id", "event_start", "event_end"), "alert_id"), WINDOW)
+    found = C.anchored_windows(C.observed_entities(use).join(use.select("alert_id", "event_start", "event_end"), "alert_id"), WINDOW)
     return found.join(use, "alert_id")
 
 
@@ -142,7 +149,7 @@ def cor2_rules(s, d):
 
 
 def groups(s, d):
-    return C.alert_groups(A.alerts_orders(s, d), WINDOW)
+    return C.alert_groups(A.alerts_orders(s, d), WINDOW).withColumn("members", F.array_join("members", ","))
 
 
 @query(CLUSTERS + " select members, score from scored where score >= 0.35")
@@ -158,7 +165,7 @@ def cor4_alert_groups(s, d):
 @query(CLUSTERS + " select members, len(entities) as entities, array_to_string(rules, ',') as rules from merged")
 def set4_merge_member_sets(s, d):
     out = C.alert_groups(A.alerts_orders(s, d), WINDOW, least_score=0.0)
-    return out.select("members", F.size("entities").cast("long").alias("entities"), F.array_join("rules", ",").alias("rules"))
+    return out.select(F.array_join("members", ",").alias("members"), F.size("entities").cast("long").alias("entities"), F.array_join("rules", ",").alias("rules"))
 
 
 HYP = CLUSTERS + """, h0 as (select *, list_filter([

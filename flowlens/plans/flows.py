@@ -112,9 +112,12 @@ TIMES = ("flow_duration", "mean_inter_arrival_time", "std_inter_arrival_time", "
 SHOWN = [(n, 86400 if n in TIMES else 1) for n in W.FEATURES]
 
 
-@query(IAT + HAND_SQL + f""", f as (select k, segment, {FEATURE_SQL} from q group by k, segment),
- whole as (select f.*, {RATIO_SQL}, connection_burst_score, done::bigint as completed_handshake_indicator, (rst > 0 or (syn > 0 and not done))::bigint as failed_connection_indicator from f join hand using (k, segment) join burst using (k, segment))
- select {KEY}, segment, {", ".join(f"round({n} / {by}, 5) as {n}" for n, by in SHOWN)} from whole""")
+#: all features of each segment
+WHOLE = IAT + HAND_SQL + f""", f as (select k, segment, {FEATURE_SQL} from q group by k, segment),
+ whole as (select f.*, {RATIO_SQL}, connection_burst_score, done::bigint as completed_handshake_indicator, (rst > 0 or (syn > 0 and not done))::bigint as failed_connection_indicator from f join hand using (k, segment) join burst using (k, segment))"""
+
+
+@query(WHOLE + f""" select {KEY}, segment, {", ".join(f"round({n} / {by}, 5) as {n}" for n, by in SHOWN)} from whole""")
 def agg1_flow_features(s, d):
     f = W.flow_features(segmented(s, d), BY)
     return f.select("key", "segment", *[F.round(F.col(n) / by, 5).alias(n) for n, by in SHOWN])

@@ -4,7 +4,6 @@ import pytest
 
 from flowlens.operators import flows as W
 from flowlens.sources import files
-from flowlens.streaming.flows import stream_flows
 
 SCHEMA = "source_id string, key string, seq long, micros long"
 
@@ -39,6 +38,35 @@ def test_folds_agree_in_order(spark):
     assert segments(W.segment_flows(df, most=5)) == segments(W.segment_out_of_order(df, most=5))
 
 
+def test_reasons_and_late_packets_of_the_fold(spark):
+    # the packet at 10 comes late: it lowers the first time of its open flow, and finds nobody else's limit passed
+    times = [("a", 100), ("b", 100), ("a", 10), ("b", 159.9), ("c", 311), ("a", 311), ("d", 500)]
+    df = spark.createDataFrame([("s", k, i, round(t * 1e6)) for i, (k, t) in enumerate(times)], SCHEMA)
+    got = [(r["key"], r["segment"], r["reason"]) for r in W.segment_out_of_order(df).orderBy("seq").collect()]
+    assert got == [("a", 0, "active_timeout"), ("b", 0, "idle_timeout"), ("a", 0, "active_timeout"), ("b", 0, "idle_timeout"), ("c", 0, "idle_timeout"), ("a", 1, "idle_timeout"), ("d", 0, "capture_end")]
+
+
+def test_fold_equals_a_scan_of_all_open_flows(spark):
+    rng = random.Random(6)
+    rows, t = [], 1000.0
+    for i in range(1500):
+        t += rng.choice([0, 0.5, 3, 20])
+        rows.append(("s", f"k{rng.randrange(12)}", i, round((t - (rng.choice([5, 70, 400]) if rng.random() < 0.2 else 0)) * 1e6)))
+    open_, index, want = {}, {}, []
+    for _, key, _, m in rows:
+        for k in [k for k, (first, last, _) in open_.items() if m - first >= 300e6 or m - last >= 60e6]:
+            del open_[k]
+        if key in open_ and open_[key][2] >= 7:
+            del open_[key]
+        if key not in open_:
+            index[key] = index.get(key, -1) + 1
+            open_[key] = (m, m, 0)
+        first, last, n = open_[key]
+        open_[key] = (min(first, m), max(last, m), n + 1)
+        want.append(index[key])
+    assert segments(W.segment_out_of_order(spark.createDataFrame(rows, SCHEMA), most=7)) == want
+
+
 def test_files(spark, tmp_path):
     names = "first_seen,last_seen,duration,source_ip,destination_ip,source_port,destination_port,protocol,forward_packet_count,backward_packet_count,forward_bytes,backward_bytes"
     (tmp_path / "f.csv").write_text(f"{names}\n2026-01-01T00:00:00Z,2026-01-01T00:00:01Z,1.0,10.0.0.1,10.0.0.2,1,,udp,1,1,75,91\nx,y\n")
@@ -56,24 +84,6 @@ def test_files(spark, tmp_path):
     assert files.read_dataset_rows(spark, str(tmp_path / "r"), "a long, split string").count() == 2
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(9)
-    t, out = 1_700_000_000.0, []
-    for i in range(120):
-        t += rng.choice([1, 20, 70])
-        out.append((f"k{rng.randrange(4)}", i, round(t * 1e6)))
-    df = spark.createDataFrame(out, "key string, seq long, micros long").selectExpr("*", "timestamp_micros(micros) as ts")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream_flows(source, 60, 300, 10).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["key"], r["segment"], r["first"], r["last"], r["packets"]) for r in spark.table("ended").collect()}
-    batch = W.segment_flows(df.selectExpr("'c' as source_id", "key", "seq", "micros"), 60, 300, 10)
-    want = {tuple(r) for r in batch.groupBy("key", "segment").agg({"micros": "min"}).join(batch.groupBy("key", "segment").agg({"micros": "max", "seq": "count"}), ["key", "segment"]).selectExpr("key", "segment", "`min(micros)`", "`max(micros)`", "`count(seq)`").collect()}
-    # the stream holds back what no packet and no watermark has ended yet
-    assert got <= want and len(got) >= len(want) - 4
-
-
 PACKETS = "source_id string, seq long, micros long, ip_version int, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, protocol_number int, icmp_type int, icmp_code int, icmp_identifier int, network_bytes long, tcp_flags long"
 
 

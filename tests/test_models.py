@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from flowlens.operators import isolation as I
 from flowlens.operators import models as M
 
 
@@ -29,7 +30,9 @@ def test_a_real_signal_is_found_scored_and_detected(spark):
     model = M.fitted(df.where("id < 600"), ("x", "z"), best["candidate"])
     ranked, calibrated = M.calibrate(M.with_probability(model, df.where("id >= 600")))
     assert {r["method"] for r in ranked.collect()} == {"isotonic", "sigmoid"}
-    scored = M.score_flows(df, model, calibrated, M.deviation_score(df.where("label = 0"), ("x", "z")))
+    forest = I.fit_forest(df.where("label = 0"), "id", ("x", "z"), trees=20, sample=64)
+    ranks = M.benign_ranks(df.where("label = 0").withColumn("raw", I.isolation_score(forest)), "raw")
+    scored = M.score_flows(df, model, calibrated, I.isolation_score(forest), ranks=ranks)
     got = M.detect(scored, 0.5)
     assert got.count() == 900 and got.where("not (supervised between 0 and 1 and anomaly between 0 and 1 and fusion between 0 and 1)").count() == 0
     right = got.agg(F.avg((F.col("alert_required").cast("int") == F.col("label")).cast("int"))).first()[0]
