@@ -56,8 +56,8 @@ def sha256_of(*columns: Column) -> Column:
 
 
 def fingerprint(values: Sequence[Column]) -> Column:
-    """Digest of a vector; -0.0 counts as 0."""
-    return F.sha2(F.concat_ws(",", *[F.format_string("%.9f", v + F.lit(0.0)) for v in values]), 256)
+    """Digest of a vector of doubles, of which any two that differ have different texts; -0.0 counts as 0."""
+    return F.sha2(F.concat_ws(",", *[F.coalesce((v.cast("double") + F.lit(0.0)).cast("string"), F.lit("null")) for v in values]), 256)
 
 
 def near_fingerprint(values: Sequence[Column], tolerance: float) -> Column:

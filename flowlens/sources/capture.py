@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from flowlens.functions.scalars import normalize_ip
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "source_id string, seq long, micros long, link_type int, original_length long, frame binary"
@@ -120,11 +122,38 @@ def number(frame: Column, at: Column | int, size: int) -> Column:
     return F.when(F.octet_length(frame) >= at + size, F.conv(F.hex(F.substring(frame, at + 1, F.lit(size))), 16, 10).cast("long"))
 
 
+#: IPv6 headers that lead on to another: options by hop, routing, destination options; fragment; authentication
+OPTIONS, FRAGMENT, AUTHENTICATION = (0, 43, 60), 44, 51
+
+
+def after_extensions(f: Column, start: Column, following: Column, end: Column) -> Column:
+    """(at, following, problem) behind a chain of IPv6 extension headers: a fold over at most as many as have room before end.
+
+    A fragment is a problem of its own, "fragment"; a header that goes on beyond the end is "length".
+    """
+    leads = lambda n: n.isin(*OPTIONS, FRAGMENT, AUTHENTICATION)
+
+    def step(state: Column, _: Column) -> Column:
+        at, n = state["at"], state["following"]
+        own = number(f, at + 1, 1)
+        size = F.when(n == FRAGMENT, 8).when(n == AUTHENTICATION, (own + 2) * 4).otherwise((own + 1) * 8)
+        problem = F.when(size.isNull() | (at + size > end), "length").when((n == FRAGMENT) & (number(f, at + 2, 2).bitwiseAND(0xFFF9) != 0), "fragment")
+        on = F.struct((at + size).cast("long").alias("at"), number(f, at, 1).alias("following"), F.lit(None).cast("string").alias("problem"))
+        stop = F.struct(at.alias("at"), n.alias("following"), problem.alias("problem"))
+        return F.when(state["problem"].isNotNull() | ~leads(n), state).when(problem.isNotNull(), stop).otherwise(on)
+
+    first = F.struct(start.cast("long").alias("at"), following.cast("long").alias("following"), F.lit(None).cast("string").alias("problem"))
+    # no header is shorter than eight bytes
+    chain = F.aggregate(F.sequence(F.lit(1), F.floor((end - start) / 8).cast("int") + 1), first, step)
+    return F.when(leads(following) & (end >= start), chain).otherwise(first)
+
+
 def decode_frames(frames: DataFrame) -> DataFrame:
     """frames with the packet's columns, or a skip_reason, or an error.
 
-    Ethernet with up to two VLAN tags and raw IP; IPv4 with options, IPv6 without extension headers; TCP, UDP and ICMP.
-    Fragments and other contents are skipped; lengths that don't fit are errors.
+    Ethernet with up to two VLAN tags and raw IP; IPv4 with options, IPv6 with its chain of extension headers; TCP, UDP and
+    ICMP with the identifier of an echo. Fragments and other contents are skipped; versions and lengths that don't fit, jumbo
+    payloads among them, are errors. IPv6 addresses are in their shortest form.
     """
     f = F.col("frame")
     tag = lambda at: number(f, at, 2)
@@ -133,25 +162,42 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     df = frames.withColumn("o", F.when(F.col("link_type") == 1, 14 + 4 * tags).when(F.col("link_type").isin(12, 101, 228, 229), 0))
     o = F.col("o")
     nibble = F.shiftright(number(f, o, 1), 4)
-    kind = F.when(F.col("link_type") == 1, F.when(number(f, o - 2, 2) == 0x0800, 4).when(number(f, o - 2, 2) == 0x86DD, 6)).otherwise(nibble)
-    df = df.withColumn("v", kind.cast("int"))
-    v4 = F.col("v") == 4
-    header = F.when(v4, number(f, o, 1).bitwiseAND(15) * 4).otherwise(40)
+    kind = F.when(F.col("link_type") == 1, F.when(number(f, o - 2, 2) == 0x0800, 4).when(number(f, o - 2, 2) == 0x86DD, 6)).when(F.col("link_type") == 228, 4).when(F.col("link_type") == 229, 6).otherwise(nibble)
+    df = df.withColumns({"v": kind.cast("int"), "nibble": nibble})
+    v4, v6 = F.col("v") == 4, F.col("v") == 6
     total = F.when(v4, number(f, o + 2, 2)).otherwise(number(f, o + 4, 2) + 40)
-    df = df.withColumns({"h": header, "network_bytes": total, "protocol_number": F.when(v4, number(f, o + 9, 1)).otherwise(number(f, o + 6, 1)), "frag": v4 & (number(f, o + 6, 2).bitwiseAND(0x3FFF) != 0)})
+    df = df.withColumns({"network_bytes": total, "payload": number(f, o + 4, 2), "frag": v4 & (number(f, o + 6, 2).bitwiseAND(0x3FFF) != 0)})
+    fits = F.octet_length(f) >= o + F.col("network_bytes")
+    chain = F.when(v6 & fits, after_extensions(f, o + 40, number(f, o + 6, 1), o + F.col("network_bytes")))
+    df = df.withColumn("chain", chain)
+    df = df.withColumns({"h": F.when(v4, number(f, o, 1).bitwiseAND(15) * 4).otherwise(F.coalesce(F.col("chain.at") - o, F.lit(40))), "protocol_number": F.when(v4, number(f, o + 9, 1)).otherwise(F.coalesce(F.col("chain.following"), number(f, o + 6, 1)))})
     p, t = F.col("protocol_number"), o + F.col("h")
     byte = lambda at: number(f, at, 1).cast("string")
     ip4 = lambda at: F.concat_ws(".", *[byte(at + i) for i in range(4)])
-    ip6 = lambda at: F.concat_ws(":", *[F.lower(F.hex(F.substring(f, at + 1 + 2 * i, F.lit(2)))) for i in range(8)])
+    ip6 = lambda at: normalize_ip(F.concat_ws(":", *[F.lower(F.hex(F.substring(f, at + 1 + 2 * i, F.lit(2)))) for i in range(8)]))
     tcp, udp, icmp = p == 6, p == 17, p.isin(1, 58)
-    need = F.when(tcp, 20).when(udp, 8).when(icmp, 4).otherwise(0)
-    skip = F.when(o.isNull(), "link_type").when(F.col("v").isNull() | ~F.col("v").isin(4, 6), "not_ip").when(F.col("frag"), "fragment").when(~(tcp | udp | icmp), "protocol")
-    error = F.when(skip.isNull() | (skip == "protocol"), F.when((F.col("h") < 20) | F.col("network_bytes").isNull(), "header").when((F.octet_length(f) < o + F.col("network_bytes")) | (F.col("network_bytes") < F.col("h") + need), "length"))
+    kind = number(f, t, 1)
+    echo = icmp & F.when(p == 1, kind.isin(0, 8)).otherwise(kind.isin(128, 129))
+    need = F.when(tcp, 20).when(udp, 8).when(F.coalesce(echo, F.lit(False)), 8).when(icmp, 4).otherwise(0)
+    # the header's own length, in words or bytes, lies within the payload
+    own = F.when(tcp, F.shiftright(number(f, t + 12, 1), 4) * 4).when(udp, number(f, t + 4, 2))
+    unfit = F.coalesce((own < need) | (own > F.col("network_bytes") - F.col("h")), F.lit(False))
+    problem = F.col("chain.problem")
+    skip = F.when(o.isNull(), "link_type").when(F.col("v").isNull() | ~F.col("v").isin(4, 6), "not_ip").when(F.col("frag") | F.coalesce(problem == "fragment", F.lit(False)), "fragment").when(~(tcp | udp | icmp), "protocol")
+    ip = F.col("v").isin(4, 6) & o.isNotNull()
+    header = F.when(v4, F.col("h") < 20).otherwise(F.octet_length(f) < o + 40)
+    error = F.when(
+        ip,
+        F.when(F.col("network_bytes").isNull() | header | (F.col("nibble") != F.col("v")), "header")
+        .when(v6 & (F.col("payload") == 0), "jumbo")
+        .when(~fits | F.coalesce(problem == "length", F.lit(False)) | (F.col("network_bytes") < F.col("h")), "length")
+        .when((skip.isNull()) & ((F.col("network_bytes") < F.col("h") + need) | unfit), "length"),
+    )
     df = df.withColumns({"error": error, "skip_reason": F.when(error.isNull(), skip)})
     good = F.col("error").isNull() & F.col("skip_reason").isNull()
     port = lambda at: F.when(good & (tcp | udp), number(f, at, 2).cast("int"))
     return df.select(
         "source_id", "seq", "micros", F.col("v").alias("ip_version"), F.when(good, F.when(v4, ip4(o + 12)).otherwise(ip6(o + 8))).alias("source_ip"), F.when(good, F.when(v4, ip4(o + 16)).otherwise(ip6(o + 24))).alias("destination_ip"),
         port(t).alias("source_port"), port(t + 2).alias("destination_port"), F.when(tcp, "tcp").when(udp, "udp").when(icmp, "icmp").alias("protocol"), "protocol_number", "network_bytes",
-        F.when(good & tcp, number(f, t + 13, 1)).alias("tcp_flags"), F.when(good & icmp, number(f, t, 1)).alias("icmp_type"), F.when(good & icmp, number(f, t + 1, 1)).alias("icmp_code"), "skip_reason", "error",
+        F.when(good & tcp, number(f, t + 13, 1)).alias("tcp_flags"), F.when(good & icmp, kind).alias("icmp_type"), F.when(good & icmp, number(f, t + 1, 1)).alias("icmp_code"), F.when(good & echo, number(f, t + 4, 2)).alias("icmp_identifier"), "skip_reason", "error",
     )
