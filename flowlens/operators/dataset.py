@@ -87,18 +87,55 @@ def label_leakage(rows: DataFrame, features: Sequence[str], label: str) -> DataF
     return basic.join(fixed, "feature").select("feature", "copies_label", F.round("r", 6).alias("r"), (F.coalesce(F.abs("r") >= 0.98, F.lit(False)) & (F.col("n") >= 3)).alias("correlated"), (few & (F.col("k") == 1) & (F.col("n") >= 4)).alias("deterministic"))
 
 
+#: rows of either side that one task compares
+NEAR_ROWS = 4096
+
+
 def near_pairs(rows: DataFrame, id_col: str, features: str, tolerance: float) -> DataFrame:
     """(a, b), a < b: vectors (arrays of doubles) within a Chebyshev distance, but not equal.
 
-    The first two coordinates are put into buckets as wide as the tolerance; a row is looked for in the neighbouring
-    ones, so the join is on equal bucket numbers, and the distance is verified.
+    The two coordinates of the widest ranges are put into cells as wide as the tolerance; a row is looked for in the
+    neighbouring ones. Rows and seekers of a cell are dealt into blocks of a bounded size, and each block of one meets each of the other in
+    one task, which drops pairs coordinate by coordinate.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    spread = rows.select(F.posexplode(features).alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("w"))
+    # two rows
+    wide = [r["i"] for r in spread.orderBy(F.desc("w"), "i").limit(2).collect()]
+    wide = (wide * 2)[:2] if wide else [0, 0]
     at = lambda i: F.floor(F.get(F.col(features), i) / tolerance)
-    base = rows.select(F.col(id_col).alias("id"), F.col(features).alias("v"), at(0).alias("x"), at(1).alias("y"))
+    base = rows.select(F.col(id_col).alias("id"), F.col(features).alias("v"), at(wide[0]).alias("x"), at(wide[1]).alias("y"))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probe = base.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(F.col("id").alias("a"), F.col("v").alias("va"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    far = F.array_max(F.zip_with("va", "v", lambda p, q: F.abs(p - q)))
-    return probe.join(base, ["x", "y"]).where(F.col("a") < F.col("id")).where((far <= tolerance) & (far > 0)).select("a", F.col("id").alias("b"))
+    seek = base.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(F.col("id").alias("sid"), F.col("v").alias("sv"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    many = lambda df, name: df.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / NEAR_ROWS).alias(name))
+    sizes = many(base, "blocks").join(many(seek, "parts"), ["x", "y"])
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = base.join(sizes, ["x", "y"]).select("id", "v", "x", "y", dealt("id", "blocks").alias("block"), every("parts").alias("part"))
+    asked = seek.join(sizes, ["x", "y"]).select("sid", "sv", F.col("x").alias("sx"), F.col("y").alias("sy"), every("blocks").alias("sblock"), dealt("sid", "parts").alias("spart"))
+
+    def compared(b: pa.Table, a: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if a.num_rows and b.num_rows:
+            va, vb = (np.stack(t[c].to_pandas().to_numpy()) for t, c in ((a, "sv"), (b, "v")))
+            ia, ib = a["sid"].to_numpy(), b["id"].to_numpy()
+            for start in range(0, len(ia), 256):
+                row, col = np.nonzero(ia[start : start + 256, None] < ib[None])
+                row += start
+                apart = np.zeros(len(row))
+                for k in range(va.shape[1]):
+                    apart = np.maximum(apart, np.abs(va[row, k] - vb[col, k]))
+                    stay = apart <= tolerance
+                    row, col, apart = row[stay], col[stay], apart[stay]
+                found_a.append(ia[row[apart > 0]])
+                found_b.append(ib[col[apart > 0]])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(found_a or none), "b": np.concatenate(found_b or none)})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return held.groupBy("x", "y", "block", "part").cogroup(asked.groupBy("sx", "sy", "sblock", "spart")).applyInArrow(compared, f"a {kind}, b {kind}")
 
 
 def near_components(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,35 +36,40 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return packets.withColumn("key", F.concat_ws("|", "ip_version", "protocol_number", F.concat_ws(">", text(a), text(b)), F.when(has("source_port").isNotNull(), "ports").otherwise(other)))
 
 
-def _fold(idle: int, active: int, most: int):
-    """Segments of one key's packets in arrival order; each packet gets its segment's index."""
-
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        micros = rows.micros.to_numpy()
-        out = np.zeros(len(rows), np.int64)
-        segment, first, last, count = 0, None, None, 0
-        for i, t in enumerate(micros.tolist()):
-            if count and (t - first >= active or t - last >= idle or count >= most):
-                segment, count = segment + 1, 0
-            if not count:
-                first = last = t
-            first, last, count = min(first, t), max(last, t), count + 1
-            out[i] = segment
-        return rows.assign(segment=out)
-
-    return f
-
-
 def segment_flows(packets: DataFrame, idle: float = 60.0, active: float = 300.0, most: int = 10_000) -> DataFrame:
     """packets (source_id, key, seq, micros, ...) with segment, for captures whose times never decrease.
 
     A segment ends when a packet comes ``idle`` seconds after its last or ``active`` seconds after its first (both
-    inclusive), or when it holds ``most`` packets. A key's packets decide this alone, so keys are folded in parallel.
+    inclusive), or when it holds ``most`` packets. A key's packets decide this alone: they pass in order, batch by batch, and no
+    more of a key than the open segment's ends is held.
     """
+    i, a = round(idle * 1e6), round(active * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, segment, first, last, count = None, 0, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in ("source_id", "key")]
+            codes = [k.dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+            fresh[0] = before != [k[0].as_py() for k in keys]
+            before = [k[-1].as_py() for k in keys]
+            out = []
+            for t, new in zip(batch.column("micros").to_pylist(), fresh.tolist(), strict=True):
+                if new:
+                    segment = count = 0
+                elif t - first >= a or t - last >= i or count >= most:
+                    segment, count = segment + 1, 0
+                if not count:
+                    first = last = t
+                first, last, count = min(first, t), max(last, t), count + 1
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "segment"])
+
     schema = T.StructType([*packets.schema.fields, T.StructField("segment", T.LongType())])
-    fold = _fold(round(idle * 1e6), round(active * 1e6), most)
-    return packets.groupBy("source_id", "key").applyInPandas(fold, schema)
+    return packets.repartition("source_id", "key").sortWithinPartitions("source_id", "key", "seq").mapInArrow(run, schema)
 
 
 class OpenFlows:

@@ -133,18 +133,64 @@ def parameter_shift(rows: DataFrame, axis: str, factor: float, whole: Sequence[s
     return rows.withColumns(scaled).withColumn("group_id", F.concat(F.lit(f"{axis}-"), F.col("group_id").cast("string")))
 
 
-def group_bootstrap(rows: DataFrame, group: str, predicted: Column, draws: int, seed: int, label: str = "label") -> DataFrame:
-    """2.5 and 97.5 percentiles of recall, false-positive rate and F1 over resamples of whole groups with replacement.
+#: metrics that a draw may lack, as it has no attack, no benign row, or neither prediction
+BOOTSTRAPPED = ("recall", "f1", "macro_f1", "pr_auc", "fpr", "precision", "specificity", "fnr", "accuracy", "balanced_accuracy", "mcc", "roc_auc", "weighted_f1")
 
-    Groups are reduced to counts; each draw and slot picks a group by a hash, so results don't depend on partitions.
+
+def drawn_groups(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
+    """(draw, group, times): whole groups drawn with replacement, as many as there are, by digests of seed, draw and slot over the groups in order."""
+    n = groups.count()
+    numbered = groups.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("k"))
+    slots = groups.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("slot"))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")), 256)
+    picks = slots.select("draw", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % n).alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("times"))
+    return picks.join(numbered, "k").select("draw", group, "times")
+
+
+def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], draws: int, seed: int, label: str = "label") -> DataFrame:
+    """(draw, mode, a column for each of BOOTSTRAPPED) for each score column and its threshold, all on the same draws; null where a draw lacks what a metric needs.
+
+    Rows are first reduced to (mode, group, score) with positives and negatives; a draw weights a group's cells by how often
+    it is in it, so that nothing is resampled row by row.
+    """
+    y = F.col(label) == 1
+    long = rows.select(group, y.alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("s"), F.lit(float(t)).alias("at")) for m, t in scores.items()])).alias("x")).select(group, "y", "x.*")
+    cells = long.groupBy("mode", group, "s", "at").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    picks = drawn_groups(rows.select(group).distinct(), group, draws, seed)
+    by = ["draw", "mode"]
+    c = cells.join(picks, group).groupBy(*by, "s", "at").agg(F.sum(F.col("pos") * F.col("times")).cast("double").alias("pos"), F.sum(F.col("neg") * F.col("times")).cast("double").alias("neg"))
+    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"up": F.sum("pos").over(down), "down": F.sum("neg").over(down), "hit": F.col("s") >= F.col("at")})
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    c = c.groupBy(*by).agg(
+        zero(F.sum(F.when(F.col("hit"), F.col("pos")))).alias("tp"), zero(F.sum(F.when(F.col("hit"), F.col("neg")))).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+        F.sum(F.col("pos") * F.col("up") / (F.col("up") + F.col("down"))).alias("ap"), F.sum(F.col("neg") * (F.col("up") - F.col("pos") / 2)).alias("wins"),
+    )
+    tp, fp, p, n = (F.col(x) for x in ("tp", "fp", "p", "n"))
+    fn, tn = p - tp, n - fp
+    some, both = (lambda x: x > 0), (p > 0) & (n > 0)
+    f1, f0 = safe_ratio(2 * tp, 2 * tp + fp + fn), safe_ratio(2 * tn, 2 * tn + fp + fn)
+    values = {
+        "recall": F.when(some(p), tp / p), "f1": F.when(some(p), f1), "macro_f1": F.when(both, (f1 + f0) / 2), "pr_auc": F.when(both, F.col("ap") / p), "fpr": F.when(some(n), fp / n), "precision": safe_ratio(tp, tp + fp),
+        "specificity": F.when(some(n), tn / n), "fnr": F.when(some(p), fn / p), "accuracy": (tp + tn) / (p + n), "balanced_accuracy": F.when(both, (tp / p + tn / n) / 2),
+        "mcc": safe_ratio(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(p) * F.sqrt(n) * F.sqrt(tn + fn)), "roc_auc": F.when(both, F.col("wins") / (p * n)), "weighted_f1": (f1 * p + f0 * n) / (p + n),
+    }
+    return c.select(*by, *[v.alias(k) for k, v in values.items()])
+
+
+def group_bootstrap(rows: DataFrame, group: str, scores: dict[str, float], draws: int, seed: int, label: str = "label", metrics: Sequence[str] = BOOTSTRAPPED, base: str | None = None) -> DataFrame:
+    """(mode, metric, lo, hi, draws, failed): 2.5 and 97.5 percentiles over resamples of whole groups; with base, also of mode - base on the same draws.
+
+    failed counts draws that lack the metric; where all do, the interval is null.
     """
-    spark, y = rows.sparkSession, F.col(label) == 1
-    per = rows.groupBy(group).agg(F.count_if(y & predicted).alias("tp"), F.count_if(~y & predicted).alias("fp"), F.count_if(y & ~predicted).alias("fn"), F.count_if(~y & ~predicted).alias("tn"))
-    per = per.withColumn("k", F.row_number().over(Window.orderBy(group)) - 1)
-    n = per.count()
-    picks = spark.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    picks = picks.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.lit(max(1, n))).cast("int"))
-    m = picks.join(per, "k").groupBy("draw").agg(*[F.sum(c).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn")])
-    values = {"recall": safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")), "fpr": safe_ratio(F.col("fp"), F.col("fp") + F.col("tn")), "f1": safe_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))}
-    long = m.select("draw", *[v.alias(k) for k, v in values.items()]).unpivot(["draw"], list(values), "metric", "value")
-    return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("draws"))
+    if draws < 1000:
+        raise ValueError("intervals need at least 1,000 draws")
+    names = list(metrics)
+    found = draw_metrics(rows, group, scores, draws, seed, label).select("draw", "mode", *names)
+    if base is not None:
+        other = found.where(F.col("mode") == base).select("draw", *[F.col(m).alias(f"_{m}") for m in names])
+        deltas = found.where(F.col("mode") != base).join(other, "draw").select("draw", F.concat("mode", F.lit(f"-{base}")).alias("mode"), *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in names])
+        found = found.unionByName(deltas)
+    long = found.unpivot(["draw", "mode"], names, "metric", "value")
+    # a value for each draw
+    return long.groupBy("mode", "metric").agg(F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"), F.count("value").alias("draws"), F.count_if(F.col("value").isNull()).alias("failed"))

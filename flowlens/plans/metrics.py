@@ -123,9 +123,26 @@ def agg25_family_macro(s, d):
     return rounded(m.agg(*means, F.min("recall").alias("least"), F.max("recall").alias("most"), F.count(F.lit(1)).alias("families")), "recall", "macro_f1", "fpr", "fnr", "least", "most")
 
 
-@query(None)
+DRAWS = 1000
+_VALUES = """case when p > 0 then tp / p end as recall, case when p > 0 then f1 end as f1, case when p > 0 and n > 0 then (f1 + f0) / 2 end as macro_f1, case when p > 0 and n > 0 then ap / p end as pr_auc, case when n > 0 then fp / n end as fpr,
+ case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when n > 0 then tn / n end as specificity, case when p > 0 then fn / p end as fnr, (tp + tn) / (p + n) as accuracy, case when p > 0 and n > 0 then (tp / p + tn / n) / 2 end as balanced_accuracy,
+ case when (tp + fp) * p * n * (tn + fn) > 0 then (tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(p) * sqrt(n) * sqrt(tn + fn)) else 0 end as mcc, case when p > 0 and n > 0 then wins / (p * n) end as roc_auc, (f1 * p + f0 * n) / (p + n) as weighted_f1"""
+BOOTSTRAP = A.cte("scores") + f""", gr as (select group_id, row_number() over (order by group_id) - 1 as k, count(*) over () as n from (select distinct group_id from scores)),
+ pk as (select draw, ('0x' || substr(sha256('13:' || draw || ':' || slot), 1, 13))::bigint % (select count(*) from gr) as k from (select unnest(range({DRAWS})) as draw), (select k as slot from gr)),
+ ti as (select draw, group_id, count(*) as times from pk join gr using (k) group by 1, 2),
+ ce as (select 'p' as mode, group_id, p as s, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from scores group by 2, 3 union all select 'a', group_id, a, count(*) filter (label = 1), count(*) filter (label = 0) from scores group by 2, 3),
+ dr as (select draw, mode, s, sum(pos * times)::double as pos, sum(neg * times)::double as neg from ce join ti using (group_id) group by 1, 2, 3),
+ cu as (select *, sum(pos) over w as up, sum(neg) over w as dn from dr window w as (partition by draw, mode order by s desc rows unbounded preceding)),
+ su as (select draw, mode, coalesce(sum(pos) filter (s >= 0.5), 0) as tp, coalesce(sum(neg) filter (s >= 0.5), 0) as fp, sum(pos) as p, sum(neg) as n, sum(pos * up / (up + dn)) as ap, sum(neg * (up - pos / 2)) as wins from cu group by 1, 2),
+ fs as (select *, p - tp as fn, n - fp as tn, case when tp + p + fp - tp + tp > 0 then 2 * tp / (2 * tp + fp + p - tp) else 0 end as f1, case when 2 * (n - fp) + fp + p - tp > 0 then 2 * (n - fp) / (2 * (n - fp) + fp + p - tp) else 0 end as f0 from su),
+ me as (select draw, mode, {_VALUES} from fs), na as (select unnest({list(M.BOOTSTRAPPED)}) as metric),
+ lo as (select draw, mode, metric, case metric {" ".join(f"when '{m}' then {m}" for m in M.BOOTSTRAPPED)} end as value from me, na),
+ al as (select mode, metric, value from lo union all select 'p-a', x.metric, x.value - y.value from lo x join lo y using (draw, metric) where x.mode = 'p' and y.mode = 'a')"""
+
+
+@query(BOOTSTRAP + " select mode, metric, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.975), 6) as hi, count(value) as draws, count(*) - count(value) as failed from al group by 1, 2")
 def agg24_group_bootstrap(s, d):
-    return rounded(M.group_bootstrap(A.scores_lines(s, d), "group_id", F.col("p") >= 0.5, 1000, 13), "lo", "hi")
+    return rounded(M.group_bootstrap(A.scores_lines(s, d), "group_id", {"p": 0.5, "a": 0.5}, DRAWS, 13, base="a"), "lo", "hi")
 
 
 SHIFTED = A.cte("rows_") + ", sh as (select * replace (round_even(quantity * 1.5, 0) as quantity, price / 1.5 as price, 'duration-' || group_id as group_id) from rows_)"

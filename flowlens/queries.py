@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("explore", "flows", "detect", "dataset", "metrics", "cases", "models", "evidence")
+PLANS = ("explore", "flows", "detect", "dataset", "metrics", "cases", "models", "evidence", "selection")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
