@@ -44,6 +44,54 @@ def resolve_feedback(feedback: DataFrame, alerts: DataFrame, least_confidence: f
     return out.withColumn("label", label).withColumn("reason", reason).drop("_a")
 
 
+#: what telemetry has to say of its origin, and the partitions and types that may be trained on (fixed values of the policy)
+ORIGIN = ("provenance_partition", "provenance_type", "dataset_id", "dataset_version", "scenario_id", "group_id")
+ELIGIBLE = {"partitions": ("train", "feedback"), "excluded": ("test", "validation"), "types": ("analyst_review", "controlled_lab")}
+
+
+def resolve_candidates(feedback: DataFrame, alerts: DataFrame, detections: DataFrame, flows: DataFrame, sources: DataFrame, features: Sequence[str], least_confidence: float = 0.7, policy: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """feedback with label, flow_id and the first reason for which it is no candidate (null: it is one), along its chain of four equality joins.
+
+    feedback is (feedback_id, object_type, object_id, verdict, confidence), object_id as text; alerts (alert_id, detection_id), detections (detection_id,
+    flow_id), flows (flow_id, source_id, features) and sources (source_id, ORIGIN) have unique ids.
+    """
+    allowed = policy or ELIGIBLE
+    one = lambda df, key, alias, *more: df.select(F.col(key).cast("string").alias(f"_{alias}"), *[F.col(c).cast("string").alias(f"_{c}") for c in more])
+    a = one(alerts, "alert_id", "alert", "detection_id")
+    d = one(detections, "detection_id", "detection", "flow_id")
+    bad = F.lit(False)
+    for f in features:
+        bad = bad | F.isnan(f) | (F.abs(F.col(f)) == float("inf"))
+    missing = F.lit(False)
+    for f in features:
+        missing = missing | F.col(f).isNull()
+    f = flows.select(F.col("flow_id").cast("string").alias("_flow"), F.col("source_id").cast("string").alias("_source_id"), missing.alias("_missing"), bad.alias("_bad"))
+    o = one(sources, "source_id", "source", *ORIGIN)
+    out = feedback.join(a, F.col("object_id") == F.col("_alert"), "left").join(d, F.col("_detection_id") == F.col("_detection"), "left").join(f, F.col("_flow_id") == F.col("_flow"), "left").join(o, F.col("_source_id") == F.col("_source"), "left")
+    label = F.coalesce(*[F.when(F.col("verdict") == v, x) for v, x in LABELS.items()])
+    gap = F.lit(False)
+    for c in ORIGIN:
+        gap = gap | F.coalesce(F.trim(f"_{c}") == "", F.lit(True))
+    rules = (
+        ("case_level", F.col("object_type") != "alert"),
+        ("unmapped_verdict", label.isNull()),
+        ("low_confidence", F.col("confidence") < least_confidence),
+        ("invalid_id", F.coalesce(F.trim("object_id") == "", F.lit(True))),
+        ("alert_missing", F.col("_alert").isNull()),
+        ("detection_missing", F.col("_detection").isNull()),
+        ("flow_missing", F.col("_flow").isNull()),
+        ("features_incomplete", F.col("_missing")),
+        ("features_not_finite", F.col("_bad")),
+        ("source_missing", F.col("_source").isNull()),
+        ("provenance_incomplete", gap),
+        ("partition_excluded", F.col("_provenance_partition").isin(*allowed["excluded"])),
+        ("partition_not_eligible", ~F.col("_provenance_partition").isin(*allowed["partitions"])),
+        ("type_not_eligible", ~F.col("_provenance_type").isin(*allowed["types"])),
+    )
+    reason = F.coalesce(*[F.when(rule, name) for name, rule in rules])
+    return out.select(*feedback.columns, label.alias("label"), F.col("_flow").alias("flow_id"), reason.alias("reason"))
+
+
 def retraining_candidates(resolved: DataFrame) -> DataFrame:
     """Per object: its label, or conflict; the least confidence and the number of rows behind it."""
     out = resolved.where("reason is null").groupBy("object_id").agg(F.count_distinct("label").alias("labels"), F.min("label").alias("label"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("feedbacks"))

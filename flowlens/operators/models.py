@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import clamp01, interpolate, uuid5, weighted_score
-from flowlens.operators.dataset import stable_order
 from flowlens.operators.detect import map_risk, reason_codes, severity_band
 from flowlens.operators.explain import local_contributions
 from flowlens.operators.isolation import Forest, isolation_score
@@ -31,14 +32,36 @@ CANDIDATES = {
 }
 
 
-def group_folds(rows: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): whole groups, dealt out in the order of a seeded digest among those that hold an attack and those that don't.
+def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): whole groups, the largest first, each to the fold that has the fewest rows so far; ties go to the smaller group and fold.
 
-    Groups are one row each by then; every fold gets both classes as long as there are k groups of either sort.
+    The rule takes one group after the other: groups, a row each, stream through one task that holds k sums.
     """
-    groups = rows.groupBy(group).agg(F.max(label).alias("attack")).withColumn("at", stable_order(F.col(group), seed))
-    place = F.row_number().over(Window.partitionBy("attack").orderBy("at", group))
-    return groups.select(group, ((place - 1) % k).cast("long").alias("fold"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds = [(0, i) for i in range(k)]
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                held, fold = heapq.heappop(folds)
+                heapq.heappush(folds, (held + n, fold))
+                out.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(out, pa.int64())], [group, "fold"])
+
+    return sizes.repartition(1).sortWithinPartitions(F.desc("n"), group).mapInArrow(dealt, f"`{group}` {kind}, fold long")
+
+
+def fold_violations(rows: DataFrame, folds: DataFrame, group: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(rule, value) for which folds are refused: a fold, or what is left without it, of one class; a key (source, session, scenario, ...) in several folds; fewer than two groups."""
+    dealt = rows.join(folds, group)
+    per = dealt.groupBy("fold").agg(F.count_if(F.col(label) == 1).alias("y"), F.count_if(F.col(label) == 0).alias("z"))
+    whole = per.agg(F.sum("y").alias("all_y"), F.sum("z").alias("all_z"))
+    single = per.crossJoin(F.broadcast(whole)).where("least(y, z, all_y - y, all_z - z) = 0").select(F.lit("single_class").alias("rule"), F.col("fold").cast("string").alias("value"))
+    shared = [dealt.groupBy(F.col(c).cast("string").alias("value")).agg(F.count_distinct("fold").alias("folds")).where("folds > 1").select(F.lit(f"{c}_overlap").alias("rule"), "value") for c in keys]
+    few = folds.agg(F.count(F.lit(1)).alias("n")).where("n < 2").select(F.lit("too_few_groups").alias("rule"), F.col("n").cast("string").alias("value"))
+    return reduce(DataFrame.unionByName, [single, *shared, few])
 
 
 def fitted(rows: DataFrame, features: Sequence[str], name: str) -> PipelineModel:
@@ -58,7 +81,10 @@ def tune(rows: DataFrame, features: Sequence[str], folds: DataFrame, group: str,
 
     The grid and the folds are a fixed few; each fit is a distributed job of its own.
     """
-    dealt = rows.join(F.broadcast(folds), group)
+    broken = fold_violations(rows, folds, group, "label").limit(5).collect()
+    if broken:
+        raise ValueError(f"folds are refused: {[tuple(r) for r in broken]}")
+    dealt = rows.join(folds, group)
     k = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     scored = [with_probability(fitted(dealt.where(F.col("fold") != i), features, n), dealt.where(F.col("fold") == i)).select(F.lit(n).alias("candidate"), "fold", "label", "p") for n in names for i in k]
     held = reduce(DataFrame.unionByName, scored)

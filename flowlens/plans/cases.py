@@ -38,9 +38,23 @@ REASON = "case when verdict = 'unsure' then 'unmapped_verdict' when confidence <
 RES = A.cte("alerts") + ", " + FB + f", res as (select fb.*, {REASON} as reason, case verdict when 'true_positive' then 'malicious' when 'unsure' then null else 'benign' end as label from fb left join (select distinct alert_id from alerts) a on a.alert_id = object_id)"
 
 
-@query(RES + " select feedback_id, reason from res")
+CHAIN = A.cte("alerts", "flows") + ", " + FB + f""", de as (select alert_id from alerts where alert_id % 11 <> 5), fl as (select flow_id, source_id, case when flow_id % 17 = 3 then null else packets::double end as packets, case when flow_id % 19 = 4 then 'inf'::double else bytes::double end as bytes from flows where flow_id % 13 <> 4),
+ re as (select feedback_id, case when feedback_id % 23 = 0 then 'case_level' when verdict = 'unsure' then 'unmapped_verdict' when confidence < 0.7 then 'low_confidence' when object_id is null then 'invalid_id' when a.alert_id is null then 'alert_missing' when de.alert_id is null then 'detection_missing'
+   when flow_id is null then 'flow_missing' when packets is null or bytes is null then 'features_incomplete' when isinf(bytes) then 'features_not_finite' when source_id = 6 then 'source_missing' when source_id = 3 then 'provenance_incomplete' when source_id = 2 then 'partition_excluded'
+   when source_id = 4 then 'partition_not_eligible' when source_id = 5 then 'type_not_eligible' end as reason from fb left join (select alert_id from alerts) a on a.alert_id = object_id left join de on de.alert_id = object_id left join fl on flow_id = object_id)"""
+
+
+@query(CHAIN + " select feedback_id, reason from re")
 def join7_resolve_feedback(s, d):
-    return C.resolve_feedback(feedback(s, d), A.alerts_orders(s, d)).select("feedback_id", "reason")
+    fb = feedback(s, d)
+    fb = fb.select("feedback_id", F.when(F.col("feedback_id") % 23 == 0, "case").otherwise("alert").alias("object_type"), F.col("object_id").cast("string").alias("object_id"), "verdict", "confidence")
+    alerts = A.alerts_orders(s, d).select("alert_id", F.col("alert_id").alias("detection_id"))
+    k = F.col("flow_id")
+    flows = A.flows_orders(s, d).where("flow_id % 13 <> 4").select("flow_id", "source_id", F.when(k % 17 != 3, F.col("packets").cast("double")).alias("packets"), F.when(k % 19 == 4, float("inf")).otherwise(F.col("bytes").cast("double")).alias("bytes"))
+    kinds = ["controlled_lab"] * 5 + ["rumour"]
+    sources = s.createDataFrame([(i, p, kinds[i], "d", "1", "s", "g") for i, p in enumerate(("train", "feedback", "test", "", "archive", "train"))], "source_id long, provenance_partition string, provenance_type string, dataset_id string, dataset_version string, scenario_id string, group_id string")
+    detections = alerts.where("alert_id % 11 <> 5").select("detection_id", F.col("alert_id").alias("flow_id"))
+    return C.resolve_candidates(fb, alerts, detections, flows, sources, ("packets", "bytes")).select("feedback_id", "reason")
 
 
 @query(RES + " select object_id, case when count(distinct label) > 1 then 'conflict' else min(label) end as label, min(confidence) as confidence, count(*) as feedbacks from res where reason is null group by 1")

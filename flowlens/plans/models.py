@@ -25,28 +25,30 @@ def query(sql):
     return add
 
 
-FOLDS = A.cte("rows_") + f""", g as (select group_id, max(label) as attack from rows_ group by 1)
- select group_id, (row_number() over (partition by attack order by sha256('{SEED}:' || group_id), group_id) - 1) % {K} as fold from g"""
+FOLDS = A.cte("rows_") + f""", z as (select group_id, count(*) as n, row_number() over (order by count(*) desc, group_id) as i from rows_ group by 1),
+ f as (select 0::bigint as i, null::bigint as group_id, null::bigint as fold, {[0] * K}::bigint[] as sums
+       union all select z.i, z.group_id, list_position(sums, list_min(sums)) - 1, list_transform(range(1, {K + 1}), lambda x: sums[x] + case when x = list_position(sums, list_min(sums)) then n else 0 end) from f join z on z.i = f.i + 1)
+ select group_id, fold from f where i > 0"""
 
 
 def parts(s, d):
     """Rows by split; whole groups fall into each."""
     rows = A.dataset_lines(s, d)
     split = D.group_split(rows, "group_id", SEED)
-    dealt = rows.join(F.broadcast(split), "group_id")
+    dealt = rows.join(split, "group_id")
     return {n: dealt.where(F.col("split") == n) for n in ("train", "validation", "test")}
 
 
 @query(FOLDS)
 def ml2_group_folds(s, d):
-    return M.group_folds(A.dataset_lines(s, d), "group_id", "label", K, SEED)
+    return M.group_folds(A.dataset_lines(s, d), "group_id", K)
 
 
 @query(None)
 def ml3_tune(s, d):
     train = parts(s, d)["train"]
     names = ("decision_tree", "logistic_regression", "random_forest")
-    return M.tune(train, A.FEATURES, M.group_folds(train, "group_id", "label", K, SEED), "group_id", names)
+    return M.tune(train, A.FEATURES, M.group_folds(train, "group_id", K), "group_id", names)
 
 
 @query(None)
