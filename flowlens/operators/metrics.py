@@ -147,8 +147,8 @@ def drawn_groups(groups: DataFrame, group: str, draws: int, seed: int) -> DataFr
     return picks.join(numbered, "k").select("draw", group, "times")
 
 
-def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], draws: int, seed: int, label: str = "label") -> DataFrame:
-    """(draw, mode, a column for each of BOOTSTRAPPED) for each score column and its threshold, all on the same draws; null where a draw lacks what a metric needs.
+def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], picks: DataFrame, label: str = "label") -> DataFrame:
+    """(draw, mode, a column for each of BOOTSTRAPPED) for each score column and its threshold, all on the same picks (draw, group, times); null where a draw lacks what a metric needs.
 
     Rows are first reduced to (mode, group, score) with positives and negatives; a draw weights a group's cells by how often
     it is in it, so that nothing is resampled row by row.
@@ -156,7 +156,6 @@ def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], draws: i
     y = F.col(label) == 1
     long = rows.select(group, y.alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("s"), F.lit(float(t)).alias("at")) for m, t in scores.items()])).alias("x")).select(group, "y", "x.*")
     cells = long.groupBy("mode", group, "s", "at").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    picks = drawn_groups(rows.select(group).distinct(), group, draws, seed)
     by = ["draw", "mode"]
     c = cells.join(picks, group).groupBy(*by, "s", "at").agg(F.sum(F.col("pos") * F.col("times")).cast("double").alias("pos"), F.sum(F.col("neg") * F.col("times")).cast("double").alias("neg"))
     down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
@@ -186,7 +185,8 @@ def group_bootstrap(rows: DataFrame, group: str, scores: dict[str, float], draws
     if draws < 1000:
         raise ValueError("intervals need at least 1,000 draws")
     names = list(metrics)
-    found = draw_metrics(rows, group, scores, draws, seed, label).select("draw", "mode", *names)
+    picks = drawn_groups(rows.select(group).distinct(), group, draws, seed)
+    found = draw_metrics(rows, group, scores, picks, label).select("draw", "mode", *names)
     if base is not None:
         other = found.where(F.col("mode") == base).select("draw", *[F.col(m).alias(f"_{m}") for m in names])
         deltas = found.where(F.col("mode") != base).join(other, "draw").select("draw", F.concat("mode", F.lit(f"-{base}")).alias("mode"), *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in names])
@@ -194,3 +194,13 @@ def group_bootstrap(rows: DataFrame, group: str, scores: dict[str, float], draws
     long = found.unpivot(["draw", "mode"], names, "metric", "value")
     # a value for each draw
     return long.groupBy("mode", "metric").agg(F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"), F.count("value").alias("draws"), F.count_if(F.col("value").isNull()).alias("failed"))
+
+
+def evaluate_modes(rows: DataFrame, group: str, scores: dict[str, float], draws: int, seed: int, base: str, label: str = "label") -> DataFrame:
+    """(mode, metric, value, lo, hi, failed) of modes on the same rows, and of their differences to base, each with its interval over the same resamples of groups."""
+    once = rows.select(group).distinct().select(F.lit(0).cast("long").alias("draw"), group, F.lit(1).cast("long").alias("times"))
+    point = draw_metrics(rows, group, scores, once, label).unpivot(["mode"], list(BOOTSTRAPPED), "metric", "value")
+    other = point.where(F.col("mode") == base).select("metric", F.col("value").alias("_base"))
+    deltas = point.where(F.col("mode") != base).join(other, "metric").select(F.concat("mode", F.lit(f"-{base}")).alias("mode"), "metric", (F.col("value") - F.col("_base")).alias("value"))
+    intervals = group_bootstrap(rows, group, scores, draws, seed, label, base=base)
+    return point.unionByName(deltas).join(intervals, ["mode", "metric"]).select("mode", "metric", "value", "lo", "hi", "failed")

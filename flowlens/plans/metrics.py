@@ -145,6 +145,19 @@ def agg24_group_bootstrap(s, d):
     return rounded(M.group_bootstrap(A.scores_lines(s, d), "group_id", {"p": 0.5, "a": 0.5}, DRAWS, 13, base="a"), "lo", "hi")
 
 
+MODES = BOOTSTRAP + f""", c1 as (select mode, s, sum(pos)::double as pos, sum(neg)::double as neg from ce group by 1, 2), u1 as (select *, sum(pos) over w as up, sum(neg) over w as dn from c1 window w as (partition by mode order by s desc rows unbounded preceding)),
+ s1 as (select mode, coalesce(sum(pos) filter (s >= 0.5), 0) as tp, coalesce(sum(neg) filter (s >= 0.5), 0) as fp, sum(pos) as p, sum(neg) as n, sum(pos * up / (up + dn)) as ap, sum(neg * (up - pos / 2)) as wins from u1 group by 1),
+ f1_ as (select *, p - tp as fn, n - fp as tn, case when p + fp + tp > 0 then 2 * tp / (2 * tp + fp + p - tp) else 0 end as f1, case when 2 * (n - fp) + fp + p - tp > 0 then 2 * (n - fp) / (2 * (n - fp) + fp + p - tp) else 0 end as f0 from s1),
+ m1 as (select mode, {_VALUES} from f1_), l1 as (select mode, metric, case metric {" ".join(f"when '{m}' then {m}" for m in M.BOOTSTRAPPED)} end as value from m1, na),
+ a1 as (select mode, metric, value from l1 union all select 'p-a', x.metric, x.value - y.value from l1 x join l1 y using (metric) where x.mode = 'p' and y.mode = 'a'),
+ iv as (select mode, metric, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi, count(*) - count(value) as failed from al group by 1, 2)"""
+
+
+@query(MODES + " select mode, metric, round(value, 6) as value, round(lo, 6) as lo, round(hi, 6) as hi, failed from a1 join iv using (mode, metric)")
+def ml17_evaluate_modes(s, d):
+    return rounded(M.evaluate_modes(A.scores_lines(s, d), "group_id", {"p": 0.5, "a": 0.5}, DRAWS, 13, "a"), "value", "lo", "hi")
+
+
 SHIFTED = A.cte("rows_") + ", sh as (select * replace (round_even(quantity * 1.5, 0) as quantity, price / 1.5 as price, 'duration-' || group_id as group_id) from rows_)"
 
 
