@@ -120,3 +120,25 @@ def audit_projection(events: DataFrame, json_col: str, length: int = 40, secret:
     fields = F.from_json(json_col, "map<string,string>")
     kept = F.transform_values(F.map_filter(fields, lambda k, _: ~F.lower(k).rlike(secret)), lambda _, v: F.left(v, F.lit(length)))
     return events.withColumn("details", F.to_json(kept))
+
+
+def case_facts(cases: DataFrame, references: DataFrame, notes: DataFrame, feedback: DataFrame, audit: DataFrame) -> DataFrame:
+    """(case_id, section, at, id, detail): what a case's report lists, a row for each fact, so that no case is gathered whole.
+
+    cases is (case_id, alert_ids, first_seen, last_seen, verdict); references, notes and audit are (case_id or object_id, id, at,
+    detail), feedback (id, object_type, object_id, at, detail). Feedback counts that is on the case or on one of its alerts, once for each case; audit
+    rows are those of the case and of that feedback. Ids are compared as text.
+    """
+    key = cases.select(F.col("case_id").cast("string").alias("case_id"), "alert_ids", "first_seen", "last_seen", "verdict")
+    shape = lambda df, section: df.select("case_id", F.lit(section).alias("section"), "at", F.col("id").cast("string").alias("id"), F.col("detail").cast("string").alias("detail"))
+    window = key.select("case_id", F.lit("case").alias("section"), F.col("first_seen").alias("at"), F.col("case_id").alias("id"), F.concat_ws("|", F.col("last_seen").cast("string"), "verdict").alias("detail"))
+    own = lambda df: df.withColumn("case_id", F.col("case_id").cast("string")).join(key.select("case_id"), "case_id")
+    targets = key.select("case_id", F.lit("case").alias("object_type"), F.col("case_id").alias("object_id")).unionByName(key.select("case_id", F.lit("alert").alias("object_type"), F.explode(F.col("alert_ids").cast("array<string>")).alias("object_id")))
+    said = feedback.withColumn("object_id", F.col("object_id").cast("string")).join(targets.distinct(), ["object_type", "object_id"]).select("case_id", "at", "id", "detail").distinct()
+    watched = key.select("case_id", F.col("case_id").alias("object_id")).unionByName(said.select("case_id", F.col("id").cast("string").alias("object_id"))).distinct()
+    seen = audit.withColumn("object_id", F.col("object_id").cast("string")).join(watched, "object_id").select("case_id", "at", "id", "detail").distinct()
+    parts = [shape(own(references), "reference"), shape(own(notes), "note"), shape(said, "feedback"), shape(seen, "audit")]
+    out = window
+    for p in parts:
+        out = out.unionByName(p)
+    return out

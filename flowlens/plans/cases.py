@@ -132,3 +132,26 @@ def case1_open_cases(s, d):
 @query("select sha256(text) as checksum, min(doc_id) as source_id, count(*) as copies from documents group by 1")
 def src8_sources_dedup(s, d):
     return A.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.min("doc_id").alias("source_id"), F.count(F.lit(1)).alias("copies"))
+
+
+CASES = A.cte("alerts") + """, ca as (select alert_id as case_id, [alert_id, alert_id + 1, alert_id + 2] as alert_ids, event_start, event_end, verdict from alerts where risk >= 0.95),
+ ev as (select event_id, user_id, event_type, epoch_us(ts) as m_, event_id % (select max(o_orderkey) + 1 from orders) as k from events),
+ tg as (select case_id, 'case' as object_type, case_id as object_id from ca union select case_id, 'alert', unnest(alert_ids) from ca),
+ fe as (select case_id, m_, event_id as id, event_type as detail from ev join tg on object_id = k and object_type = case when event_id % 2 = 0 then 'alert' else 'case' end where event_type <> 'view'),
+ wa as (select case_id, case_id as object_id from ca union select case_id, id from fe)"""
+
+
+@query(CASES + """ select case_id::varchar as case_id, 'case' as section, event_start as "at", case_id::varchar as id, concat_ws('|', event_end::varchar, verdict) as detail from ca
+ union all select case_id::varchar, 'reference', event_start, unnest(alert_ids)::varchar, 'security_alert' from ca union all select case_id::varchar, 'note', m_, event_id::varchar, event_type from ev join ca on case_id = k where event_type = 'view'
+ union all select case_id::varchar, 'feedback', m_, id::varchar, detail from fe union all select case_id::varchar, 'audit', m_, event_id::varchar, 'seen' from ev join wa on object_id = event_id + 1""")
+def case3_case_facts(s, d):
+    a = A.alerts_orders(s, d).where("risk >= 0.95")
+    k = F.col("alert_id")
+    cases = a.select(k.alias("case_id"), F.array(k, k + 1, k + 2).alias("alert_ids"), F.col("event_start").alias("first_seen"), F.col("event_end").alias("last_seen"), "verdict")
+    most = A.table(s, d, "orders").agg((F.max("o_orderkey") + 1).alias("m"))
+    e = A.table(s, d, "events").crossJoin(F.broadcast(most)).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % F.col("m")).alias("k"))
+    references = cases.select("case_id", F.explode("alert_ids").alias("id"), F.col("first_seen").alias("at"), F.lit("security_alert").alias("detail"))
+    notes = e.where("event_type = 'view'").select(F.col("k").alias("case_id"), F.col("event_id").alias("id"), "at", F.col("event_type").alias("detail"))
+    feedback = e.where("event_type <> 'view'").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "alert").otherwise("case").alias("object_type"), F.col("k").alias("object_id"), "at", F.col("event_type").alias("detail"))
+    audit = e.select((F.col("event_id") + 1).alias("object_id"), F.col("event_id").alias("id"), "at", F.lit("seen").alias("detail"))
+    return C.case_facts(cases, references, notes, feedback, audit)
