@@ -139,15 +139,23 @@ def near_pairs(rows: DataFrame, id_col: str, features: str, tolerance: float) ->
 
 
 def near_components(pairs: DataFrame) -> DataFrame:
-    """(id, component): the smallest id each vertex of (a, b) reaches. Labels take the neighbours' minimum until nothing changes."""
-    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).checkpoint()
-    while True:
-        near = edges.join(labels, edges.v == labels.id).groupBy("u").agg(F.min("component").alias("m"))
-        after = labels.join(near, labels.id == near.u).select("id", F.col("component").alias("was"), F.least("component", "m").alias("component")).checkpoint()
-        labels = after.select("id", "component")
-        if after.where("component <> was").isEmpty():
-            return labels
+    """(id, component): the smallest id each vertex of (a, b) reaches.
+
+    In each round every vertex with a smaller neighbour moves to the smallest of them, chains of such moves are cut short twice, and the graph
+    shrinks to the vertices that are left, so that rounds grow with the logarithm of its size and not with its width.
+    """
+    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().checkpoint()
+    labels = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().withColumn("component", F.col("id")).checkpoint()
+    while not edges.isEmpty():
+        moves = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("to")).where("to < u")
+        for _ in range(2):
+            further = moves.select(F.col("u").alias("_u"), F.col("to").alias("_to"))
+            moves = moves.join(further, F.col("to") == F.col("_u"), "left").select("u", F.coalesce("_to", "to").alias("to"))
+        moves = moves.checkpoint()
+        moved = lambda df, c: df.join(moves.select(F.col("u").alias("_u"), F.col("to").alias("_to")), F.col(c) == F.col("_u"), "left").withColumn(c, F.coalesce("_to", c)).drop("_u", "_to")  # noqa: B023, E731
+        labels = moved(labels, "component").checkpoint()
+        edges = moved(moved(edges, "u"), "v").where("u <> v").distinct().checkpoint()
+    return labels
 
 
 #: references and queries of one task
