@@ -32,7 +32,7 @@ BLOCK_BYTES = 3_000_000
 REMEMBERED, REMEMBERED_BYTES = 500_000, 32_000_000
 #: groups of more links are joined by distinct ids, and so many links are expanded at a time
 WIDE, LINKS = 64, 2_000_000
-SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<int>, pairs array<long>, docs array<long>"
+SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<long>, pairs array<long>, docs array<long>"
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -309,9 +309,9 @@ def aligned_block(t: Tokenizers, number: int, doc_ids: pa.Array, texts: pa.Array
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     block = pa.array(np.full(n, number), pa.int64())
     columns = [block, doc_ids, *[pa.array(found[c].astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(digests, pa.string())]
-    yield pa.RecordBatch.from_arrays([*columns, some(codes), some(pa.array(weight.astype(np.int32))), none(n, pa.int64()), none(n, pa.int64())], names)
+    yield pa.RecordBatch.from_arrays([*columns, some(codes), some(pa.array(weight)), none(n, pa.int64()), none(n, pa.int64())], names)
     ends = pa.array(np.array([0, len(pairs)], np.int32))
-    columns = [block[:1], *[pa.nulls(1, k) for k in [pa.int64()] * 5 + [pa.string()]], none(1, pa.int32()), none(1, pa.int32())]
+    columns = [block[:1], *[pa.nulls(1, k) for k in [pa.int64()] * 5 + [pa.string()]], none(1, pa.int32()), none(1, pa.int64())]
     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pairs), pa.ListArray.from_arrays(ends, pa.array(docs))], names)
 
 
