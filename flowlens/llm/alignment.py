@@ -148,7 +148,10 @@ class Tokenizers:
 
 
 def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where segments begin: at each text, and at a space after a byte that surely ends no white space of any kind."""
+    """Where segments begin: at each text, and at a space after a byte that surely ends no white space of any kind.
+
+    A text's last space begins none: alone it would be an empty text to B, which marks no space then.
+    """
     two, three = np.zeros_like(data), np.zeros_like(data)
     two[2:], three[3:] = data[:-2], data[:-3]
     before = np.zeros_like(data)
@@ -156,7 +159,9 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # white space beyond ASCII is U+0085, U+00A0, U+1680, U+2000 to U+205F in part, and U+3000
     wide = (two == 0xC2) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
     begins = (data == 32) & (((before > 32) & (before < 127)) | ((before >= 128) & ~wide))
-    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    some = offsets[:-1] < offsets[1:]
+    begins[offsets[1:][some] - 1] = False
+    begins[offsets[:-1][some]] = True
     return np.flatnonzero(begins)
 
 

@@ -99,3 +99,7 @@ def test_empty_table(spark):
     assert docs.count() == 0 == pairs.count()
     docs, _ = alignment.aligned(spark.createDataFrame([(5, None)], "doc_id long, text string"), A, B)
     assert [tuple(r) for r in docs.collect()] == [(5, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_texts_that_end_in_one_space(spark):
+    check(spark, [(1, "abc "), (2, "one two "), (3, "é "), (4, "<s> "), (5, "abc  "), (6, "a \n "), (7, "▁ "), (8, " "), (9, "abc")])
