@@ -102,6 +102,10 @@ def group_score(risk: Column, alerts: Column, reasons: Column, rules: Column, se
     return clamp01(risk) * 0.35 + clamp01(alerts / 5) * 0.20 + clamp01((reasons + rules) / 6) * 0.25 + clamp01(1 - seconds / window) * 0.20
 
 
+def set_digest(members: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(members.alias("members"))), 256)
+
+
 def ruled_clusters(members: DataFrame, alerts: DataFrame, seconds: float) -> DataFrame:
     """(entity, cluster, members, rules) of members (entity, alert_id, event_start, event_end); members are sorted ids as text."""
     found = anchored_windows(members, seconds)
@@ -110,13 +114,18 @@ def ruled_clusters(members: DataFrame, alerts: DataFrame, seconds: float) -> Dat
 
 
 def merged_groups(clusters: DataFrame, alerts: DataFrame, seconds: float, least_score: float = 0.35) -> DataFrame:
-    """A group for each set of members among clusters: the union of its clusters' entities and rules, its alerts' facts, score and severity."""
-    merged = clusters.groupBy("members").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
-    each = merged.select("members", F.explode("members").alias("_id")).join(alerts.withColumn("_id", F.col("alert_id").cast("string")), "_id")
-    facts = each.groupBy("members").agg(
+    """A group for each set of members among clusters: the union of its clusters' entities and rules, its alerts' facts, score and severity.
+
+    Sets are told apart by their digests, so that a row for each member doesn't carry the whole set.
+    """
+    clusters = clusters.withColumn("_set", set_digest(F.col("members")))
+    merged = clusters.groupBy("_set").agg(F.first("members").alias("members"), F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+    ids = clusters.groupBy("_set").agg(F.first("members").alias("members")).select("_set", F.explode("members").alias("_id"))
+    each = ids.join(alerts.withColumn("_id", F.col("alert_id").cast("string")), "_id")
+    facts = each.groupBy("_set").agg(
         F.count(F.lit(1)).alias("alerts"), F.avg("risk").alias("risk"), F.count_distinct("reason").alias("reasons"), F.array_sort(F.collect_set("reason")).alias("codes"), F.min("event_start").alias("first_seen"), F.max("event_end").alias("last_seen"),
     )
-    out = merged.join(facts, "members")
+    out = merged.join(facts, "_set").drop("_set")
     score = group_score(F.col("risk"), F.col("alerts"), F.col("reasons"), F.size("rules"), (F.col("last_seen") - F.col("first_seen")) / 1e6, seconds)
     return out.withColumn("score", F.round(score, 6)).where(F.col("score") >= least_score).withColumn("severity", severity_band(F.col("score"), GROUP_BANDS))
 
