@@ -148,6 +148,11 @@ def cor2_rules(s, d):
     return C.matched_rules(clusters(s, d)).withColumn("rules", F.array_join("rules", ","))
 
 
+def group_key():
+    """A group's list of members by its digest, for rows of single members."""
+    return F.sha2("members", 256).alias("group")
+
+
 def groups(s, d):
     return C.alert_groups(A.alerts_orders(s, d), WINDOW).withColumn("members", F.array_join("members", ","))
 
@@ -215,7 +220,8 @@ def join5_job_lineage(s, d):
 
 @query(CLUSTERS + ", x as (select members, unnest(string_split(members, ','))::bigint as alert_id from groups_) select members, count(*) as listed, count(a.alert_id) as present, count(*) = count(a.alert_id) as consistent from x left join alerts a on a.alert_id = x.alert_id group by 1")
 def join10_group_members(s, d):
-    g = groups(s, d).select("members", F.posexplode(F.split("members", ",")).alias("place", "id"))
+    g = groups(s, d).select(group_key(), "members")
+    ids = g.select("group", F.explode(F.split("members", ",")).alias("id"))
     a = A.alerts_orders(s, d).select("alert_id")
-    out = g.join(a, F.col("id").cast("long") == F.col("alert_id"), "left").groupBy("members").agg(F.count(F.lit(1)).alias("listed"), F.count("alert_id").alias("present"))
-    return out.withColumn("consistent", F.col("listed") == F.col("present"))
+    counts = ids.join(a, F.col("id").cast("long") == F.col("alert_id"), "left").groupBy("group").agg(F.count(F.lit(1)).alias("listed"), F.count("alert_id").alias("present"))
+    return g.join(counts, "group").select("members", "listed", "present", (F.col("listed") == F.col("present")).alias("consistent"))
