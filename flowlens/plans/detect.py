@@ -209,7 +209,9 @@ def hyp4_hypotheses(s, d):
 @query(HYP + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select alert_id, members, cand[1] as template from x left join h using (members)")
 def join4_alert_relations(s, d):
     g = groups(s, d)
-    return g.select(F.explode(F.split("members", ",").cast("array<bigint>")).alias("alert_id"), "members").join(C.hypotheses(g).select("members", "template"), "members", "left").select("alert_id", "members", "template")
+    # groups are joined before they are taken apart, as each of their alerts repeats the whole list
+    h = C.hypotheses(g).select(group_key(), "template")
+    return g.withColumn("group", group_key()).join(h, "group", "left").select(F.explode(F.split("members", ",").cast("array<bigint>")).alias("alert_id"), "members", "template")
 
 
 @query(CLUSTERS + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select distinct members from x where alert_id in (select o_orderkey from orders where o_custkey % 5 = 3)")
