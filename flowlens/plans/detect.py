@@ -216,8 +216,10 @@ def join4_alert_relations(s, d):
 
 @query(CLUSTERS + ", x as (select unnest(string_split(members, ','))::bigint as alert_id, members from groups_) select distinct members from x where alert_id in (select o_orderkey from orders where o_custkey % 5 = 3)")
 def join5_job_lineage(s, d):
-    g = groups(s, d).select(F.explode(F.split("members", ",").cast("array<bigint>")).alias("flow_id"), "members")
-    return g.join(A.detections_orders(s, d).where("job_id = 3").select("flow_id"), "flow_id", "left_semi").select("members").distinct()
+    g = groups(s, d).select(group_key(), "members")
+    ids = g.select("group", F.explode(F.split("members", ",").cast("array<bigint>")).alias("flow_id"))
+    held = ids.join(A.detections_orders(s, d).where("job_id = 3").select("flow_id"), "flow_id", "left_semi").select("group").distinct()
+    return g.join(held, "group", "left_semi").select("members")
 
 
 @query(CLUSTERS + ", x as (select members, unnest(string_split(members, ','))::bigint as alert_id from groups_) select members, count(*) as listed, count(a.alert_id) as present, count(*) = count(a.alert_id) as consistent from x left join alerts a on a.alert_id = x.alert_id group by 1")
