@@ -35,8 +35,9 @@ def exact_quantiles(counts: DataFrame, by: Sequence[str], probabilities: dict[st
     out = ranked.groupBy(*by).agg(F.first("n").alias("n"), *picks)
 
     def between(name: str, place: Column) -> Column:
-        low, high = F.floor(place), F.ceil(place)
-        return F.when(low == high, F.col(f"_floor_{name}")).otherwise((high - place) * F.col(f"_floor_{name}") + (place - low) * F.col(f"_ceil_{name}"))
+        low, high = F.col(f"_floor_{name}"), F.col(f"_ceil_{name}")
+        # between equal values this is that value to the last bit, so that none of them is above it
+        return F.when((low == high) | (low == float("-inf")), low).otherwise(low + (high - low) * (place - F.floor(place)))
 
     return out.select(*by, "n", *[between(name, place).alias(name) for name, place in at.items()])
 
