@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +33,38 @@ def profile_violations(rows: DataFrame, split: str, label: str) -> DataFrame:
     return counts.unpivot([], list(rules), "rule", "n").where("n > 0")
 
 
+def in_flows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, risk, observed, x: structs of i and replaced risk) of scored rows (id, i, risk, observed), n + 1 in a row for each flow, i from -1."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count <= n:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        whole = count - count % (n + 1)
+        held, count = rows.slice(whole).to_batches(), count - whole
+        rows = rows.slice(0, whole).combine_chunks()
+        i = rows["i"].to_numpy().reshape(-1, n + 1)
+        if (i != np.arange(-1, n)).any():
+            raise ValueError("the score moves or drops rows")
+        flows = len(i)
+        risk = rows["risk"].combine_chunks()
+        at = np.arange(whole).reshape(-1, n + 1)
+        first, rest = pa.array(at[:, 0]), pa.array(at[:, 1:].ravel())
+        replaced = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), flows)), risk.take(rest)], ["i", "replaced"])
+        x = pa.ListArray.from_arrays(pa.array(np.arange(flows + 1, dtype=np.int32) * n), replaced)
+        yield pa.RecordBatch.from_arrays([rows[0].combine_chunks().take(first), risk.take(first), rows["observed"].combine_chunks().take(first), x], [rows.schema.names[0], "risk", "observed", "x"])
+    if count:
+        raise ValueError("the score moves or drops rows")
+
+
 def local_contributions(flows: DataFrame, id_col: str, features: Sequence[str], profile: DataFrame, score: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
     """(id, contributions): the k features whose replacement by the profile's median changes the risk most, ties by feature order.
 
-    score adds ``risk`` to rows of features. A flow becomes a row as it is and one for each feature replaced, scored in
-    one pass. A contribution is (feature, observed, median, low, high, risk, replaced_risk, delta, direction); deltas up to NEUTRAL are 0 and neutral.
+    score adds ``risk`` to rows of features, row by row: it may not move or drop any. A flow becomes a row as it is and one for each
+    feature replaced, scored in one pass and put together again where they are, without a shuffle. A contribution is (feature, observed, median, low, high, risk, replaced_risk, delta, direction); deltas up to NEUTRAL are 0 and neutral.
     """
     names = list(features)
     # one row a feature
@@ -48,8 +77,9 @@ def local_contributions(flows: DataFrame, id_col: str, features: Sequence[str],
     # the row as it is brings what was observed
     whole = F.when(F.col("i") < 0, F.array(*[F.col(f).cast("double") for f in names])).alias("observed")
     scored = score(copies.select(id_col, "i", *replaced)).select(id_col, "i", "risk", whole)
-    # as many as there are features for each flow
-    both = scored.groupBy(id_col).agg(F.max(F.when(F.col("i") < 0, F.col("risk"))).alias("risk"), F.max("observed").alias("observed"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", F.col("risk").alias("replaced")))).alias("x"))
+    kind = flows.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, risk double, observed array<double>, x array<struct<i: int, replaced: double>>"
+    both = scored.select(id_col, F.col("i").cast("int").alias("i"), F.col("risk").cast("double").alias("risk"), "observed").mapInArrow(lambda batches: in_flows(batches, len(names)), schema)
     delta = lambda x: F.when(F.abs(F.col("risk") - x["replaced"]) <= NEUTRAL, 0.0).otherwise(F.col("risk") - x["replaced"])
     at = lambda what, x: F.get(F.lit([float(known[f][what]) for f in names]), x["i"])
     way = lambda d: F.when(d > 0, "increases_suspicion").when(d < 0, "decreases_suspicion").otherwise("neutral")

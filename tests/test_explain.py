@@ -98,3 +98,13 @@ def test_detections_have_reasons_ids_and_contributions(spark):
     for r in got:
         assert r["alert_required"] == (r["risk"] >= 0.7) and ("MULTI_ENGINE_SUPPORT" in r["codes"]) == (r["supervised"] >= 0.5) and "ANOMALY_HIGH_SCORE" in r["codes"]
     assert {r["id"]: r["detection_id"] for r in M.detections(df.repartition(3), "id", NAMES, scores, profile).collect()} == {r["id"]: r["detection_id"] for r in got}
+
+
+def test_contributions_need_no_shuffle(spark):
+    _, df = table(spark)
+    profile = X.reference_profile(df.where("label = 0"), NAMES)
+    out = X.local_contributions(df, "id", NAMES, profile, score, 2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 500 and X.local_contributions(df.where("id < 0"), "id", NAMES, profile, score, 2).count() == 0
+    with pytest.raises(Exception, match="moves or drops rows"):
+        X.local_contributions(df, "id", NAMES, profile, lambda x: score(x).where("i <> 1"), 2).collect()
