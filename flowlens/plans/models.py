@@ -9,6 +9,7 @@ from flowlens.operators import flows as W
 from flowlens.operators import isolation as I
 from flowlens.operators import metrics as E
 from flowlens.operators import models as M
+from flowlens.operators.tables import stored
 from flowlens.plans.flows import BY, segmented
 
 QUERIES, ORACLES = {}, {}
@@ -32,10 +33,10 @@ FOLDS = A.cte("rows_") + f""", z as (select group_id, count(*) as n, row_number(
 
 
 def parts(s, d):
-    """Rows by split; whole groups fall into each."""
-    rows = A.dataset_lines(s, d)
+    """Rows by split; whole groups fall into each. Fits pass over them many times, so that they are stored."""
+    rows = A.dataset_lines(s, d).select("record_id", "group_id", "label", *A.FEATURES)
     split = D.group_split(rows, "group_id", SEED)
-    dealt = rows.join(split, "group_id")
+    dealt = stored(rows.join(split, "group_id"), "parts")
     return {n: dealt.where(F.col("split") == n) for n in ("train", "validation", "test")}
 
 
