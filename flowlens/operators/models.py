@@ -22,6 +22,7 @@ from flowlens.operators.explain import local_contributions
 from flowlens.operators.isolation import Forest, isolation_score
 from flowlens.operators.metrics import best_of, brier, confusion_metrics, curve_areas
 from flowlens.operators.ranks import exact_quantiles, value_counts
+from flowlens.operators.tables import stored
 
 #: candidates by name: estimator and its parameters
 CANDIDATES = {
@@ -84,7 +85,8 @@ def tune(rows: DataFrame, features: Sequence[str], folds: DataFrame, group: str,
     broken = fold_violations(rows, folds, group, "label").limit(5).collect()
     if broken:
         raise ValueError(f"folds are refused: {[tuple(r) for r in broken]}")
-    dealt = rows.join(folds, group)
+    # each fit passes over them many times
+    dealt = stored(rows.join(folds, group).select(*features, "label", "fold"), "folds")
     k = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     scored = [with_probability(fitted(dealt.where(F.col("fold") != i), features, n), dealt.where(F.col("fold") == i)).select(F.lit(n).alias("candidate"), "fold", "label", "p") for n in names for i in k]
     held = reduce(DataFrame.unionByName, scored)
