@@ -146,7 +146,7 @@ def agg16_near_components(s, d):
         if shared is None and not s.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         s.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return D.near_components(D.near_pairs(A.vectors(s, d), "vec_id", "features", 0.31))
+    return D.near_pair_components(A.vectors(s, d), "vec_id", "features", 0.31)
 
 
 @query(A.cte("vecs") + """, n as (select x.vec_id as query_id, y.vec_id, list_distance(x.features, y.features) as distance from vecs x join vecs y on x.vec_id <> y.vec_id where x.vec_id % 10 = 0 and y.benign)
