@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import safe_ratio
 from flowlens.operators.ranks import exact_quantiles, value_counts
+from flowlens.operators.tables import stored
 
 
 def confusion_metrics(rows: DataFrame, by: Sequence[str], label: Column, predicted: Column) -> DataFrame:
@@ -137,27 +140,72 @@ def parameter_shift(rows: DataFrame, axis: str, factor: float, whole: Sequence[s
 BOOTSTRAPPED = ("recall", "f1", "macro_f1", "pr_auc", "fpr", "precision", "specificity", "fnr", "accuracy", "balanced_accuracy", "mcc", "roc_auc", "weighted_f1")
 
 
-def drawn_groups(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
-    """(draw, group, times): whole groups drawn with replacement, as many as there are, by digests of seed, draw and slot over the groups in order."""
-    n = groups.count()
-    numbered = groups.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("k"))
-    slots = groups.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("slot"))
+#: groups whose draws one task weights, scores for which it does so, and scores of one product
+DRAWN_GROUPS, DRAWN_SCORES, DRAWN_CELLS = 2048, 4096, 1024
+
+
+def numbered_groups(rows: DataFrame, group: str) -> DataFrame:
+    """(group, k): the groups' places from 0."""
+    return rows.select(group).distinct().select(group, (F.row_number().over(Window.orderBy(group)) - 1).cast("long").alias("k"))
+
+
+def drawn_groups(spark: SparkSession, n: int, draws: int, seed: int) -> DataFrame:
+    """(draw, k): n of n groups drawn with replacement in each draw, by digests of seed, draw and slot; a row for each slot."""
+    slots = spark.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("slot"))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")), 256)
-    picks = slots.select("draw", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % n).alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("times"))
-    return picks.join(numbered, "k").select("draw", group, "times")
+    return slots.select(F.col("draw").cast("int").alias("draw"), (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % n).alias("k"))
 
 
-def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], picks: DataFrame, label: str = "label") -> DataFrame:
-    """(draw, mode, a column for each of BOOTSTRAPPED) for each score column and its threshold, all on the same picks (draw, group, times); null where a draw lacks what a metric needs.
+def draw_metrics(rows: DataFrame, group: str, scores: dict[str, float], groups: DataFrame, picks: DataFrame, draws: int, label: str = "label") -> DataFrame:
+    """(draw, mode, a column for each of BOOTSTRAPPED) for each score column and its threshold, all on the same picks (draw, k) of groups (group, k); null where a draw lacks what a metric needs.
 
     Rows are first reduced to (mode, group, score) with positives and negatives; a draw weights a group's cells by how often
-    it is in it, so that nothing is resampled row by row.
+    it is in it. Cells and picks meet in blocks of groups: the times of a block's groups by draws, multiplied with the groups' cells by
+    scores, are one row for each draw and score, whatever the number of groups. A block with many scores is dealt to several tasks.
     """
     y = F.col(label) == 1
-    long = rows.select(group, y.alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("s"), F.lit(float(t)).alias("at")) for m, t in scores.items()])).alias("x")).select(group, "y", "x.*")
-    cells = long.groupBy("mode", group, "s", "at").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    long = rows.select(group, y.alias("y"), F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("s")) for i, c in enumerate(scores)])).alias("x")).select(group, "y", "x.*")
+    cells = long.groupBy("m", group, "s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    block = F.floor(F.col("k") / DRAWN_GROUPS).alias("block")
+    cells = stored(cells.join(groups, group).select(block, (F.col("k") % DRAWN_GROUPS).cast("int").alias("k"), "m", "s", F.col("s").isNull().alias("none"), "pos", "neg"), "cells")
+    # a row for each block
+    sizes = cells.groupBy("block").agg(F.ceil(F.count_distinct(F.struct("m", "s")) / DRAWN_SCORES).alias("pieces"))
+    cells = cells.join(sizes, "block").withColumn("piece", F.pmod(F.xxhash64("m", "s"), F.col("pieces"))).drop("pieces")
+    dealt = picks.select(block, (F.col("k") % DRAWN_GROUPS).cast("int").alias("k"), "draw").join(sizes, "block")
+    dealt = dealt.select("block", "k", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+
+    def weighted(c: pa.Table, p: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        out = [(empty, empty, np.zeros(0), np.zeros(0, bool), empty, empty)]
+        if c.num_rows and p.num_rows:
+            times = np.bincount(p["draw"].to_numpy() * np.int64(DRAWN_GROUPS) + p["k"].to_numpy(), minlength=draws * DRAWN_GROUPS).reshape(draws, DRAWN_GROUPS)
+            used = np.flatnonzero(times.any(0))
+            times = times[:, used].astype(float)
+            c = c.filter(pa.array(np.isin(c["k"].to_numpy(), used))).sort_by([("m", "ascending"), ("none", "ascending"), ("s", "ascending")])
+            k, m, s, none, pos, neg = (c[x].to_numpy() for x in ("k", "m", "s", "none", "pos", "neg"))
+            k = np.searchsorted(used, k)
+            same = (m[1:] == m[:-1]) & (none[1:] == none[:-1]) & ((s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1])))
+            starts = np.flatnonzero(np.r_[True, ~same][: len(k)])
+            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(k)]))
+            for first in range(0, len(starts), DRAWN_CELLS):
+                some = np.flatnonzero((which >= first) & (which < first + DRAWN_CELLS))
+                of, at = k[some], which[some] - first
+                head = starts[first : first + DRAWN_CELLS]
+                sums = []
+                # whole numbers below 2 ** 53: the products are exact
+                for v in (pos, neg):
+                    table = np.zeros((len(used), len(head)))
+                    table[of, at] = v[some]
+                    sums.append(np.rint(times @ table).astype(np.int64))
+                draw, col = np.nonzero((sums[0] + sums[1]) > 0)
+                out.append((draw, m[head[col]], s[head[col]], none[head[col]], sums[0][draw, col], sums[1][draw, col]))
+        draw, m, s, none, pos, neg = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"draw": pa.array(draw, pa.int32()), "m": pa.array(m, pa.int32()), "s": pa.array(s, pa.float64(), mask=none), "pos": pos, "neg": neg})
+
+    found = cells.groupBy("block", "piece").cogroup(dealt.groupBy("block", "piece")).applyInArrow(weighted, "draw int, m int, s double, pos long, neg long")
+    mode, at = (F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("m") + 1) for xs in (list(scores), [float(t) for t in scores.values()]))
     by = ["draw", "mode"]
-    c = cells.join(picks, group).groupBy(*by, "s", "at").agg(F.sum(F.col("pos") * F.col("times")).cast("double").alias("pos"), F.sum(F.col("neg") * F.col("times")).cast("double").alias("neg"))
+    c = found.groupBy("draw", "m", "s").agg(F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")).select(F.col("draw").cast("long").alias("draw"), mode.alias("mode"), "s", at.alias("at"), "pos", "neg")
     down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"up": F.sum("pos").over(down), "down": F.sum("neg").over(down), "hit": F.col("s") >= F.col("at")})
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -185,8 +233,12 @@ def group_bootstrap(rows: DataFrame, group: str, scores: dict[str, float], draws
     if draws < 1000:
         raise ValueError("intervals need at least 1,000 draws")
     names = list(metrics)
-    picks = drawn_groups(rows.select(group).distinct(), group, draws, seed)
-    found = draw_metrics(rows, group, scores, picks, label).select("draw", "mode", *names)
+    groups = stored(numbered_groups(rows, group), "groups")
+    picks = drawn_groups(rows.sparkSession, groups.count(), draws, seed)
+    found = draw_metrics(rows, group, scores, groups, picks, draws, label).select("draw", "mode", *names)
+    if base is not None:
+        # read twice
+        found = stored(found, "draws")
     if base is not None:
         other = found.where(F.col("mode") == base).select("draw", *[F.col(m).alias(f"_{m}") for m in names])
         deltas = found.where(F.col("mode") != base).join(other, "draw").select("draw", F.concat("mode", F.lit(f"-{base}")).alias("mode"), *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in names])
@@ -198,8 +250,8 @@ def group_bootstrap(rows: DataFrame, group: str, scores: dict[str, float], draws
 
 def evaluate_modes(rows: DataFrame, group: str, scores: dict[str, float], draws: int, seed: int, base: str, label: str = "label") -> DataFrame:
     """(mode, metric, value, lo, hi, failed) of modes on the same rows, and of their differences to base, each with its interval over the same resamples of groups."""
-    once = rows.select(group).distinct().select(F.lit(0).cast("long").alias("draw"), group, F.lit(1).cast("long").alias("times"))
-    point = draw_metrics(rows, group, scores, once, label).unpivot(["mode"], list(BOOTSTRAPPED), "metric", "value")
+    groups = stored(numbered_groups(rows, group), "groups")
+    point = draw_metrics(rows, group, scores, groups, groups.select(F.lit(0).alias("draw"), "k"), 1, label).unpivot(["mode"], list(BOOTSTRAPPED), "metric", "value")
     other = point.where(F.col("mode") == base).select("metric", F.col("value").alias("_base"))
     deltas = point.where(F.col("mode") != base).join(other, "metric").select(F.concat("mode", F.lit(f"-{base}")).alias("mode"), "metric", (F.col("value") - F.col("_base")).alias("value"))
     intervals = group_bootstrap(rows, group, scores, draws, seed, label, base=base)

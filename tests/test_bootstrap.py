@@ -56,3 +56,21 @@ def test_same_as_resampling_rows(spark):
 def test_too_few_draws(spark):
     with pytest.raises(ValueError, match="1,000"):
         M.group_bootstrap(spark.createDataFrame(table(), SCHEMA), "g", {"p": 0.5}, 10, 1)
+
+
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    """Cells meet draws in blocks of groups, dealt by scores, with groups that no draw has and scores that are null."""
+    rows = table(5, 9) + [(70, 1, None, 0.5), (70, 0, 0.2, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(tuple(r) for r in M.group_bootstrap(df, "g", {"p": 0.5, "a": 0.5}, 1000, 11, base="a").collect())
+    groups = M.numbered_groups(df, "g")
+    picks = spark.createDataFrame([(0, 0), (0, 0), (0, 3), (1, 9)], "draw int, k long")
+    for sizes in ((2048, 4096, 1024), (2, 3, 2)):
+        for name, n in zip(("DRAWN_GROUPS", "DRAWN_SCORES", "DRAWN_CELLS"), sizes, strict=True):
+            monkeypatch.setattr(M, name, n)
+        got = {(r["draw"], r["mode"]): r for r in M.draw_metrics(df, "g", {"p": 0.5}, groups, picks, 2).collect()}
+        want = plain(rows[:-2], 2, 0.5, [0, 0, 21])
+        assert {k: got[0, "p"][k] for k in want} == pytest.approx(want, abs=1e-9)
+        # a missing score is no hit
+        assert (got[1, "p"]["recall"], got[1, "p"]["fpr"], got[1, "p"]["accuracy"]) == (0.0, 0.0, 0.5)
+    assert sorted(tuple(r) for r in M.group_bootstrap(df, "g", {"p": 0.5, "a": 0.5}, 1000, 11, base="a").collect()) == whole
