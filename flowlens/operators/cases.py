@@ -49,6 +49,12 @@ ORIGIN = ("provenance_partition", "provenance_type", "dataset_id", "dataset_vers
 ELIGIBLE = {"partitions": ("train", "feedback"), "excluded": ("test", "validation"), "types": ("analyst_review", "controlled_lab")}
 
 
+def found_by(rows: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """rows left-joined with others by equal keys, which are text; rows without a key, which find nothing, are spread over the tasks and not gathered in one."""
+    marked = rows.withColumn("_by", F.when(F.col(key).isNull(), F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.concat(F.lit("="), F.col(key))))
+    return marked.join(others.withColumn("_by", F.concat(F.lit("="), F.col(other))), "_by", "left").drop("_by")
+
+
 def resolve_candidates(feedback: DataFrame, alerts: DataFrame, detections: DataFrame, flows: DataFrame, sources: DataFrame, features: Sequence[str], least_confidence: float = 0.7, policy: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """feedback with label, flow_id and the first reason for which it is no candidate (null: it is one), along its chain of four equality joins.
 
@@ -67,7 +73,11 @@ def resolve_candidates(feedback: DataFrame, alerts: DataFrame, detections: DataF
         missing = missing | F.col(f).isNull()
     f = flows.select(F.col("flow_id").cast("string").alias("_flow"), F.col("source_id").cast("string").alias("_source_id"), missing.alias("_missing"), bad.alias("_bad"))
     o = one(sources, "source_id", "source", *ORIGIN)
-    out = feedback.join(a, F.col("object_id") == F.col("_alert"), "left").join(d, F.col("_detection_id") == F.col("_detection"), "left").join(f, F.col("_flow_id") == F.col("_flow"), "left").join(o, F.col("_source_id") == F.col("_source"), "left")
+    chain = a
+    for key, others, other in (("_detection_id", d, "_detection"), ("_flow_id", f, "_flow"), ("_source_id", o, "_source")):
+        chain = found_by(chain, key, others, other)
+    # feedback that has no alert is most of it: it is moved once, and not joined on with keys that it lacks
+    out = found_by(feedback, "object_id", chain, "_alert")
     label = F.coalesce(*[F.when(F.col("verdict") == v, x) for v, x in LABELS.items()])
     gap = F.lit(False)
     for c in ORIGIN:
