@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -75,7 +76,10 @@ def interpolate(x: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def has_token(text: Column, tokens: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t.lower()) for t in tokens]), lambda t: F.lower(text).contains(t))
+    if not tokens:
+        return F.lit(False)
+    # one pass over the text, put in lower case once
+    return F.lower(text).rlike("|".join(re.escape(t.lower()) for t in tokens))
 
 
 def json_depth(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from flowlens.functions.scalars import fingerprint, has_token
 from flowlens.operators.dataset import label_leakage, overlap
+from flowlens.operators.tables import stored
 
 #: kinds of objects that evidence may refer to, and what a snapshot leaves out
 KINDS = ("threat_hypothesis", "alert_group", "security_alert", "detection_result", "network_flow")
@@ -108,7 +109,8 @@ def leakage_report(assigned: DataFrame, features: Sequence[str], label: str = "l
     if near is not None:
         spans = assigned.select(F.col(has["record_id"]).alias("record_id"), "split").join(near, "record_id")
         parts.append(named("near_duplicate_overlap", overlap(spans, "component")))
-    linked = label_leakage(assigned, features, label)
+    # a row for each feature, asked three times
+    linked = stored(label_leakage(assigned, features, label), "linked")
     tokens = "|".join(LABEL_TOKENS)
     parts.append(named("label_derived_feature", linked.where(F.col("copies_label") | F.lower("feature").rlike(tokens)).withColumn("value", F.col("feature"))))
     spark = assigned.sparkSession
