@@ -45,6 +45,8 @@ CLASSES = 124
 #: how much one new id adds to its class
 CLASS_STEP = 6
 END = 2
+#: tasks that read files, at most; beyond that a task reads several
+READERS = 10_000
 #: distinct pieces of text whose ids a worker remembers
 REMEMBERED = 600_000
 
@@ -473,7 +475,9 @@ def read_files(manifest: DataFrame, path: str, ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(all_ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return placed.repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    # a file takes seconds to decode; with a number of its own the deal isn't made coarser because a file's row is short
+    readers = min(max(manifest.count(), 1), READERS)
+    return placed.repartitionByRange(readers, "part", "seq").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def stored(documents: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -76,6 +76,18 @@ def test_repeated_ids(spark):
     assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
 
 
+def test_files_are_read_by_a_task_each(spark, tmp_path):
+    rows = []
+    for part in range(6):
+        ids = np.arange(part, part + 10, dtype=np.uint32)
+        (tmp_path / f"{part}.tok").write_bytes(token_files.pack(np.array([part]), np.array([10]), ids))
+        rows.append((part, 0, str(tmp_path / f"{part}.tok"), 10))
+    manifest = spark.createDataFrame(rows, "part int, seq int, file string, n_ids long")
+    got = token_files.read_files(manifest, f"file://{tmp_path}").withColumn("task", F.spark_partition_id()).collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in sorted(got)] == [(i, 10 * i, 10) for i in range(6)]
+    assert len({r["task"] for r in got}) == 6
+
+
 def test_edges(spark):
     docs = [(7, None), (3, ""), (None, "x"), (-1, "a b " * 30000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
